@@ -56,16 +56,15 @@ def hash_rank(df: DataFrame, key: str, seed: int | str, by: Sequence[str] = (),
     offs = counts.select(
         *by, "_hb",
         F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"),
-        F.sum("_cnt").over(Window.partitionBy(*by)).alias("_n"),
+        F.sum("_cnt").over(Window.partitionBy(*by)).alias("_hr_n"),
     )
     # offs has at most (#groups x 16**prefix) rows; AQE broadcasts it when its
     # measured size is under the broadcast threshold, else shuffles.
     x = x.join(offs, [*by, "_hb"])
     w = Window.partitionBy(*by, "_hb").orderBy("_h", key)
     x = x.withColumn(out, (F.row_number().over(w) + F.col("_off")).cast("long"))
-    if size_col:
-        x = x.withColumnRenamed("_n", size_col)
-    return x.drop("_h", "_hb", "_off", "_n")
+    x = x.drop("_h", "_hb", "_off")
+    return x.withColumnRenamed("_hr_n", size_col) if size_col else x.drop("_hr_n")
 
 
 def range_width(df: DataFrame, order: str, max_buckets: int = MAX_RANGE_BUCKETS) -> int:
