@@ -149,16 +149,22 @@ def metrics_by_followup(df: DataFrame, label: str, score: str, days: str,
     return rates(cm).join(a, [*by, "years"], "left")
 
 
+def _fixed(x: Column, decimals: int) -> Column:
+    """Fixed-point text, rounded half-up on the decimal value.  Going through
+    DECIMAL(38,10) first removes last-bit noise of float sums, so the text
+    does not depend on the order the partial sums were merged."""
+    return x.cast("decimal(38,10)").cast(f"decimal(38,{decimals})").cast("string")
+
+
 def fold_summary(per_fold: DataFrame, metrics: Sequence[str], by: Sequence[str] = ("years",),
                  decimals: int = 4) -> DataFrame:
     """Mean and population std over folds, as numbers and as the
     reference's text ``'0.1234 ± 0.0056'``."""
     aggs = []
-    fmt = f"%.{decimals}f ± %.{decimals}f"
     for m in metrics:
         mu, sd = F.avg(m), F.stddev_pop(m)
         aggs += [F.round(mu, 6).alias(f"{m}_mean"), F.round(sd, 6).alias(f"{m}_std"),
-                 F.format_string(fmt, mu, sd).alias(f"{m}_text")]
+                 F.concat_ws(" ± ", _fixed(mu, decimals), _fixed(sd, decimals)).alias(f"{m}_text")]
     return per_fold.groupBy(*by).agg(F.count(F.lit(1)).alias("n_folds"), *aggs)
 
 

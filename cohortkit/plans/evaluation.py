@@ -174,7 +174,8 @@ def q_metrics_followup(spark, sf):
 
 @query("fold_summary", with_ctes("SELECT years, count(*) AS n_folds, " + ", ".join(
     f"round(avg({m}), 6) AS {m}_mean, round(stddev_pop({m}), 6) AS {m}_std, "
-    f"printf('%.4f ± %.4f', avg({m}), stddev_pop({m})) AS {m}_text" for m in RATE_COLS)
+    f"concat_ws(' ± ', CAST(CAST(CAST(avg({m}) AS DECIMAL(38,10)) AS DECIMAL(38,4)) AS VARCHAR), "
+    f"CAST(CAST(CAST(stddev_pop({m}) AS DECIMAL(38,10)) AS DECIMAL(38,4)) AS VARCHAR)) AS {m}_text" for m in RATE_COLS)
     + " FROM per_fold_followup GROUP BY years", "per_fold_followup"), "M10")
 def q_fold_summary(spark, sf):
     return MT.fold_summary(per_fold_followup(spark, sf), RATE_COLS, ["years"])
