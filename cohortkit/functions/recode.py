@@ -38,15 +38,30 @@ def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _q(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _lit_sql(v) -> str:
+    if isinstance(v, str):
+        return "'" + v.replace("'", "''") + "'"
+    return repr(v)
+
+
+def _to_double_sql(name: str) -> str:
+    return f"nanvl(try_cast({_q(name)} AS DOUBLE), CAST(NULL AS DOUBLE))"
+
+
 def nan_to_null(c: str | Column) -> Column:
     """NaN -> NULL for a double column (keeps NULL semantics in comparisons)."""
-    c = _col(c)
-    return F.when(F.isnan(c), F.lit(None).cast("double")).otherwise(c)
+    return F.nanvl(_col(c), F.lit(None).cast("double"))
 
 
 def to_double(c: str | Column) -> Column:
     """Lenient numeric coercion (P6): junk text, blanks and NaN become NULL."""
-    return nan_to_null(_col(c).try_cast("double"))
+    if isinstance(c, str):
+        return F.expr(_to_double_sql(c))
+    return nan_to_null(c.try_cast("double"))
 
 
 def recode(df: DataFrame, name: str, mapping: Mapping, keep_unmatched: bool = False,
@@ -57,28 +72,21 @@ def recode(df: DataFrame, name: str, mapping: Mapping, keep_unmatched: bool = Fa
     keys, a text column matches the text form of every key (a sheet exported
     to CSV stores the code 1 as the text "1").  ``keep_unmatched`` gives
     ``replace`` semantics: values without a key pass through (cast to the
-    output type when possible, else NULL).
+    output type when possible, else NULL).  Built as one SQL ``CASE``.
     """
-    dtype = df.schema[name].dataType
-    c = F.col(name)
-    numeric = isinstance(dtype, NumericType)
-    expr = None
-    for k, v in mapping.items():
-        if numeric and isinstance(k, str):
-            continue
-        key = F.lit(k) if numeric else F.lit(str(k))
-        lit_v = F.lit(v)
-        expr = F.when(c == key, lit_v) if expr is None else expr.when(c == key, lit_v)
+    numeric = isinstance(df.schema[name].dataType, NumericType)
     if out_type is None:
         out_type = "string" if all(isinstance(v, str) for v in mapping.values()) else "int"
-    if expr is None:
-        base = F.lit(None).cast(out_type)
-    elif keep_unmatched:
-        rest = c.cast(out_type) if numeric or out_type == "string" else c.try_cast(out_type)
-        base = expr.otherwise(rest)
+    col = _q(name)
+    arms = [f"WHEN {col} = {_lit_sql(k if numeric else str(k))} THEN {_lit_sql(v)}"
+            for k, v in mapping.items() if not (numeric and isinstance(k, str))]
+    if keep_unmatched:
+        rest = f"CAST({col} AS {out_type})" if numeric or out_type == "string" else f"try_cast({col} AS {out_type})"
     else:
-        base = expr
-    return base.cast(out_type)
+        rest = "NULL"
+    if not arms:
+        return F.expr(f"CAST({rest} AS {out_type})")
+    return F.expr(f"CAST(CASE {' '.join(arms)} ELSE {rest} END AS {out_type})")
 
 
 def gender(df: DataFrame, name: str) -> Column:
@@ -94,19 +102,18 @@ def sex_to_number(df: DataFrame, name: str, encoding: str = "M0F1") -> Column:
     return recode(df, name, mapping, keep_unmatched=keep, out_type="double")
 
 
-def hypertension(systolic: str | Column, diastolic: str | Column,
-                 treated_raw: str | Column | None = None, coerce: bool = True) -> Column:
+def hypertension(systolic: str, diastolic: str, treated_raw: str | None = None, coerce: bool = True) -> Column:
     """SBP >= 140 or DBP >= 90 or treated == 'Y' -> 1, else 0 (never NULL).
 
     ``treated_raw`` is the raw treatment code: only the text 'Y' counts.
     With ``coerce`` the pressures are coerced leniently first (P6).
     """
-    s = to_double(systolic) if coerce else nan_to_null(_col(systolic))
-    d = to_double(diastolic) if coerce else nan_to_null(_col(diastolic))
-    cond = F.coalesce(s >= SYSTOLIC_CUTOFF, F.lit(False)) | F.coalesce(d >= DIASTOLIC_CUTOFF, F.lit(False))
+    sy = _to_double_sql(systolic) if coerce else f"nanvl({_q(systolic)}, CAST(NULL AS DOUBLE))"
+    di = _to_double_sql(diastolic) if coerce else f"nanvl({_q(diastolic)}, CAST(NULL AS DOUBLE))"
+    cond = (f"coalesce({sy} >= {SYSTOLIC_CUTOFF}, false) OR coalesce({di} >= {DIASTOLIC_CUTOFF}, false)")
     if treated_raw is not None:
-        cond = cond | F.coalesce(_col(treated_raw).cast("string") == TREATED_CODE, F.lit(False))
-    return cond.cast("int")
+        cond += f" OR coalesce(CAST({_q(treated_raw)} AS STRING) = {_lit_sql(TREATED_CODE)}, false)"
+    return F.expr(f"CAST(({cond}) AS INT)")
 
 
 def yes_no(df: DataFrame, name: str, site: str = "A") -> Column:
@@ -120,9 +127,9 @@ def any_flag_strict(*cols: str | Column) -> Column:
     return reduce(lambda a, b: a.bitwiseOR(b), [_col(c) for c in cols])
 
 
-def positive_flag(c: str | Column) -> Column:
+def positive_flag(c: str) -> Column:
     """Number > 0 -> 1; missing or junk -> 0."""
-    return F.coalesce(to_double(c) > 0, F.lit(False)).cast("int")
+    return F.expr(f"CAST(coalesce({_to_double_sql(c)} > 0, false) AS INT)")
 
 
 def label(df: DataFrame, name: str) -> Column:

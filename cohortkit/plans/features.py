@@ -12,6 +12,7 @@ from cohortkit.plans import splits as _splits  # noqa: F401  (defines the strat
 from cohortkit.plans.cohort import cohort
 from cohortkit.plans.oracle import CTE, _DEPS, with_ctes
 from cohortkit.plans.registry import query
+from cohortkit.session import cut_lineage
 from cohortkit.sources import fixtures as fx
 from cohortkit.sources.tables import require_columns
 
@@ -29,7 +30,9 @@ def features(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def split_features(spark: SparkSession, sf: str) -> DataFrame:
-    return SP.stratified_split(features(spark, sf), "Code", "label", SEED, 0.2, K)
+    """Features with split and fold, persisted once (several consumers)."""
+    f = cut_lineage(features(spark, sf))
+    return cut_lineage(SP.stratified_split(f, "Code", "label", SEED, 0.2, K))
 
 
 def fold_stats(spark: SparkSession, sf: str, split: DataFrame | None = None) -> DataFrame:

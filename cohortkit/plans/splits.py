@@ -10,6 +10,7 @@ from cohortkit.operators import splits as SP
 from cohortkit.plans.cohort import cohort
 from cohortkit.plans.oracle import CTE, _DEPS, with_ctes
 from cohortkit.plans.registry import query
+from cohortkit.session import cut_lineage
 
 SEED = 42
 K = 10
@@ -20,7 +21,9 @@ FOLD = 1  # the fold whose training part is rebalanced (a parameter in the refer
 def cohort_xy(spark: SparkSession, sf: str) -> DataFrame:
     """Key, binary label (missing label -> 0, the reference's rule) and follow-up."""
     c = cohort(spark, sf, "max")
-    return c.select("Code", F.coalesce("Eskd", F.lit(0)).cast("int").alias("label"), "dateAssess")
+    # read by several branches (class counts, hash buckets, the rows
+    # themselves): persisted once in the shared checkpoint folder
+    return cut_lineage(c.select("Code", F.coalesce("Eskd", F.lit(0)).cast("int").alias("label"), "dateAssess"))
 
 
 def strat(spark: SparkSession, sf: str) -> DataFrame:
@@ -28,7 +31,7 @@ def strat(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def fold_train(spark: SparkSession, sf: str) -> DataFrame:
-    return SP.train_rows(strat(spark, sf), FOLD)
+    return cut_lineage(SP.train_rows(strat(spark, sf), FOLD))
 
 
 _H = "md5(concat('{seed}|', CAST({key} AS VARCHAR)))"

@@ -30,60 +30,52 @@ def fx_site_a(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = load_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     rb = o.groupBy("o_custkey").agg(F.min("o_orderdate").alias("rb"))
     j = o.join(rb, "o_custkey").join(c, o.o_custkey == c.c_custkey)
-    k = F.col("o_orderkey")
-    ck = F.col("o_custkey")
-    s = lambda e: e.cast("string")
-    return j.select(
-        ck.alias("VALIGA_CODE"),
-        k.alias("row_id"),
-        (F.col("c_nationkey") % 2 + 1).alias("Gender1M2F"),
-        (20 + ck % 50 + (ck % 4).cast("double") / 4).alias("age"),
-        F.date_format("rb", "dd/MM/yyyy").alias("RBdate"),
-        F.date_format("o_orderdate", "dd/MM/yyyy").alias("Lastvisit"),
-        F.when(k % 7 == 0, F.lit("n/a")).when(k % 11 == 0, F.lit(None)).otherwise(s(k % 97)).alias("uprot_gday"),
-        F.when(k % 13 == 0, F.lit(None)).otherwise(s((k + 5) % 89)).alias("uprot_gday_last"),
-        F.when(k % 17 == 0, F.lit("?")).otherwise(s(1 + k % 8)).alias("creat_mgdl"),
-        s(1 + (k + 3) % 9).alias("creat_mgdl_last"),
-        F.when(k % 19 == 0, F.lit("")).otherwise(s(100 + k % 70)).alias("SystolicbloodpressuremmHg"),
-        F.when(k % 23 == 0, F.lit(None)).otherwise(s(60 + k % 45)).alias("DiastolicbloodpressuremmHg"),
-        s(105 + k % 70).alias("SBPlast"),
-        s(62 + k % 45).alias("DBPlast"),
-        (ck % 2).alias("M"), (ck % 3 % 2).alias("E"), (ck % 5 % 2).alias("S"),
-        (ck % 3).alias("T"), (ck % 7 % 3).alias("C"),
-        F.when(k % 4 == 0, "Y").when(k % 4 == 1, "N").when(k % 4 == 2, "1").alias("AceiYN"),
-        F.when(k % 3 == 0, "Y").when(k % 3 == 1, "N").alias("Fishoil"),
-        F.when(k % 5 == 0, "Y").otherwise("N").alias("CsIm"),
-        F.when(k % 6 == 0, "Y").when(k % 29 == 0, F.lit(None)).otherwise("N").alias("AZA"),
-        F.when(k % 8 == 0, "1").otherwise("0").alias("CELLCEPT"),
-        F.when(ck % 4 == 0, "1").when(ck % 37 == 1, F.lit(None)).otherwise("0").alias("ESKDcorretto"),
+    return j.selectExpr(
+        "o_custkey AS VALIGA_CODE", "o_orderkey AS row_id",
+        "c_nationkey % 2 + 1 AS Gender1M2F",
+        "20 + o_custkey % 50 + CAST(o_custkey % 4 AS DOUBLE) / 4 AS age",
+        "date_format(rb, 'dd/MM/yyyy') AS RBdate",
+        "date_format(o_orderdate, 'dd/MM/yyyy') AS Lastvisit",
+        "CASE WHEN o_orderkey % 7 = 0 THEN 'n/a' WHEN o_orderkey % 11 = 0 THEN NULL "
+        "ELSE CAST(o_orderkey % 97 AS STRING) END AS uprot_gday",
+        "CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE CAST((o_orderkey + 5) % 89 AS STRING) END AS uprot_gday_last",
+        "CASE WHEN o_orderkey % 17 = 0 THEN '?' ELSE CAST(1 + o_orderkey % 8 AS STRING) END AS creat_mgdl",
+        "CAST(1 + (o_orderkey + 3) % 9 AS STRING) AS creat_mgdl_last",
+        "CASE WHEN o_orderkey % 19 = 0 THEN '' ELSE CAST(100 + o_orderkey % 70 AS STRING) END "
+        "AS SystolicbloodpressuremmHg",
+        "CASE WHEN o_orderkey % 23 = 0 THEN NULL ELSE CAST(60 + o_orderkey % 45 AS STRING) END "
+        "AS DiastolicbloodpressuremmHg",
+        "CAST(105 + o_orderkey % 70 AS STRING) AS SBPlast", "CAST(62 + o_orderkey % 45 AS STRING) AS DBPlast",
+        "o_custkey % 2 AS M", "o_custkey % 3 % 2 AS E", "o_custkey % 5 % 2 AS S", "o_custkey % 3 AS T",
+        "o_custkey % 7 % 3 AS C",
+        "CASE o_orderkey % 4 WHEN 0 THEN 'Y' WHEN 1 THEN 'N' WHEN 2 THEN '1' END AS AceiYN",
+        "CASE o_orderkey % 3 WHEN 0 THEN 'Y' WHEN 1 THEN 'N' END AS Fishoil",
+        "CASE WHEN o_orderkey % 5 = 0 THEN 'Y' ELSE 'N' END AS CsIm",
+        "CASE WHEN o_orderkey % 6 = 0 THEN 'Y' WHEN o_orderkey % 29 = 0 THEN NULL ELSE 'N' END AS AZA",
+        "CASE WHEN o_orderkey % 8 = 0 THEN '1' ELSE '0' END AS CELLCEPT",
+        "CASE WHEN o_custkey % 4 = 0 THEN '1' WHEN o_custkey % 37 = 1 THEN NULL ELSE '0' END AS ESKDcorretto",
     )
 
 
 def fx_site_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Site B visit sheet: one visit per event, patient = 100 + user."""
     e = load_table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
-    u = F.col("user_id")
-    k = F.col("event_id")
-    s = lambda x: x.cast("string")
-    return e.select(
-        (100 + u).alias("VALIGA_CODE"),
-        k.alias("row_id"),
-        F.when(u % 2 == 0, "M").otherwise("F").alias("SEX"),
-        (u % 2).alias("M"), (u % 3 % 2).alias("E"), (u % 5 % 2).alias("S"),
-        (u % 3).alias("T"), (u % 7 % 3).alias("C"),
-        ((u % 15) * 365 + F.dayofmonth("ts") - 1).alias("dateAssess"),
-        F.when(k % 21 == 0, F.lit("n/a")).otherwise(s(100 + k % 70)).alias("systolic"),
-        s(60 + k % 45).alias("Diastolic"),
-        (18 + u % 60 + (u % 2).cast("double") / 2).alias("age"),
-        s(1 + k % 7).alias("creat_mg_dl"),
-        F.when(u % 3 == 0, 1).otherwise(0).alias("outcome"),
-        F.when(k % 9 == 0, F.lit(None)).otherwise(s(k % 83)).alias("Uprot"),
-        F.when(k % 10 == 0, F.lit("-")).otherwise(s(k % 4)).alias("nb_of_bpmeds"),
-        s(k % 2).alias("ras_blockers"),
-        F.when(k % 5 == 0, "Y").when(k % 5 == 1, "Yes").when(k % 5 == 2, "No")
-         .when(k % 5 == 3, "0").alias("fish_oil"),
-        F.when(k % 6 == 0, "Yes").when(k % 6 == 1, "1").when(k % 6 == 2, "maybe")
-         .otherwise("N").alias("Immunotherapies"),
+    return e.selectExpr(
+        "100 + user_id AS VALIGA_CODE", "event_id AS row_id",
+        "CASE WHEN user_id % 2 = 0 THEN 'M' ELSE 'F' END AS SEX",
+        "user_id % 2 AS M", "user_id % 3 % 2 AS E", "user_id % 5 % 2 AS S", "user_id % 3 AS T",
+        "user_id % 7 % 3 AS C",
+        "(user_id % 15) * 365 + dayofmonth(ts) - 1 AS dateAssess",
+        "CASE WHEN event_id % 21 = 0 THEN 'n/a' ELSE CAST(100 + event_id % 70 AS STRING) END AS systolic",
+        "CAST(60 + event_id % 45 AS STRING) AS Diastolic",
+        "18 + user_id % 60 + CAST(user_id % 2 AS DOUBLE) / 2 AS age",
+        "CAST(1 + event_id % 7 AS STRING) AS creat_mg_dl",
+        "CASE WHEN user_id % 3 = 0 THEN 1 ELSE 0 END AS outcome",
+        "CASE WHEN event_id % 9 = 0 THEN NULL ELSE CAST(event_id % 83 AS STRING) END AS Uprot",
+        "CASE WHEN event_id % 10 = 0 THEN '-' ELSE CAST(event_id % 4 AS STRING) END AS nb_of_bpmeds",
+        "CAST(event_id % 2 AS STRING) AS ras_blockers",
+        "CASE event_id % 5 WHEN 0 THEN 'Y' WHEN 1 THEN 'Yes' WHEN 2 THEN 'No' WHEN 3 THEN '0' END AS fish_oil",
+        "CASE event_id % 6 WHEN 0 THEN 'Yes' WHEN 1 THEN '1' WHEN 2 THEN 'maybe' ELSE 'N' END AS Immunotherapies",
     )
 
 
