@@ -188,3 +188,11 @@ def load_model(path: str) -> PipelineModel:
 __all__ = ["PopStdScaler", "PopStdScalerModel", "classifier_pipeline", "weighted_logistic", "mlp",
            "with_pos_weight", "cross_validate", "logistic_grid", "probability_of_one", "fit_pairwise_ranker",
            "score_linear", "time_regressor", "save_model", "load_model", "MT"]
+
+
+def feature_order(df: DataFrame, vector_col: str = "features") -> list[str]:
+    """Feature names in vector order, from the ML attribute metadata
+    that ``VectorAssembler`` stores on the vector column."""
+    attrs = df.schema[vector_col].metadata.get("ml_attr", {}).get("attrs", {})
+    named = [a for group in attrs.values() for a in group]
+    return [a["name"] for a in sorted(named, key=lambda a: a["idx"])]

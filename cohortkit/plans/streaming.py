@@ -1,0 +1,22 @@
+"""Streaming query: online early stopping over the appended metric log."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from cohortkit.plans import history as _hist  # noqa: F401
+from cohortkit.plans.registry import REGISTRY, query
+from cohortkit.sources import fixtures as fx
+from cohortkit.streaming import early_stop as ES
+
+
+@query("early_stop_stream", REGISTRY["early_stop"].sql, "W6,W7,S9 (Structured Streaming, per-run state)")
+def q_early_stop_stream(spark, sf):
+    """The epoch log is appended to a folder (S9) in several files; the
+    stream replays it in micro-batches of a few files each, keeping one state
+    per run, and must agree with the batch replay."""
+    log_dir = ES.scratch(spark, "metric-log")
+    fx.fx_history(spark, sf).repartition(8, "epoch").write.mode("append").parquet(log_dir)
+    out = ES.run_available(spark, log_dir, ES.scratch(spark, "stop-out"), ES.scratch(spark, "stop-ckpt"),
+                           patience=2, min_delta=0.0, check_every=5, files_per_batch=3)
+    return out.select("run_id", "n_checks", "best_epoch", "best_loss", "stop_epoch", "last_epoch")

@@ -1,0 +1,5 @@
+"""Structured Streaming jobs.
+
+The reference decides early stopping online while epochs are logged; the
+streaming early-stop monitor here does the same over an appended metric log.
+"""

@@ -1,0 +1,108 @@
+"""Online early stopping over a streamed epoch-metric log (W6/W7 live).
+
+Training jobs append one row per (run, epoch) to the metric log (S9).  This
+Structured Streaming job keeps one state per run with
+``applyInPandasWithState`` and re-decides the run after every micro-batch:
+checks so far, best epoch and loss, and the epoch at which the run should
+have stopped.  The state holds the run's checks (bounded by the run's
+``max_epochs``), so epochs may arrive in any order and across any number of
+micro-batches; the decision is always the in-order replay.
+"""
+
+from __future__ import annotations
+
+import os
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import (ArrayType, DoubleType, LongType, StructField, StructType)
+
+LOG_SCHEMA = StructType([StructField("run_id", LongType()), StructField("epoch", LongType()),
+                         StructField("val_loss", DoubleType()), StructField("val_f1", DoubleType())])
+STATE_SCHEMA = StructType([StructField("epochs", ArrayType(LongType())),
+                           StructField("losses", ArrayType(DoubleType())),
+                           StructField("version", LongType())])
+OUT_SCHEMA = StructType([StructField("run_id", LongType()), StructField("version", LongType()),
+                         StructField("n_checks", LongType()), StructField("best_epoch", LongType()),
+                         StructField("best_loss", DoubleType()), StructField("stop_epoch", LongType()),
+                         StructField("last_epoch", LongType())])
+
+
+def replay(epochs: list[int], losses: list[float], patience: int, min_delta: float, check_every: int):
+    """In-order early-stopping replay of one run (a small per-run helper)."""
+    best, best_e, cnt, stop, n = float("inf"), None, 0, None, 0
+    for e, loss in sorted(zip(epochs, losses)):
+        if e % check_every != 0:
+            continue
+        n += 1
+        if loss + min_delta < best:
+            best, best_e, cnt = loss, e, 0
+        else:
+            cnt += 1
+            if cnt >= patience:
+                stop = e
+                break
+    return n, best_e, best, stop
+
+
+def _state_fn(patience: int, min_delta: float, check_every: int):
+    def fn(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.exists:
+            epochs, losses, version = state.get
+            epochs, losses = list(epochs), list(losses)
+        else:
+            epochs, losses, version = [], [], 0
+        for pdf in pdfs:
+            epochs += pdf["epoch"].astype("int64").tolist()
+            losses += pdf["val_loss"].astype("float64").tolist()
+        version += 1
+        state.update((epochs, losses, version))
+        n, best_e, best, stop = replay(epochs, losses, patience, min_delta, check_every)
+        if n == 0:
+            return
+        yield pd.DataFrame([{"run_id": int(key[0]), "version": version, "n_checks": n, "best_epoch": best_e,
+                             "best_loss": round(best, 6), "stop_epoch": stop, "last_epoch": max(epochs)}])
+    return fn
+
+
+def early_stop_stream(log: DataFrame, patience: int = 2, min_delta: float = 0.0, check_every: int = 1) -> DataFrame:
+    """Streaming DataFrame of per-run decisions (one row per run and
+    micro-batch that touched it; the highest ``version`` is current)."""
+    return log.groupBy("run_id").applyInPandasWithState(
+        _state_fn(patience, min_delta, check_every), OUT_SCHEMA, STATE_SCHEMA, "append",
+        GroupStateTimeout.NoTimeout)
+
+
+def latest_decisions(decisions: DataFrame) -> DataFrame:
+    """Current decision per run: the row with the highest version."""
+    cols = [c for c in OUT_SCHEMA.fieldNames() if c not in ("run_id", "version")]
+    return (decisions.groupBy("run_id")
+            .agg(F.max_by(F.struct(*cols), F.col("version")).alias("_d"))
+            .select("run_id", *[F.col(f"_d.{c}").alias(c) for c in cols]))
+
+
+def run_available(spark: SparkSession, log_dir: str, out_dir: str, ckpt_dir: str, patience: int = 2,
+                  min_delta: float = 0.0, check_every: int = 1, files_per_batch: int | None = None) -> DataFrame:
+    """Process everything currently in ``log_dir`` (``availableNow``), write
+    decisions to ``out_dir`` (parquet, append) and return the current
+    decision per run.  Restartable: progress and per-run state live in
+    ``ckpt_dir`` (a shared folder)."""
+    reader = spark.readStream.schema(LOG_SCHEMA)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    stream = early_stop_stream(reader.parquet(log_dir), patience, min_delta, check_every)
+    q = (stream.writeStream.format("parquet").option("path", out_dir)
+         .option("checkpointLocation", ckpt_dir).outputMode("append").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return latest_decisions(spark.read.schema(OUT_SCHEMA).parquet(out_dir))
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh sub-folder of the session's shared checkpoint folder."""
+    import uuid
+    from cohortkit.session import ensure_checkpoint_dir
+    base = ensure_checkpoint_dir(spark)
+    return os.path.join(base, f"{name}-{uuid.uuid4().hex}")

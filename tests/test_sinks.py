@@ -36,3 +36,25 @@ def test_metric_log_append(spark, sf, tmp_path):
     SK.append_metric_log(log, str(tmp_path / "log"))
     SK.append_metric_log(log, str(tmp_path / "log"))
     assert spark.read.parquet(str(tmp_path / "log")).count() == 2 * log.count()
+
+
+def test_read_visits_by_extension(spark, sf, tmp_path):
+    import pytest
+    from cohortkit.sources import fixtures as fx
+    from cohortkit.sources.tables import read_visits
+    from cohortkit.operators import harmonise as H
+    raw = fx.fx_site_b(spark, sf)
+    raw.write.option("header", True).csv(str(tmp_path / "b.csv"))
+    back = read_visits(spark, str(tmp_path / "b.csv"))
+    assert back.count() == raw.count()
+    # text columns from CSV go through the same cleaning (try_cast handles numbers as text)
+    assert H.clean_site_b(back.withColumn("row_id", back.row_id.cast("long"))).count() == raw.count()
+    with pytest.raises(ValueError):
+        read_visits(spark, str(tmp_path / "b.xlsx"))
+
+
+def test_summary_json(spark, sf, tmp_path):
+    from cohortkit.operators import metrics as MT
+    s = MT.fold_summary(EV.per_fold_followup(spark, sf), ["accuracy", "f1"], ["years"])
+    SK.write_summary(s, str(tmp_path / "sum"))
+    assert spark.read.json(str(tmp_path / "sum")).count() == 3

@@ -38,3 +38,20 @@ def test_scaler_pipeline_roundtrip(spark, sf, tmp_path):
     a = TR.probability_of_one(m.transform(SP.test_rows(s))).select("Code", "prob").orderBy("Code").collect()
     b = TR.probability_of_one(m2.transform(SP.test_rows(s))).select("Code", "prob").orderBy("Code").collect()
     assert [round(x.prob, 9) for x in a] == [round(x.prob, 9) for x in b]
+
+
+def test_feature_order_metadata(spark, sf):
+    from pyspark.ml.feature import VectorAssembler
+    from cohortkit.operators import features as FT
+    from cohortkit.operators import training as TR
+    from cohortkit.plans.features import features
+    v = VectorAssembler(inputCols=FT.FEATURES, outputCol="features").transform(features(spark, sf))
+    assert TR.feature_order(v) == FT.FEATURES
+
+
+def test_streaming_early_stop_matches_batch(spark, sf):
+    import __spark_entry__ as E
+    a = sorted(map(tuple, E.queries()["early_stop_stream"](spark, sf).collect()))
+    b = E.queries()["early_stop"](spark, sf)
+    b = sorted(map(tuple, b.select("run_id", "n_checks", "best_epoch", "best_loss", "stop_epoch", "last_epoch").collect()))
+    assert a == b
