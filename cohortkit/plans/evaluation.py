@@ -206,7 +206,7 @@ def q_proxy_sigmoid(spark, sf):
 
 
 @query("weighted_mean_loss", with_ctes("""
-SELECT round(sum(loss * n) / sum(n), 6) AS mean_loss, sum(n) AS n FROM pair_loss""", "pair_loss"), "M8")
+SELECT round(sum(loss * n) / sum(n), 6) AS mean_loss, CAST(sum(n) AS BIGINT) AS n FROM pair_loss""", "pair_loss"), "M8")
 def q_weighted_mean(spark, sf):
     per = MT.pair_loss_per_batch(scored_batches(spark, sf), "y", "logit")
     return per.agg(F.round(F.sum(F.col("loss") * F.col("n")) / F.sum("n"), 6).alias("mean_loss"),

@@ -39,7 +39,7 @@ _H = "md5(concat('{seed}|', CAST({key} AS VARCHAR)))"
 CTE["strat"] = f"""
 SELECT r.Code, r.label, r.dateAssess,
        CAST(rk <= test_c AS INTEGER) AS is_test,
-       CASE WHEN rk <= test_c THEN 0 ELSE (rk - test_c - 1 + off) % {K} + 1 END AS fold
+       CAST(CASE WHEN rk <= test_c THEN 0 ELSE (rk - test_c - 1 + off) % {K} + 1 END AS BIGINT) AS fold
 FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {_H.format(seed=SEED, key='Code')}, Code) AS rk
       FROM cohort_xy) r
 JOIN (SELECT label, train_c, n_c - train_c AS test_c,
@@ -80,7 +80,7 @@ def q_strat(spark, sf):
 
 
 @query("folds_stratified", with_ctes(f"""
-SELECT Code, label, (rk - 1 + off) % {K} + 1 AS fold
+SELECT Code, label, CAST((rk - 1 + off) % {K} + 1 AS BIGINT) AS fold
 FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {_H.format(seed=SEED, key='Code')}, Code) AS rk
       FROM cohort_xy) r
 JOIN (SELECT label, coalesce(sum(count(*)) OVER (ORDER BY label ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off
