@@ -149,6 +149,13 @@ def metrics_by_followup(df: DataFrame, label: str, score: str, days: str,
     return rates(cm).join(a, [*by, "years"], "left")
 
 
+def round_exact(x: Column, digits: int = 6) -> Column:
+    """Round a mean of already-rounded values: such means often sit exactly
+    on a tie one digit further, where float-sum noise would decide the
+    direction.  DECIMAL(38,10) removes the noise, then half-up rounding."""
+    return F.round(x.cast("decimal(38,10)"), digits).cast("double")
+
+
 def _fixed(x: Column, decimals: int) -> Column:
     """Fixed-point text, rounded half-up on the decimal value.  Going through
     DECIMAL(38,10) first removes last-bit noise of float sums, so the text
@@ -163,7 +170,7 @@ def fold_summary(per_fold: DataFrame, metrics: Sequence[str], by: Sequence[str]
     aggs = []
     for m in metrics:
         mu, sd = F.avg(m), F.stddev_pop(m)
-        aggs += [F.round(mu, 6).alias(f"{m}_mean"), F.round(sd, 6).alias(f"{m}_std"),
+        aggs += [round_exact(mu).alias(f"{m}_mean"), round_exact(sd).alias(f"{m}_std"),
                  F.concat_ws(" ± ", _fixed(mu, decimals), _fixed(sd, decimals)).alias(f"{m}_text")]
     return per_fold.groupBy(*by).agg(F.count(F.lit(1)).alias("n_folds"), *aggs)
 
@@ -224,7 +231,7 @@ def weighted_bce(df: DataFrame, label: str, logit_col: str, pos_weight: str | Co
 def weighted_mean(df: DataFrame, value: str, weight: str, by: Sequence[str] = (), out: str = "mean_loss") -> DataFrame:
     """M8: size-weighted mean (running loss / dataset size)."""
     return df.groupBy(*by).agg(
-        F.round(F.try_divide(F.sum(F.col(value) * F.col(weight)), F.sum(weight).cast("double")), 6).alias(out))
+        round_exact(F.try_divide(F.sum(F.col(value) * F.col(weight)), F.sum(weight).cast("double"))).alias(out))
 
 
 def regression_errors(df: DataFrame, y: str, pred: str, by: Sequence[str] = ()) -> DataFrame:

@@ -173,7 +173,8 @@ def q_metrics_followup(spark, sf):
 
 
 @query("fold_summary", with_ctes("SELECT years, count(*) AS n_folds, " + ", ".join(
-    f"round(avg({m}), 6) AS {m}_mean, round(stddev_pop({m}), 6) AS {m}_std, "
+    f"CAST(round(CAST(avg({m}) AS DECIMAL(38,10)), 6) AS DOUBLE) AS {m}_mean, "
+    f"CAST(round(CAST(stddev_pop({m}) AS DECIMAL(38,10)), 6) AS DOUBLE) AS {m}_std, "
     f"concat_ws(' ± ', CAST(CAST(CAST(avg({m}) AS DECIMAL(38,10)) AS DECIMAL(38,4)) AS VARCHAR), "
     f"CAST(CAST(CAST(stddev_pop({m}) AS DECIMAL(38,10)) AS DECIMAL(38,4)) AS VARCHAR)) AS {m}_text" for m in RATE_COLS)
     + " FROM per_fold_followup GROUP BY years", "per_fold_followup"), "M10")
@@ -206,10 +207,11 @@ def q_proxy_sigmoid(spark, sf):
 
 
 @query("weighted_mean_loss", with_ctes("""
-SELECT round(sum(loss * n) / sum(n), 6) AS mean_loss, CAST(sum(n) AS BIGINT) AS n FROM pair_loss""", "pair_loss"), "M8")
+SELECT CAST(round(CAST(sum(loss * n) / sum(n) AS DECIMAL(38,10)), 6) AS DOUBLE) AS mean_loss,
+       CAST(sum(n) AS BIGINT) AS n FROM pair_loss""", "pair_loss"), "M8")
 def q_weighted_mean(spark, sf):
     per = MT.pair_loss_per_batch(scored_batches(spark, sf), "y", "logit")
-    return per.agg(F.round(F.sum(F.col("loss") * F.col("n")) / F.sum("n"), 6).alias("mean_loss"),
+    return per.agg(MT.round_exact(F.sum(F.col("loss") * F.col("n")) / F.sum("n")).alias("mean_loss"),
                    F.sum("n").cast("long").alias("n"))
 
 
@@ -238,9 +240,7 @@ def q_clamped(spark, sf):
 
 
 @query("cv_summary", with_ctes("""
-SELECT round(avg(mae), 6) AS mean_mae, round(stddev_pop(mae), 6) AS std_mae,
-       round(avg(rmse), 6) AS mean_rmse, round(stddev_pop(rmse), 6) AS std_rmse,
-       round(avg(r2), 6) AS mean_r2, round(stddev_pop(r2), 6) AS std_r2,
+SELECT CAST(round(CAST(avg(mae) AS DECIMAL(38,10)), 6) AS DOUBLE) AS mean_mae, CAST(round(CAST(stddev_pop(mae) AS DECIMAL(38,10)), 6) AS DOUBLE) AS std_mae, CAST(round(CAST(avg(rmse) AS DECIMAL(38,10)), 6) AS DOUBLE) AS mean_rmse, CAST(round(CAST(stddev_pop(rmse) AS DECIMAL(38,10)), 6) AS DOUBLE) AS std_rmse, CAST(round(CAST(avg(r2) AS DECIMAL(38,10)), 6) AS DOUBLE) AS mean_r2, CAST(round(CAST(stddev_pop(r2) AS DECIMAL(38,10)), 6) AS DOUBLE) AS std_r2,
        string_agg(printf('best_model_fold_%d_results.json', fold), ',' ORDER BY fold) AS fold_result_files
 FROM reg_clamped""", "reg_clamped"), "M11")
 def q_cv_summary(spark, sf):
@@ -248,7 +248,7 @@ def q_cv_summary(spark, sf):
     files = F.transform(F.array_sort(F.collect_list(F.struct("fold", F.format_string(
         "best_model_fold_%d_results.json", F.col("fold")).alias("f")))), lambda e: e["f"])
     return per.agg(*[x for m in ("mae", "rmse", "r2") for x in (
-        F.round(F.avg(m), 6).alias(f"mean_{m}"), F.round(F.stddev_pop(m), 6).alias(f"std_{m}"))],
+        MT.round_exact(F.avg(m)).alias(f"mean_{m}"), MT.round_exact(F.stddev_pop(m)).alias(f"std_{m}"))],
         F.concat_ws(",", files).alias("fold_result_files"))
 
 
