@@ -135,20 +135,14 @@ def one_row_per_entity(df: DataFrame, key: str = "Code", by: str = "dateAssess",
     before the shuffle.
     """
     columns = columns or [c for c in df.columns if c != key]
-    t = [F.col(c) for c in tiebreak]
-    if rule == "last":
-        t = [-c for c in t] if ties == "first" else t
-        order = F.struct(F.col(by), *t)
-        pick = F.max_by
-    else:
-        t = t if ties == "first" else [-c for c in t]
-        order = F.struct(F.col(by), *t)
-        pick = F.min_by
-    order = F.when(F.col(by).isNotNull(), order)
-    payload = F.struct(*[F.col(c) for c in columns])
-    g = (df.where(F.col(key).isNotNull())
-           .groupBy(key).agg(pick(payload, order).alias("_r")))
-    return g.where(F.col("_r").isNotNull()).select(key, *[F.col("_r")[c].alias(c) for c in columns])
+    q = lambda c: "`" + c + "`"
+    flip = (rule == "last") == (ties == "first")  # tie-break columns descending?
+    order = ", ".join([q(by)] + [f"-{q(c)}" if flip else q(c) for c in tiebreak])
+    pick = "max_by" if rule == "last" else "min_by"
+    payload = ", ".join(q(c) for c in columns)
+    expr = f"{pick}(struct({payload}), CASE WHEN {q(by)} IS NOT NULL THEN struct({order}) END)"
+    g = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.expr(expr).alias("_r"))
+    return g.where(F.col("_r").isNotNull()).select(key, "_r.*")
 
 
 def build_cohort(site_a: DataFrame, site_b: DataFrame, mode: str = "max") -> DataFrame:

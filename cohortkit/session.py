@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings the library assumes.  AQE re-plans joins at run time (size-checked
@@ -65,4 +66,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     executor then re-reads the checkpoint instead of recomputing the lineage.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    # A reliable checkpoint computes its input once for the triggering job
+    # and again for the file write unless the input is persisted; persist
+    # for the duration of the checkpoint only.
+    held = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = held.checkpoint(eager=True)
+    held.unpersist(blocking=False)
+    return out

@@ -9,12 +9,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one driver table (``{sf_dir}/{name}.parquet``).
 
-    Parquet keeps column pruning and filter pushdown down at the scan.
+    Parquet keeps column pruning and filter pushdown down at the scan.  The
+    footer schema is inferred once per path and reused for later reads.
     """
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    path = os.path.join(sf_dir, f"{name}.parquet")
+    schema = _SCHEMAS.get(path)
+    if schema is None:
+        df = spark.read.parquet(path)
+        _SCHEMAS[path] = df.schema
+        return df
+    return spark.read.schema(schema).parquet(path)
 
 
 def require_columns(df: DataFrame, all_of: Iterable[str] = (), any_of: Iterable[str] = ()) -> list[str]:
