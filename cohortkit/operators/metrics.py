@@ -96,18 +96,24 @@ def score_counts(df: DataFrame, label: str, score: str, by: Sequence[str] = ())
         F.count(F.when(y == 1, 1)).alias("pos"), F.count(F.when(y == 0, 1)).alias("neg"))
 
 
-def auc_from_counts(sc: DataFrame, score: str, by: Sequence[str] = (), digits: int = 6) -> DataFrame:
-    """M3 on pre-aggregated counts: P(score_pos > score_neg) + ties / 2.
+def _negatives_below(sc: DataFrame, score: str, by: Sequence[str]) -> DataFrame:
+    """Adds ``_nb`` = negatives with a strictly lower score in the group.
 
-    Running negatives below each score come from a two-level scan (score
-    buckets, then within a bucket), so a group with many distinct scores is
-    spread over many tasks.  NULL when a class is absent.
-    """
+    Two-level scan (score buckets, then within a bucket), so a group with
+    many distinct scores is spread over many tasks."""
     b = F.least(F.greatest(F.floor(F.col(score) * AUC_BUCKETS), F.lit(0)), F.lit(AUC_BUCKETS - 1)).cast("long")
-    r = running_total(sc, "neg", [score], b, by=by, out="_nb", inclusive=False)
+    return running_total(sc, "neg", [score], b, by=by, out="_nb", inclusive=False)
+
+
+def _auc_expr(digits: int = 6) -> Column:
     contrib = F.col("pos") * (F.col("_nb") + F.col("neg") / 2.0)
-    return r.groupBy(*by).agg(
-        F.round(F.try_divide(F.sum(contrib), (F.sum("pos") * F.sum("neg")).cast("double")), digits).alias("auc"))
+    return F.round(F.try_divide(F.sum(contrib), (F.sum("pos") * F.sum("neg")).cast("double")), digits)
+
+
+def auc_from_counts(sc: DataFrame, score: str, by: Sequence[str] = (), digits: int = 6) -> DataFrame:
+    """M3 on pre-aggregated counts: P(score_pos > score_neg) + ties / 2;
+    NULL when a class is absent."""
+    return _negatives_below(sc, score, by).groupBy(*by).agg(_auc_expr(digits).alias("auc"))
 
 
 def auc(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
@@ -137,16 +143,17 @@ def metrics_by_followup(df: DataFrame, label: str, score: str, days: str,
     x = (pre.where(F.col("_lvl") > 0)
             .select(*by, score, "pos", "neg", F.explode(F.slice(ys, 1, F.col("_lvl"))).alias("years")))
     sc = x.groupBy(*by, "years", score).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    # one aggregation gives the confusion counts and the AUC of each group
     pred = classify(score, threshold, inclusive) == 1
-    cm = sc.groupBy(*by, "years").agg(
-        F.sum(F.when(~pred, F.col("neg")).otherwise(0)).alias("tn"),
-        F.sum(F.when(pred, F.col("neg")).otherwise(0)).alias("fp"),
-        F.sum(F.when(~pred, F.col("pos")).otherwise(0)).alias("fn"),
-        F.sum(F.when(pred, F.col("pos")).otherwise(0)).alias("tp"))
-    cm = cm.select(*by, "years", *[F.col(c).cast("long").alias(c) for c in ("tn", "fp", "fn", "tp")])
-    cm = cm.withColumn("n", F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp"))
-    a = auc_from_counts(sc, score, [*by, "years"])
-    return rates(cm).join(a, [*by, "years"], "left")
+    keys = [*by, "years"]
+    g = _negatives_below(sc, score, keys).groupBy(*keys).agg(
+        F.sum(F.when(~pred, F.col("neg")).otherwise(0)).cast("long").alias("tn"),
+        F.sum(F.when(pred, F.col("neg")).otherwise(0)).cast("long").alias("fp"),
+        F.sum(F.when(~pred, F.col("pos")).otherwise(0)).cast("long").alias("fn"),
+        F.sum(F.when(pred, F.col("pos")).otherwise(0)).cast("long").alias("tp"),
+        _auc_expr().alias("auc"))
+    g = g.withColumn("n", F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp"))
+    return rates(g).select(*keys, "tn", "fp", "fn", "tp", "n", "accuracy", "precision", "recall", "f1", "auc")
 
 
 def round_exact(x: Column, digits: int = 6) -> Column:
