@@ -41,6 +41,19 @@ def hash_uint32(text: Column) -> Column:
     return F.conv(F.substring(text, 1, 8), 16, 10).cast("long")
 
 
+def _bucket_counts(df: DataFrame, key: str, seed: int | str, by: list[str], prefix: int):
+    x = df.withColumn("_h", hash_key(seed, key)).withColumn("_hb", F.substring("_h", 1, prefix))
+    return x, x.groupBy(*by, "_hb").agg(F.count(F.lit(1)).alias("_cnt"))
+
+
+def _rank_rows(x: DataFrame, offs: DataFrame, key: str, by: list[str], out: str) -> DataFrame:
+    # offs has at most (#groups x 16**prefix) rows; AQE broadcasts it when its
+    # measured size is under the broadcast threshold, else shuffles.
+    x = x.join(offs, [*by, "_hb"])
+    w = Window.partitionBy(*by, "_hb").orderBy("_h", key)
+    return x.withColumn(out, (F.row_number().over(w) + F.col("_off")).cast("long")).drop("_h", "_hb", "_off")
+
+
 def hash_rank(df: DataFrame, key: str, seed: int | str, by: Sequence[str] = (),
               out: str = "rank", size_col: str | None = "n_group",
               prefix: int = HASH_PREFIX) -> DataFrame:
@@ -49,24 +62,28 @@ def hash_rank(df: DataFrame, key: str, seed: int | str, by: Sequence[str] = (),
     Equal to ``row_number() OVER (PARTITION BY by ORDER BY md5, key)`` but the
     widest task holds one md5-prefix bucket of one group.  ``key`` must be
     unique within ``by`` (it is the entity id).  Adds ``out`` and, if
-    ``size_col`` is set, the group size.
+    ``size_col`` is set, the group size (from the bucket table, no extra pass).
     """
     by = list(by)
-    x = df.withColumn("_h", hash_key(seed, key)).withColumn("_hb", F.substring("_h", 1, prefix))
-    counts = x.groupBy(*by, "_hb").agg(F.count(F.lit(1)).alias("_cnt"))
+    x, counts = _bucket_counts(df, key, seed, by, prefix)
     before = Window.partitionBy(*by).orderBy("_hb").rowsBetween(Window.unboundedPreceding, -1)
-    offs = counts.select(
-        *by, "_hb",
-        F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"),
-        F.sum("_cnt").over(Window.partitionBy(*by)).alias("_hr_n"),
-    )
-    # offs has at most (#groups x 16**prefix) rows; AQE broadcasts it when its
-    # measured size is under the broadcast threshold, else shuffles.
-    x = x.join(offs, [*by, "_hb"])
-    w = Window.partitionBy(*by, "_hb").orderBy("_h", key)
-    x = x.withColumn(out, (F.row_number().over(w) + F.col("_off")).cast("long"))
-    x = x.drop("_h", "_hb", "_off")
-    return x.withColumnRenamed("_hr_n", size_col) if size_col else x.drop("_hr_n")
+    cols = [*by, "_hb", F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off")]
+    if size_col:
+        cols.append(F.sum("_cnt").over(Window.partitionBy(*by)).alias(size_col))
+    return _rank_rows(x, counts.select(*cols), key, by, out)
+
+
+def hash_rank_with_sizes(df: DataFrame, key: str, seed: int | str, by: Sequence[str] = (),
+                         out: str = "rank", prefix: int = HASH_PREFIX) -> tuple[DataFrame, DataFrame]:
+    """``hash_rank`` plus the group-size table (one row per group), both from
+    the same bucket counts, so callers that need class sizes do not read
+    the rows again."""
+    by = list(by)
+    x, counts = _bucket_counts(df, key, seed, by, prefix)
+    before = Window.partitionBy(*by).orderBy("_hb").rowsBetween(Window.unboundedPreceding, -1)
+    offs = counts.select(*by, "_hb", F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"))
+    sizes = counts.groupBy(*by).agg(F.sum("_cnt").alias("n_group"))
+    return _rank_rows(x, offs, key, by, out), sizes
 
 
 def range_width(df: DataFrame, order: str, max_buckets: int = MAX_RANGE_BUCKETS) -> int:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortkit.operators.ranking import hash_rank, hash_uint32
+from cohortkit.operators.ranking import hash_rank, hash_rank_with_sizes, hash_uint32
 
 TWO32 = 4294967296
 
@@ -60,11 +60,11 @@ def balanced_draws(df: DataFrame, key: str, label: str, seed: int = 42, batch_si
 
     Returns ``draw_id`` (0-based), ``batch_id`` and the drawn row's columns.
     """
-    ranked = hash_rank(df, key, f"{seed}|row", by=[label], out="_rk", size_col="_nc")
+    ranked, sizes = hash_rank_with_sizes(df, key, f"{seed}|row", by=[label], out="_rk")
     # draw ids: one per input row, in hash order (0..N-1)
     draws = hash_rank(df.select(key), key, f"{seed}|draw", out="_d", size_col=None) \
         .select((F.col("_d") - 1).alias("draw_id"))
-    cls = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
+    cls = sizes.select(label, F.col("n_group").alias("_nc"))
     cls = cls.withColumn("_ci", (F.row_number().over(Window.orderBy(label)) - 1).cast("long"))
     n_classes = cls.count()  # one small job; the class table has one row per class
     hc = hash_uint32(F.md5(F.concat(F.lit(f"{seed}|c|"), F.col("draw_id").cast("string"))))
@@ -73,7 +73,7 @@ def balanced_draws(df: DataFrame, key: str, label: str, seed: int = 42, batch_si
     d = draws.withColumn("_ci", F.shiftright(hc * F.lit(n_classes), 32)).withColumn("_hr", hr)
     d = d.join(cls, "_ci")
     d = d.withColumn("_rk", F.shiftright(F.col("_hr") * F.col("_nc"), 32) + 1)
-    out = d.select("draw_id", label, "_rk").join(ranked.drop("_nc"), [label, "_rk"])
+    out = d.select("draw_id", label, "_rk").join(ranked, [label, "_rk"])
     return out.withColumn("batch_id", F.floor(F.col("draw_id") / batch_size).cast("long")).drop("_rk")
 
 

@@ -15,7 +15,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortkit.operators.ranking import hash_rank
+from cohortkit.operators.ranking import hash_rank, hash_rank_with_sizes
 
 
 def _fraction(frac: float) -> Fraction:
@@ -28,14 +28,15 @@ def n_test_of(n: Column, test_frac: float) -> Column:
     return F.floor((n * F.lit(q.numerator) + F.lit(q.denominator - 1)) / F.lit(q.denominator)).cast("long")
 
 
-def class_quotas(df: DataFrame, label: str, test_frac: float) -> DataFrame:
+def class_quotas(sizes: DataFrame, label: str, test_frac: float) -> DataFrame:
     """One row per class: ``n_c``, ``train_c``, ``test_c``, ``train_off``.
 
+    ``sizes`` is the class-size table (``label``, ``n_group``).
     ``train_off`` = training rows of smaller labels (for fold dealing).  The
     windows here run over the class table (one row per class), never over
     data rows.
     """
-    cls = df.groupBy(label).agg(F.count(F.lit(1)).alias("n_c"))
+    cls = sizes.select(label, F.col("n_group").alias("n_c"))
     allw = Window.partitionBy()
     n = F.sum("n_c").over(allw)
     x = cls.withColumn("_n", n).withColumn("_ntr", F.col("_n") - n_test_of(F.col("_n"), test_frac))
@@ -59,8 +60,8 @@ def stratified_split(df: DataFrame, key: str, label: str, seed: int = 42, test_f
     rows are dealt to folds round-robin continuing across classes in label
     order, which gives the fold sizes of stratified k-fold.
     """
-    r = hash_rank(df, key, seed, by=[label], out="_rk", size_col=None)
-    q = class_quotas(df, label, test_frac)
+    r, sizes = hash_rank_with_sizes(df, key, seed, by=[label], out="_rk")
+    q = class_quotas(sizes, label, test_frac)
     x = r.join(q, label)  # class table: one row per class (AQE broadcasts it)
     is_test = F.col("_rk") <= F.col("test_c")
     fold = ((F.col("_rk") - F.col("test_c") - 1 + F.col("train_off")) % k + 1).cast("long")
@@ -71,10 +72,9 @@ def stratified_split(df: DataFrame, key: str, label: str, seed: int = 42, test_f
 
 def stratified_folds(df: DataFrame, key: str, label: str, seed: int = 42, k: int = 10) -> DataFrame:
     """X3 alone: stratified k-fold over all rows (``fold`` 1..k)."""
-    r = hash_rank(df, key, seed, by=[label], out="_rk", size_col=None)
-    cls = df.groupBy(label).agg(F.count(F.lit(1)).alias("n_c"))
+    r, sizes = hash_rank_with_sizes(df, key, seed, by=[label], out="_rk")
     prev = Window.orderBy(label).rowsBetween(Window.unboundedPreceding, -1)
-    cls = cls.withColumn("_off", F.coalesce(F.sum("n_c").over(prev), F.lit(0)))
+    cls = sizes.withColumn("_off", F.coalesce(F.sum("n_group").over(prev), F.lit(0)))
     x = r.join(cls.select(label, "_off"), label)
     return x.withColumn("fold", ((F.col("_rk") - 1 + F.col("_off")) % k + 1).cast("long")).drop("_rk", "_off")
 
