@@ -23,9 +23,6 @@ from pyspark.sql import functions as F
 
 # Hex digits of md5 used as order-preserving bucket: 16**3 = 4,096 buckets per group.
 HASH_PREFIX = 3
-# Upper bound on the number of range buckets for numeric order keys.
-MAX_RANGE_BUCKETS = 1 << 16
-MIN_RANGE_WIDTH = 1 << 10
 # Fixed bucket width (row ids per bucket) of the forward-fill carry.
 CARRY_WIDTH = 1 << 16
 
@@ -86,18 +83,6 @@ def hash_rank_with_sizes(df: DataFrame, key: str, seed: int | str, by: Sequence[
     return _rank_rows(x, offs, key, by, out), sizes
 
 
-def range_width(df: DataFrame, order: str, max_buckets: int = MAX_RANGE_BUCKETS) -> int:
-    """Bucket width for an integer order key: at most ``max_buckets`` buckets.
-
-    Reads two numbers (min, max) with one aggregate job.
-    """
-    r = df.agg(F.min(order).alias("lo"), F.max(order).alias("hi")).first()
-    if r is None or r["lo"] is None:
-        return MIN_RANGE_WIDTH
-    span = int(r["hi"]) - int(r["lo"]) + 1
-    return max(MIN_RANGE_WIDTH, -(-span // max_buckets))
-
-
 def carry_forward(df: DataFrame, value: str, order: str, by: Sequence[str] = (),
                   out: str | None = None, width: int | None = None) -> DataFrame:
     """Forward fill (W1): NULL ``value`` takes the last non-NULL value before it
