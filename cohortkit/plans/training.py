@@ -31,18 +31,21 @@ from cohortkit.session import cut_lineage
 SEED = 42
 K = 10
 GRID = (0.0, 0.01)
+PARALLEL_FITS = 8  # fits submitted side by side by CrossValidator (driver threads)
 FEATS = FT.FEATURES
 
 
 def _train_test(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    s = cut_lineage(split_features(spark, sf))
-    return TR.with_pos_weight(SP.train_rows(s), "label"), SP.test_rows(s)
+    s = split_features(spark, sf)
+    # every grid point and fold re-reads the weighted training rows
+    return cut_lineage(TR.with_pos_weight(SP.train_rows(s), "label")), SP.test_rows(s)
 
 
 def cv_fit(spark: SparkSession, sf: str):
     train, test = _train_test(spark, sf)
     lr = TR.weighted_logistic()
-    cvm = TR.cross_validate(train, TR.classifier_pipeline(lr), TR.logistic_grid(lr, GRID), k=K)
+    cvm = TR.cross_validate(train, TR.classifier_pipeline(lr), TR.logistic_grid(lr, GRID), k=K,
+                            parallelism=PARALLEL_FITS)
     return cvm, train, test
 
 
@@ -88,7 +91,7 @@ def q_mlp(spark, sf):
 @query("pairwise_ranker", None, "T4,J4,M4,X5,X6")
 def q_ranker(spark, sf):
     """Rebalanced draws in batches of 32 -> pairwise ranker -> test scores."""
-    s = cut_lineage(split_features(spark, sf))
+    s = split_features(spark, sf)
     train = SP.train_rows(s)
     stats = FT.fit_scaler(train, FEATS)
     z_train = FT.scale(train, stats, FEATS, on=())
