@@ -54,7 +54,11 @@ FROM (SELECT fold, count(CASE WHEN y = 0 AND prob <= 0.5 THEN 1 END) AS tn,
 _DEPS["rates"] = ["scores"]
 
 
-@query("early_stop", with_ctes("""
+def _early_stop_sql(patience: int, every: int) -> str:
+    """Window formulation (exact when min_delta = 0): a check improves when
+    its loss is below every earlier check; the run stops at the first check
+    that many checks after the last improvement."""
+    return with_ctes("""
 SELECT f.run_id,
        count(CASE WHEN f.epoch <= coalesce(s.stop_epoch, 9223372036854775807) THEN 1 END) AS n_checks,
        max(CASE WHEN f.imp AND f.epoch <= coalesce(s.stop_epoch, 9223372036854775807) THEN f.epoch END) AS best_epoch,
@@ -66,22 +70,30 @@ FROM (SELECT *, ci - max(CASE WHEN imp THEN ci END) OVER (PARTITION BY run_id OR
             FROM (SELECT run_id, epoch, val_loss, row_number() OVER (PARTITION BY run_id ORDER BY epoch) AS ci,
                          min(val_loss) OVER (PARTITION BY run_id ORDER BY epoch
                              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev
-                  FROM fx_history WHERE epoch % 5 = 0) a) b) f
-JOIN (SELECT run_id, min(CASE WHEN cnt >= 2 THEN epoch END) AS stop_epoch
+                  FROM fx_history WHERE epoch % {every} = 0) a) b) f
+JOIN (SELECT run_id, min(CASE WHEN cnt >= {patience} THEN epoch END) AS stop_epoch
       FROM (SELECT *, ci - max(CASE WHEN imp THEN ci END) OVER (PARTITION BY run_id ORDER BY epoch
                        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cnt
             FROM (SELECT *, (prev IS NULL OR val_loss < prev) AS imp
                   FROM (SELECT run_id, epoch, val_loss, row_number() OVER (PARTITION BY run_id ORDER BY epoch) AS ci,
                                min(val_loss) OVER (PARTITION BY run_id ORDER BY epoch
                                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev
-                        FROM fx_history WHERE epoch % 5 = 0) a) b) c
+                        FROM fx_history WHERE epoch % {every} = 0) a) b) c
       GROUP BY run_id) s USING (run_id)
 JOIN (SELECT run_id, max(epoch) AS last_epoch FROM fx_history GROUP BY run_id) l USING (run_id)
-GROUP BY f.run_id, s.stop_epoch, l.last_epoch""", "fx_history"), "W6,W7 (check every 5 epochs, patience 2)")
+GROUP BY f.run_id, s.stop_epoch, l.last_epoch""".format(every=every, patience=patience), "fx_history")
+
+
+@query("early_stop", _early_stop_sql(2, 5), "W6 (check every 5 epochs, patience 2)")
 def q_early_stop(spark, sf):
     return HS.early_stop(history(spark, sf), patience=2, min_delta=0.0, check_every=5)
 
 
+@query("early_stop_interval", _early_stop_sql(3, 5), "W7 (check every 5 epochs, 3 misses, best restored)")
+def q_early_stop_interval(spark, sf):
+    return HS.early_stop(history(spark, sf), patience=3, min_delta=0.0, check_every=5)
+
+
 _DELTA_BODY = """
 c AS (SELECT run_id, epoch, val_loss, row_number() OVER (PARTITION BY run_id ORDER BY epoch) AS ci FROM fx_history),
 r(run_id, ci, best, best_e, cnt, stop, n) AS (

@@ -98,6 +98,14 @@ def q_plain(spark, sf):
     return SP.plain_split(cohort_xy(spark, sf), "Code", 123, 0.2, K).select("Code", "label", "is_test", "fold")
 
 
+@query("folds_plain", with_ctes(f"""
+SELECT Code, label, CAST((row_number() OVER (ORDER BY {_H.format(seed=SEED, key='Code')}, Code) - 1) % {K} + 1 AS BIGINT)
+       AS fold
+FROM cohort_xy""", "cohort_xy"), "X4")
+def q_folds_plain(spark, sf):
+    return SP.plain_split(cohort_xy(spark, sf), "Code", SEED, 0.0, K).select("Code", "label", "fold")
+
+
 @query("split_shape", with_ctes("""
 SELECT CASE is_test WHEN 1 THEN 'test' ELSE 'train' END AS subset, count(*) AS n,
        count(CASE WHEN label = 1 THEN 1 END) AS n_pos,
