@@ -117,25 +117,42 @@ def probability_of_one(df: DataFrame, out: str = "prob") -> DataFrame:
 
 # --- T4: pairwise ranker -------------------------------------------------
 
-def _pair_gradient(features: list[str], w: np.ndarray):
-    """Per batch: gradient of mean softplus(s_neg - s_pos) for s = w . x.
-
-    A batch has at most ``batch_size`` rows (X6), so the pos x neg score
-    matrix is a small in-memory array; no pair rows are produced.
-    """
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf[features].to_numpy(dtype=float)
-        y = pdf["label"].to_numpy()
-        pos, neg = x[y == 1], x[y == 0]
-        g = np.zeros(len(features))
-        loss = 0.0
-        if len(pos) and len(neg):
-            d = neg @ w[:, None] - (pos @ w)[None, :]          # (n_neg, n_pos): s_neg - s_pos
-            sig = 1.0 / (1.0 + np.exp(-d))
-            loss = float(np.mean(np.maximum(d, 0) + np.log1p(np.exp(-np.abs(d)))))
-            # d/dw softplus(s_n - s_p) = sigmoid(d) * (x_n - x_p)
-            g = (sig.sum(axis=1) @ neg - sig.sum(axis=0) @ pos) / d.size
-        return pd.DataFrame([[int(len(pdf)), loss, *g.tolist()]])
+def _batch_gradient(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, np.ndarray]:
+    """Mean softplus(s_neg - s_pos) over the pos x neg pairs of one batch and
+    its gradient for s = w . x.  A batch has at most ``batch_size`` rows (X6),
+    so the pair matrix is a small in-memory array; no pair rows exist."""
+    pos, neg = x[y == 1], x[y == 0]
+    if not len(pos) or not len(neg):
+        return 0.0, np.zeros(x.shape[1])
+    d = neg @ w[:, None] - (pos @ w)[None, :]          # (n_neg, n_pos): s_neg - s_pos
+    sig = 1.0 / (1.0 + np.exp(-d))
+    loss = float(np.mean(np.maximum(d, 0) + np.log1p(np.exp(-np.abs(d)))))
+    # d/dw softplus(s_n - s_p) = sigmoid(d) * (x_n - x_p)
+    return loss, (sig.sum(axis=1) @ neg - sig.sum(axis=0) @ pos) / d.size
+
+
+def _partition_gradients(features: list[str], batch: str, w: np.ndarray):
+    """mapInPandas body: rows arrive sorted by batch inside a partition that
+    holds whole batches; chunks are streamed and only the last, possibly
+    incomplete batch is carried to the next chunk."""
+    def rows(g: pd.DataFrame):
+        loss, grad = _batch_gradient(g[features].to_numpy(dtype=float), g["label"].to_numpy(), w)
+        return [int(len(g)), loss, *grad.tolist()]
+
+    def fn(chunks):
+        carry = None
+        for pdf in chunks:
+            if carry is not None:
+                pdf = pd.concat([carry, pdf], ignore_index=True)
+            if not len(pdf):
+                continue
+            last = pdf[batch].iloc[-1]
+            done, carry = pdf[pdf[batch] != last], pdf[pdf[batch] == last]
+            out = [rows(g) for _, g in done.groupby(batch, sort=False)]
+            if out:
+                yield pd.DataFrame(out)
+        if carry is not None and len(carry):
+            yield pd.DataFrame([rows(carry)])
     return fn
 
 
@@ -143,16 +160,18 @@ def fit_pairwise_ranker(batches: DataFrame, features: Sequence[str], batch: str
                         iterations: int = 30, step: float = 0.5) -> np.ndarray:
     """T4: linear scorer trained on the pairwise AUC surrogate (M4).
 
-    Each iteration is one Spark job: batches are grouped (bounded groups),
-    gradients are computed per batch with ``applyInPandas`` and summed
-    (size-weighted, M8); the driver keeps only the d weights.
+    The batches are partitioned by batch id and sorted once, then
+    checkpointed; each iteration is one narrow pass (``mapInPandas``) that
+    yields one gradient row per batch, plus a size-weighted sum (M8).  The
+    driver keeps only the d weights.
     """
+    from cohortkit.session import cut_lineage
     feats = list(features)
     w = np.zeros(len(feats))
     schema = "n long, loss double, " + ", ".join(f"g{i} double" for i in range(len(feats)))
-    src = batches.select(batch, "label", *feats)
+    src = cut_lineage(batches.select(batch, "label", *feats).repartition(batch).sortWithinPartitions(batch))
     for _ in range(iterations):
-        per = src.groupBy(batch).applyInPandas(_pair_gradient(feats, w.copy()), schema)
+        per = src.mapInPandas(_partition_gradients(feats, batch, w.copy()), schema)
         r = per.agg(F.sum("n").alias("n"), *[F.sum(F.col(f"g{i}") * F.col("n")).alias(f"g{i}")
                                              for i in range(len(feats))]).first()
         grad = np.array([r[f"g{i}"] for i in range(len(feats))]) / max(r["n"], 1)

@@ -95,7 +95,7 @@ def q_ranker(spark, sf):
     train = SP.train_rows(s)
     stats = FT.fit_scaler(train, FEATS)
     z_train = FT.scale(train, stats, FEATS, on=())
-    draws = cut_lineage(SM.balanced_draws(z_train, "Code", "label", SEED, 32))
+    draws = SM.balanced_draws(z_train, "Code", "label", SEED, 32)
     w = TR.fit_pairwise_ranker(draws, FEATS, iterations=20)
     z_test = FT.scale(SP.test_rows(s), stats, FEATS, on=())
     return TR.score_linear(z_test, FEATS, w).select("Code", "label", "dateAssess", F.round("score", 6).alias("score"))

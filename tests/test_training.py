@@ -55,3 +55,30 @@ def test_streaming_early_stop_matches_batch(spark, sf):
     b = E.queries()["early_stop"](spark, sf)
     b = sorted(map(tuple, b.select("run_id", "n_checks", "best_epoch", "best_loss", "stop_epoch", "last_epoch").collect()))
     assert a == b
+
+
+def test_ranker_gradients_stream_across_chunks(spark):
+    """Per-batch gradients are the same when batches straddle Arrow chunks."""
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql import functions as F
+    from cohortkit.operators import training as TR
+    rng = np.random.default_rng(0)
+    pdf = pd.DataFrame({"batch_id": np.repeat(np.arange(40), 32)[:1200], "label": rng.integers(0, 2, 1200),
+                        "a": rng.normal(size=1200), "b": rng.normal(size=1200)})
+    w = np.array([0.3, -0.2])
+    exp = {}
+    for b, g in pdf.groupby("batch_id"):
+        exp[b] = TR._batch_gradient(g[["a", "b"]].to_numpy(), g["label"].to_numpy(), w)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        df = spark.createDataFrame(pdf).repartition(3, "batch_id").sortWithinPartitions("batch_id")
+        out = df.mapInPandas(TR._partition_gradients(["a", "b"], "batch_id", w),
+                             "n long, loss double, g0 double, g1 double").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert sum(r.n for r in out) == 1200 and len(out) == pdf.batch_id.nunique()
+    got = sorted((round(r.loss, 9), round(r.g0, 9), round(r.g1, 9)) for r in out)
+    want = sorted((round(l, 9), round(g[0], 9), round(g[1], 9)) for l, g in exp.values())
+    assert got == want
