@@ -58,3 +58,22 @@ def test_summary_json(spark, sf, tmp_path):
     s = MT.fold_summary(EV.per_fold_followup(spark, sf), ["accuracy", "f1"], ["years"])
     SK.write_summary(s, str(tmp_path / "sum"))
     assert spark.read.json(str(tmp_path / "sum")).count() == 3
+
+
+def test_cohort_csv_and_sample_export(spark, sf, tmp_path):
+    from pyspark.sql import functions as F
+    from cohortkit.operators import features as FT
+    from cohortkit.plans.features import features
+    from cohortkit.sources.tables import read_cohort_csv
+    f = features(spark, sf)
+    f.write.option("header", True).csv(str(tmp_path / "cohort.csv"))
+    back = read_cohort_csv(spark, str(tmp_path / "cohort.csv"))
+    assert back.count() == f.count() and set(back.columns) == set(f.columns)
+    scored = (f.select("Code", *FT.FEATURES, *[F.col(c).alias(f"o_{c}") for c in FT.FEATURES])
+               .withColumn("prob", F.lit(0.7)).withColumn("prediction", (F.col("Code") % 2).cast("int"))
+               .withColumn("fold", F.lit(8)))
+    SK.export_samples(SK.sample_records(scored, FT.FEATURES), str(tmp_path / "samples"), folds=[8])
+    parts = sorted(p.name for p in (tmp_path / "samples" / "fold=8").iterdir() if p.is_dir())
+    assert parts == ["prediction=0", "prediction=1"]
+    rec = json.loads(next(l for p in (tmp_path / "samples").rglob("*.json") for l in p.read_text().splitlines() if l))
+    assert set(json.loads(rec["record"])) == {"features_scaled", "features_original", "probability", "prediction"}
