@@ -31,7 +31,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortkit.operators import features as FT
-from cohortkit.operators import metrics as MT
 from cohortkit.operators.sampling import with_sample_weight
 
 
@@ -206,7 +205,7 @@ def load_model(path: str) -> PipelineModel:
 
 __all__ = ["PopStdScaler", "PopStdScalerModel", "classifier_pipeline", "weighted_logistic", "mlp",
            "with_pos_weight", "cross_validate", "logistic_grid", "probability_of_one", "fit_pairwise_ranker",
-           "score_linear", "time_regressor", "save_model", "load_model", "MT"]
+           "score_linear", "time_regressor", "save_model", "load_model", "feature_order"]
 
 
 def feature_order(df: DataFrame, vector_col: str = "features") -> list[str]:

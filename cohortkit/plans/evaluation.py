@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortkit.functions import recode as R
 from cohortkit.operators import metrics as MT
 from cohortkit.operators import sampling as SM
 from cohortkit.operators import splits as SP
@@ -259,5 +258,3 @@ FROM fx_site_b""", "fx_site_b"), "A2")
 def q_event_share(spark, sf):
     return V.event_share(fx.fx_site_b(spark, sf), "outcome")
 
-
-__all__ = ["scores", "per_fold_followup", "R"]

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from cohortkit.plans import history as _hist  # noqa: F401
 from cohortkit.plans.registry import REGISTRY, query
 from cohortkit.sources import fixtures as fx
