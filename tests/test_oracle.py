@@ -10,6 +10,8 @@ import __spark_entry__ as E
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()
 SQL = E.oracle_sql()
+TYPE_PAIRS = {("int", "INTEGER"), ("bigint", "BIGINT"), ("double", "DOUBLE"), ("string", "VARCHAR"),
+              ("string", "STRING")}
 
 
 def _norm(v):
@@ -44,6 +46,10 @@ def test_query_matches_oracle(spark, sf, con, name):
     ocols = [d[0] for d in cur.description]
     orows = cur.fetchall()
     assert sorted(df.columns) == sorted(ocols)
+    # same column types on both sides (the driver's compare includes the schema)
+    otypes = {d[0]: str(d[1]).upper() for d in cur.description}
+    for c, t in df.dtypes:
+        assert (t, otypes[c]) in TYPE_PAIRS, (c, t, otypes[c])
     assert len(srows) == len(orows)
     assert _digest(df.columns, srows) == _digest(ocols, orows)
 
