@@ -61,12 +61,13 @@ def balanced_draws(df: DataFrame, key: str, label: str, seed: int = 42, batch_si
     Returns ``draw_id`` (0-based), ``batch_id`` and the drawn row's columns.
     """
     ranked, sizes = hash_rank_with_sizes(df, key, f"{seed}|row", by=[label], out="_rk")
-    # draw ids: one per input row, in hash order (0..N-1)
-    draws = hash_rank(df.select(key), key, f"{seed}|draw", out="_d", size_col=None) \
-        .select((F.col("_d") - 1).alias("draw_id"))
     cls = sizes.select(label, F.col("n_group").alias("_nc"))
     cls = cls.withColumn("_ci", (F.row_number().over(Window.orderBy(label)) - 1).cast("long"))
-    n_classes = cls.count()  # one small job; the class table has one row per class
+    # two numbers from the class table (one row per class): C and N
+    tot = sizes.agg(F.count(F.lit(1)).alias("c"), F.sum("n_group").alias("n")).first()
+    n_classes, n_draws = int(tot["c"]), int(tot["n"] or 0)
+    # draw ids 0..N-1; which row a draw fetches depends only on its id's hash
+    draws = df.sparkSession.range(n_draws).select(F.col("id").alias("draw_id"))
     hc = hash_uint32(F.md5(F.concat(F.lit(f"{seed}|c|"), F.col("draw_id").cast("string"))))
     hr = hash_uint32(F.md5(F.concat(F.lit(f"{seed}|r|"), F.col("draw_id").cast("string"))))
     # class index = floor(hc * C / 2^32), row rank = floor(hr * n_c / 2^32) + 1, exact in 64-bit
