@@ -77,3 +77,15 @@ def test_cohort_csv_and_sample_export(spark, sf, tmp_path):
     assert parts == ["prediction=0", "prediction=1"]
     rec = json.loads(next(l for p in (tmp_path / "samples").rglob("*.json") for l in p.read_text().splitlines() if l))
     assert set(json.loads(rec["record"])) == {"features_scaled", "features_original", "probability", "prediction"}
+
+
+def test_previous_best_broken_file_defaults_to_zero(spark, tmp_path):
+    from cohortkit.operators import history as HS
+    d = tmp_path / "best"
+    d.mkdir()
+    (d / "part-0.json").write_text("{not json at all\n")
+    stored = SK.read_previous_best(spark, str(d))
+    assert stored.count() == 0
+    cur = spark.createDataFrame([(1, "r1", 0.4)], "fold long, run_id string, best_f1 double")
+    out = HS.previous_best(cur, stored.select("fold", "best_f1"), "fold", "best_f1").first()
+    assert (out.prev_best, out.improved) == (0.0, 1)
