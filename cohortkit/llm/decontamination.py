@@ -1,6 +1,6 @@
 """Operator 3, benchmark decontamination: q-gram lemma filtering and banded alignment.
 
-Benchmark items and documents are normalised (A-Z lower-cased, runs of white
+Benchmark items and documents are normalised (lower case, runs of white
 space as one space) and compared as UTF-8 bytes.  Items are cut into
 overlapping pieces; a piece of m bytes has an edit budget of ``budget`` of its
 length.  A region within e edits of a piece shares at least m - q + 1 - q e of
@@ -176,7 +176,7 @@ class Index:
 def _blocks(benchmark: DataFrame, piece: int, budget: float, least: int) -> Iterator[Index]:
     """The benchmark as indexes of bounded size, read to the driver row by row."""
     rows, size = [], 0
-    for r in benchmark.select("item_id", "text").toLocalIterator():
+    for r in benchmark.select("item_id", F.lower("text")).toLocalIterator():
         rows.append((r[0], r[1]))
         size += len(r[1] or "")
         if size >= BLOCK_BYTES:
@@ -212,7 +212,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, piece: int = 128, budget
                          pa.array(np.maximum(begin - offsets[row], 0)), pa.array(end - offsets[row]), pa.array(edits)],
                         names=["doc_id", "item_id", "start", "end", "edits"])
 
-        part = docs.select(id_col, "text").mapInArrow(run, f"doc_id {idt}, item_id {itt}, start long, end long, edits long")
+        part = docs.select(id_col, F.lower("text").alias("text")).mapInArrow(run, f"doc_id {idt}, item_id {itt}, start long, end long, edits long")
         out = part if out is None else out.unionByName(part)
     return out
 
