@@ -3,7 +3,7 @@
 
 def load_all() -> tuple[dict, dict]:
     """Import every operator module; returns its queries and SQL by name."""
-    from cohortkit.llm import chat_format, decontamination, line_dedup, mixing, ngram_join, quality_rules, substring_index, token_counts  # noqa: F401
+    from cohortkit.llm import chat_format, compact_windows, decontamination, line_dedup, mixing, ngram_join, quality_rules, substring_index, token_counts  # noqa: F401
     from cohortkit.llm.registry import QUERIES, SQL
 
     return QUERIES, SQL
