@@ -20,6 +20,8 @@ documents of their own; null ids are kept; extra columns are not read.
 
 from __future__ import annotations
 
+import hashlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,10 +30,13 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from cohortkit.llm.common import SPACE, let, lower_ascii, read, stage
+from cohortkit.llm.common import SPACE, read, stage
+from cohortkit.llm.ragged import batches_of, text_buffer
 from cohortkit.llm.registry import query
 
+WHITE = SPACE.encode()
 SLOTS = 4
 MAX_KICKS = 500
 #: Keys that a shard's filter is laid out for, and the filters' size up to which they are broadcast.
@@ -102,21 +107,21 @@ class LineState:
     min_docs: int
 
 
-def _lines(text: Column) -> Column:
-    return F.split(F.coalesce(text, F.lit("")), "\n")
+def _keys(text: bytes) -> list[bytes]:
+    """The key of every line, empty for a line without one; 128 bits of hash otherwise."""
+    keys = (line.strip(WHITE).lower() for line in text.split(b"\n"))
+    return [hashlib.blake2b(k, digest_size=16).digest() if k else b"" for k in keys]
 
 
-def _key(line: Column) -> Column:
-    """128 bits of the line's key; null for an empty key."""
-    def hashed(k: Column) -> Column:
-        return F.when(k != "", F.struct(F.xxhash64(k).alias("k1"), F.xxhash64(F.lit(6), k).alias("k2")))
-    return hashed(lower_ascii(F.btrim(line, F.lit(SPACE))))
+def _texts(batch: pa.RecordBatch, column: int) -> Iterator[bytes]:
+    data, offsets = text_buffer(batch.column(column))
+    raw = data.tobytes()
+    return (raw[a:b] for a, b in zip(offsets.tolist(), offsets[1:].tolist()))
 
 
-def line_keys(docs: DataFrame) -> DataFrame:
-    """(doc_id, keys): the distinct keys of each document."""
-    keys = F.array_distinct(F.transform(_lines(F.col("text")), _key))
-    return docs.select("doc_id", F.filter(keys, lambda k: k.isNotNull()).alias("keys"))
+def _halves(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
+    return both[:, 0].copy(), both[:, 1].copy()
 
 
 def _shard(k1: Column, shards: int) -> Column:
@@ -124,8 +129,15 @@ def _shard(k1: Column, shards: int) -> Column:
 
 
 def _counts(docs: DataFrame, sign: int) -> DataFrame:
-    return (line_keys(docs).select(F.explode("keys").alias("k")).groupBy("k.k1", "k.k2")
-            .agg((F.count("*") * sign).alias("n")))
+    """(k1, k2, n): documents that hold each key, counted in the batch, then in the task, then over all."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in batches_of(whole, 0, 16 << 20):
+                count = Counter(k for text in _texts(b, 0) for k in set(_keys(text)) if k)
+                k1, k2 = _halves(list(count))
+                yield pa.RecordBatch.from_arrays([pa.array(k1), pa.array(k2), pa.array(list(count.values()), pa.int64())], names=["k1", "k2", "n"])
+
+    return docs.select("text").mapInArrow(run, "k1 long, k2 long, n long").groupBy("k1", "k2").agg((F.sum("n") * sign).alias("n"))
 
 
 def _build(refs: DataFrame, min_docs: int, shards: int) -> DataFrame:
@@ -182,30 +194,29 @@ def delete_documents(state: LineState, docs: DataFrame) -> LineState:
 
 
 def _candidates(state: LineState, docs: DataFrame) -> DataFrame:
-    """(doc_id, k1, k2) of the lines that pass the filters; all lines where the filters are too large to send."""
-    keys = line_keys(docs)
+    """(doc_id, k1, k2) of the keys that pass the filters; all keys where the filters are too large to send."""
     size = state.filters.agg(F.coalesce(F.sum(F.length("cells")), F.lit(0))).first()[0]
-    if size > BROADCAST_BYTES:
-        return keys.select("doc_id", F.explode("keys").alias("k")).select("doc_id", "k.k1", "k.k2")
-    held = {r["shard"]: (r["buckets"], bytes(r["cells"])) for r in state.filters.toLocalIterator()}
+    held = None
+    if size <= BROADCAST_BYTES:
+        held = {r["shard"]: (r["buckets"], bytes(r["cells"])) for r in state.filters.toLocalIterator()}
     sent, shards = docs.sparkSession.sparkContext.broadcast(held), state.shards
 
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filters = {s: CuckooFilter(*f) for s, f in sent.value.items()}
-        for b in batches:
-            sizes = np.diff(b.column(1).offsets.to_numpy())
-            k1, k2 = (b.column(i).flatten().to_numpy(zero_copy_only=False) for i in (1, 2))
-            at, hit = np.mod(k1, shards), np.zeros(len(k1), bool)
-            for s, f in filters.items():
-                here = np.flatnonzero(at == s)
-                hit[here] = f.contains(k1[here], k2[here])
-            rows = np.repeat(np.arange(b.num_rows), sizes)[hit]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array(k1[hit]), pa.array(k2[hit])],
-                                             names=["doc_id", "k1", "k2"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filters = {s: CuckooFilter(*f) for s, f in (sent.value or {}).items()}
+        for whole in batches:
+            for b in batches_of(whole, 1):
+                keys = [[k for k in set(_keys(text)) if k] for text in _texts(b, 1)]
+                k1, k2 = _halves([k for ks in keys for k in ks])
+                hit = np.full(len(k1), sent.value is None)
+                for s, f in filters.items():
+                    here = np.flatnonzero(np.mod(k1, shards) == s)
+                    hit[here] = f.contains(k1[here], k2[here])
+                rows = np.repeat(np.arange(b.num_rows), [len(ks) for ks in keys])[hit]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array(k1[hit]), pa.array(k2[hit])],
+                                                 names=["doc_id", "k1", "k2"])
 
     idt = docs.schema["doc_id"].dataType.simpleString()
-    return keys.select("doc_id", F.col("keys.k1").alias("k1"), F.col("keys.k2").alias("k2")).mapInArrow(
-        probe, f"doc_id {idt}, k1 long, k2 long")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {idt}, k1 long, k2 long")
 
 
 def drop_lines(state: LineState, docs: DataFrame) -> DataFrame:
@@ -217,13 +228,29 @@ def drop_lines(state: LineState, docs: DataFrame) -> DataFrame:
     sure = _candidates(state, docs).join(hot, (F.col("k1") == F.col("h1")) & (F.col("k2") == F.col("h2")), "left_semi")
     per_doc = sure.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct("k1", "k2")).alias("_hot"))
     joined = docs.join(per_doc, F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
-    lines = _lines(F.col("text"))
-    kept = F.when(F.col("_hot").isNull(), lines).otherwise(
-        let(F.col("_hot"), lambda hot: F.filter(lines, lambda x: ~F.coalesce(F.array_contains(hot, _key(x)), F.lit(False)))))
-    out = joined.withColumn("_kept", kept).withColumn("n_lines", F.size(lines).cast("long"))
-    return (out.withColumn("n_dropped", F.col("n_lines") - F.size("_kept"))
-            .withColumn("text", F.when(F.col("_hot").isNull(), F.col("text")).otherwise(F.array_join("_kept", "\n")))
-            .drop("_hot", "_kept"))
+    names, at = docs.columns, docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in batches_of(whole, at):
+                text, lines, gone = b.column(at).to_pylist(), [], []
+                hot_of = b.column(len(names))
+                for i, raw in enumerate(_texts(b, at)):
+                    parts, drop = raw.split(b"\n"), 0
+                    if hot_of[i].is_valid:
+                        hot = {np.array([h["k1"], h["k2"]], np.int64).tobytes() for h in hot_of[i].as_py()}
+                        kept = [p for p, k in zip(parts, _keys(raw)) if k not in hot]
+                        drop = len(parts) - len(kept)
+                        text[i] = b"\n".join(kept).decode()
+                    lines.append(len(parts))
+                    gone.append(drop)
+                columns = [b.column(i) for i in range(len(names))]
+                columns[at] = pa.array(text, b.column(at).type)
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.int64()), pa.array(gone, pa.int64())],
+                                                 names=[*names, "n_lines", "n_dropped"])
+
+    schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+    return joined.select(*names, "_hot").mapInArrow(run, schema)
 
 
 OP6_SQL = r"""
