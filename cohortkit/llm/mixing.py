@@ -31,6 +31,8 @@ BLOCK_BITS = 12
 BLOCKS = 1 << BLOCK_BITS
 #: Rows of the table of sources that may be broadcast and split on the driver.
 MAX_SOURCES = 100_000
+#: Rows (source, block) of the table of draws that may be broadcast; beyond it is joined by a shuffle.
+MAX_BROADCAST_BLOCKS = 1 << 18
 
 
 def targets(sources: DataFrame, weights: tuple[float, ...], share: float, cap: float) -> DataFrame:
@@ -81,20 +83,22 @@ def _ends(rows: DataFrame, key: Column, rest: Column) -> DataFrame:
             .select("source", "m._key", "m._rest"))
 
 
+def _sized(docs: DataFrame, seed: int) -> DataFrame:
+    words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    return docs.withColumn("size", words).withColumn("_h", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("source"), F.col("text")))
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, cap: float = 2.0,
-        shards: int = 64, seed: int = 17, keep: tuple[str, ...] = ()) -> DataFrame:
+        shards: int = 64, seed: int = 17, whole_rows: bool = False) -> DataFrame:
     """Per document its size, its source's size and target, and the output shards that take a copy of it.
 
     Columns: doc_id, source, size, source_size, target, draws (array of
-    (copy, shard, position)), then ``keep``.  Exploding ``draws``, writing by
-    shard and sorting by position within it gives the mix.
+    (copy, shard, position)); with ``whole_rows`` the columns of ``docs`` and
+    ``draws``.  Exploding ``draws``, writing by shard and sorting by position
+    within it gives the mix.
     """
     spark = docs.sparkSession
-    h = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("source"), F.col("text"))
-    sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-                        h.alias("_h"), *(F.col(c).alias(f"_keep_{c}") for c in keep))
-    slim = stage(sized.select("doc_id", "source", "size", "_h"), "op8-sizes") if not keep else None
-    rows = slim if slim is not None else stage(sized, "op8-sizes")
+    rows = stage(_sized(docs, seed).select("doc_id", "source", "size", "_h"), "op8-sizes")
     block = F.shiftrightunsigned("_h", 64 - BLOCK_BITS)
     sub = F.shiftrightunsigned("_h", 64 - 2 * BLOCK_BITS).bitwiseAND(F.lit(BLOCKS - 1))
     # An unsigned order of the hash, as a signed number.
@@ -150,7 +154,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: fl
         F.transform(F.sequence(F.lit(0), F.col("passes").cast("int")),
                     lambda c: shard_of(F.col("_rank") + c.cast("long") * F.col("_n"))).alias("_shards"))
 
-    whole = joined(rows, plan.drop("weight"))
+    if n_sources * BLOCKS <= MAX_BROADCAST_BLOCKS:
+        dealt = F.broadcast(dealt)
+    taken = _sized(docs.select([F.col(c).alias(f"_doc_{c}") for c in docs.columns] + ["doc_id", "source", "text"]), seed).drop("text") if whole_rows else rows
+    whole = joined(taken, plan.drop("weight"))
     # Lexicographic order of (block, sub-block, hash, id) against the end of the partial pass.
     before_end = (F.when(F.col("_rest") <= 0, False).when(F.col("_b1").isNull() | (block < F.col("_b1")), True).when(block > F.col("_b1"), False)
                   .when(F.col("_b2").isNull() | (sub < F.col("_b2")), True).when(sub > F.col("_b2"), False)
@@ -160,8 +167,16 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: fl
         dealt, F.col("source").eqNullSafe(F.col("_bs")) & (F.col("_block") == F.col("_bb")), "left")
     draws = F.transform(F.slice("_shards", F.lit(1), F.col("_copies")), lambda s, i: F.struct(
         i.alias("copy"), s.alias("shard"), F.xxhash64(F.lit(seed + 1), F.col("_h"), i).alias("position")))
-    return with_shards.select("doc_id", "source", "size", "source_size", "target", draws.alias("draws"),
-                              *(F.col(f"_keep_{c}").alias(c) for c in keep if c not in ("doc_id", "source")))
+    if whole_rows:
+        return with_shards.select(*(F.col(f"_doc_{c}").alias(c) for c in docs.columns), draws.alias("draws"))
+    return with_shards.select("doc_id", "source", "size", "source_size", "target", draws.alias("draws"))
+
+
+def mixed_rows(docs: DataFrame, **args) -> DataFrame:
+    """A row of ``docs`` for each copy that the mix takes, with copy, shard and position (unless ``docs`` has them)."""
+    drawn = mix(docs, whole_rows=True, **args)
+    copies = drawn.select(*docs.columns, F.explode("draws").alias("_draw"))
+    return copies.select(*docs.columns, *(F.col(f"_draw.{c}") for c in ("copy", "shard", "position") if c not in docs.columns))
 
 
 @query("op8_mix_sources")

@@ -225,6 +225,21 @@ def similar_components(docs: DataFrame, percent: int = 80) -> DataFrame:
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")))
 
 
+def keep_one_per_group(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """``docs`` with one row of each group of linked documents: the row with the least id.
+
+    Documents without words stay.  Rows that repeat an id within a group count
+    as one document.
+    """
+    found = similar_components(docs, percent)
+    gone = found.filter((F.col("n_shingles") > 0) & ~F.col("doc_id").eqNullSafe(F.col("component_id")))
+    out = docs.join(gone.select(F.col("doc_id").alias("_gone")).distinct(), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    twice = found.filter("n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")
+    if twice.isEmpty():
+        return out
+    return out.withColumn("_t", F.xxhash64("text")).dropDuplicates(["doc_id", "_t"]).drop("_t")
+
+
 def _node_of(digest: Column) -> Column:
     """The SQL form of :func:`_nodes`."""
     return F.conv(F.substring(F.hex(digest), 1, 16), 16, -10).cast("long")
