@@ -151,7 +151,7 @@ def any_therapy_sum(df: DataFrame, candidates: list[str]) -> Column:
     """1 when the sum of the present therapy columns (NULL as 0) is > 0."""
     present = [c for c in candidates if c in df.columns]
     if not present:
-        raise ValueError(f"None of these therapy columns found: {candidates}")
+        raise ValueError(f"no therapy column present; looked for {candidates}")
     total = reduce(lambda a, b: a + b, [F.coalesce(to_double(c), F.lit(0.0)) for c in present])
     return (total > 0).cast("int")
 
@@ -161,7 +161,3 @@ def fill_invalid(c: str | Column, value: float = 0.0) -> Column:
     x = _col(c).cast("double")
     bad = x.isNull() | F.isnan(x) | (x == float("inf")) | (x == float("-inf"))
     return F.when(bad, F.lit(value)).otherwise(x)
-
-
-def is_text(df: DataFrame, name: str) -> bool:
-    return isinstance(df.schema[name].dataType, StringType)

@@ -10,9 +10,9 @@ with the pairwise (Chan) update, on a table of k x (k - 1) rows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortkit.functions import recode as R
@@ -20,6 +20,7 @@ from cohortkit.functions import recode as R
 # Feature order of the classifier (11 inputs).
 FEATURES = ["Gender", "Age", "Hypertension", "M", "E", "S", "T", "C", "Proteinuria", "Creatinine", "Therapy"]
 THERAPY_COLUMNS = ["Antihypertensive", "Immunosuppressants", "FishOil"]
+# A spread this small against the mean is rounding noise of a constant column.
 STD_FLOOR = 1e-12
 
 
@@ -57,7 +58,7 @@ def _finish(st: DataFrame, features: Sequence[str], by: Sequence[str]) -> DataFr
     for f in features:
         sd = F.sqrt(F.col(f"m2_{f}") / F.col("_n"))
         out += [F.col(f"mu_{f}").alias(f"mean_{f}"),
-                F.when(sd <= STD_FLOOR, F.lit(1.0)).otherwise(sd).alias(f"std_{f}")]
+                F.when(sd <= STD_FLOOR * F.abs(F.col(f"mu_{f}")), F.lit(1.0)).otherwise(sd).alias(f"std_{f}")]
     return st.select(*out)
 
 
@@ -70,25 +71,27 @@ def fold_scalers(train: DataFrame, features: Sequence[str] = FEATURES, fold: str
     """A7 for all folds at once: the statistics of fold f are those of the
     training rows outside fold f (what the fold's model is fitted on)."""
     per = fit_moments(train, features, [fold])
-    targets = F.filter(F.sequence(F.lit(1).cast("long"), F.lit(k).cast("long")), lambda t: t != F.col(fold))
-    ex = per.select(F.explode(targets).alias("_t"), "_n",
-                    *[F.col(f"mu_{f}") for f in features], *[F.col(f"m2_{f}") for f in features])
-    tot = ex.groupBy("_t").agg(F.sum("_n").alias("_ntot"),
-                               *[(F.sum(F.col("_n") * F.col(f"mu_{f}")) / F.sum("_n")).alias(f"gmu_{f}")
-                                 for f in features])
-    j = ex.join(tot, "_t")
-    merged = j.groupBy("_t").agg(
-        F.first("_ntot").alias("_n"),
-        *[F.first(f"gmu_{f}").alias(f"mu_{f}") for f in features],
-        *[F.sum(F.col(f"m2_{f}") + F.col("_n") * (F.col(f"mu_{f}") - F.col(f"gmu_{f}")) ** 2).alias(f"m2_{f}")
-          for f in features])
-    return _finish(merged.withColumnRenamed("_t", fold), features, [fold])
+    # k rows of moments in one array: the rows are read and aggregated once
+    row = F.struct(F.col(fold).cast("long").alias("f"), F.col("_n").alias("n"),
+                   *[F.col(c) for f in features for c in (f"mu_{f}", f"m2_{f}")])
+    all_ = per.where(F.col(fold).between(1, k)).agg(F.collect_list(row).alias("_r"))
+    each = all_.select(F.explode("_r.f").alias(fold), "_r").withColumn("_r", F.filter("_r", lambda r: r["f"] != F.col(fold)))
+
+    def total(value: Callable[[Column], Column]) -> Column:
+        return F.aggregate("_r", F.lit(0.0), lambda a, r: a + value(r))
+
+    each = each.where(F.size("_r") > 0).withColumn("_n", total(lambda r: r["n"]).cast("long"))
+    each = each.withColumns({f"mu_{f}": total(lambda r, f=f: r["n"] * r[f"mu_{f}"]) / F.col("_n") for f in features})
+    each = each.withColumns({f"m2_{f}": total(lambda r, f=f: r[f"m2_{f}"] + r["n"] * (r[f"mu_{f}"] - F.col(f"mu_{f}")) ** 2)
+                             for f in features})
+    return _finish(each, features, [fold])
 
 
 def scale(df: DataFrame, stats: DataFrame, features: Sequence[str] = FEATURES, on: Sequence[str] = ("fold",)) -> DataFrame:
     """z = (x - mean) / std with the matching statistics row.
 
-    ``stats`` has one row per fold (k rows): AQE broadcasts it.  With
+    ``stats`` has one row per fold by construction, so it is sent to the rows
+    and no task gets a whole fold.  With
     ``on=()`` the single statistics row is a fitted model's parameters
     (2 x d numbers); they are read once and applied as literals.
     """
@@ -97,13 +100,13 @@ def scale(df: DataFrame, stats: DataFrame, features: Sequence[str] = FEATURES, o
         r = stats.first()
         return df.select(*keep, *[((F.col(f) - F.lit(r[f"mean_{f}"])) / F.lit(r[f"std_{f}"])).alias(f)
                                   for f in features])
-    j = df.join(stats, list(on))
+    j = df.join(F.broadcast(stats), list(on))
     return j.select(*keep, *[((F.col(f) - F.col(f"mean_{f}")) / F.col(f"std_{f}")).alias(f) for f in features])
 
 
 def unscale(df: DataFrame, stats: DataFrame, features: Sequence[str] = FEATURES, on: Sequence[str] = ("fold",)) -> DataFrame:
     """x = z * std + mean."""
-    j = df.join(stats, list(on))
+    j = df.join(F.broadcast(stats), list(on))
     keep = [c for c in df.columns if c not in features]
     return j.select(*keep, *[(F.col(f) * F.col(f"std_{f}") + F.col(f"mean_{f}")).alias(f) for f in features])
 

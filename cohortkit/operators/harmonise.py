@@ -130,15 +130,21 @@ def one_row_per_entity(df: DataFrame, key: str = "Code", by: str = "dateAssess",
     ``rule='last'`` keeps the largest ``by`` (latest visit), ``'first'`` the
     smallest.  ``ties='first'`` keeps the earliest row in sheet order (pandas
     ``idxmax``/``idxmin``), ``'last'`` the latest (``sort_values().tail(1)``).
-    Rows with NULL ``key`` or NULL ``by`` never win.  One grouped
+    Rows with NULL ``key`` or NULL ``by`` never win, rows with a NULL
+    tie-break column lose ties.  One grouped
     ``max_by``/``min_by`` on a struct ordering key: partial aggregation runs
     before the shuffle.
     """
     columns = columns or [c for c in df.columns if c != key]
     q = lambda c: "`" + c + "`"
     flip = (rule == "last") == (ties == "first")  # tie-break columns descending?
-    order = ", ".join([q(by)] + [f"-{q(c)}" if flip else q(c) for c in tiebreak])
     pick = "max_by" if rule == "last" else "min_by"
+    parts = [q(by)]
+    for c in tiebreak:
+        # NULL is the least value: under min_by a row without the tie-break column would win
+        parts += [f"isnull({q(c)})"] if pick == "min_by" else []
+        parts += [f"-{q(c)}" if flip else q(c)]
+    order = ", ".join(parts)
     payload = ", ".join(q(c) for c in columns)
     expr = f"{pick}(struct({payload}), CASE WHEN {q(by)} IS NOT NULL THEN struct({order}) END)"
     g = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.expr(expr).alias("_r"))

@@ -14,12 +14,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortkit.functions.recode import nan_to_null
 from cohortkit.operators.ranking import running_total
 
 # Default decision cut-offs of the two training stacks.
 CUTOFF_STRICT = 0.5       # PyTorch path: prob > 0.5
 CUTOFF_KERAS = 0.731      # Keras path: prob >= 0.731 after softmax
-AUC_BUCKETS = 4096        # order-preserving score buckets for the AUC scan
+AUC_BUCKETS = 1024        # order-preserving score buckets per power of two for the AUC scan
 CLAMP_YEARS = (0.0, 10.0)
 
 
@@ -57,12 +58,15 @@ def softmax2(p: str | Column, applications: int = 1) -> Column:
 def classify(score: str | Column, threshold: float = CUTOFF_STRICT, inclusive: bool = False) -> Column:
     """1 when score > threshold (or >= with ``inclusive``)."""
     s = _c(score)
-    return (s >= threshold if inclusive else s > threshold).cast("int")
+    # Spark orders NaN above every number; a comparison with NaN is false here.  NULL stays NULL.
+    over = s >= threshold if inclusive else s > threshold
+    return F.when(F.isnan(s.cast("double")) & s.isNotNull(), 0).otherwise(over.cast("int"))
 
 
 def clamp(x: str | Column, lo: float = CLAMP_YEARS[0], hi: float = CLAMP_YEARS[1]) -> Column:
-    """Clamp predictions to [lo, hi]."""
-    return F.least(F.greatest(_c(x), F.lit(lo)), F.lit(hi))
+    """Clamp predictions to [lo, hi]; a missing or NaN prediction stays missing."""
+    v = nan_to_null(x)
+    return F.when(v.isNotNull(), F.least(F.greatest(v, F.lit(lo)), F.lit(hi)))
 
 
 # --- M1-M3 ----------------------------------------------------------------
@@ -101,13 +105,16 @@ def _negatives_below(sc: DataFrame, score: str, by: Sequence[str]) -> DataFrame:
 
     Two-level scan (score buckets, then within a bucket), so a group with
     many distinct scores is spread over many tasks."""
-    b = F.least(F.greatest(F.floor(F.col(score) * AUC_BUCKETS), F.lit(0)), F.lit(AUC_BUCKETS - 1)).cast("long")
+    s = F.col(score).cast("double")
+    # logarithmic buckets: any real score, small probabilities and logits alike, is spread out in order
+    size = F.floor((F.log2(F.abs(s)) + 1100) * AUC_BUCKETS).cast("long") + 1
+    b = F.when(s == 0, F.lit(0).cast("long")).when(s > 0, size).when(s < 0, -size)
     return running_total(sc, "neg", [score], b, by=by, out="_nb", inclusive=False)
 
 
 def _auc_expr(digits: int = 6) -> Column:
     contrib = F.col("pos") * (F.col("_nb") + F.col("neg") / 2.0)
-    return F.round(F.try_divide(F.sum(contrib), (F.sum("pos") * F.sum("neg")).cast("double")), digits)
+    return F.round(F.try_divide(F.sum(contrib), F.sum("pos").cast("double") * F.sum("neg").cast("double")), digits)
 
 
 def auc_from_counts(sc: DataFrame, score: str, by: Sequence[str] = (), digits: int = 6) -> DataFrame:
@@ -136,7 +143,8 @@ def metrics_by_followup(df: DataFrame, label: str, score: str, days: str,
     """
     years = sorted(years)
     by = list(by)
-    lvl = sum(F.when(F.col(days) >= y * days_per_year, 1).otherwise(0) for y in years)
+    # a threshold of 0 years is no filter: rows without a follow-up time count there too
+    lvl = sum(F.lit(1) if y <= 0 else F.when(F.col(days) >= y * days_per_year, 1).otherwise(0) for y in years)
     pre = df.withColumn("_lvl", lvl).groupBy(*by, score, "_lvl").agg(
         F.count(F.when(F.col(label) == 1, 1)).alias("pos"), F.count(F.when(F.col(label) == 0, 1)).alias("neg"))
     ys = F.array(*[F.lit(y) for y in years])
@@ -225,14 +233,21 @@ def pair_loss_per_batch(df: DataFrame, label: str, score: str, batch: str = "bat
                     F.round(_batch_pairs_loss(F.col("_it"), variant), 6).alias("loss"))
 
 
-def weighted_bce(df: DataFrame, label: str, logit_col: str, pos_weight: str | Column | float = 1.0,
+def weighted_bce(df: DataFrame, label: str, logit_col: str, pos_weight: float | None = None,
                  by: Sequence[str] = ()) -> DataFrame:
     """M6: mean binary cross-entropy on raw scores with a positive-class
-    weight: ``pw * y * softplus(-x) + (1 - y) * softplus(x)``."""
-    pw = F.lit(pos_weight) if isinstance(pos_weight, (int, float)) else _c(pos_weight)
-    y, x = F.col(label).cast("double"), F.col(logit_col)
-    per = pw * y * softplus(-x) + (1.0 - y) * softplus(x)
-    return df.groupBy(*by).agg(F.round(F.avg(per), 6).alias("bce"), F.count(F.lit(1)).alias("n"))
+    weight: ``pw * y * softplus(-x) + (1 - y) * softplus(x)``.
+
+    Without ``pos_weight`` it is the group's own ratio of negatives to
+    positives (A5), taken from the same aggregate.
+    """
+    y, x = F.col(label), F.col(logit_col)
+    pos, neg = F.sum(F.when(y == 1, softplus(-x))), F.sum(F.when(y == 0, softplus(x)))
+    g = df.groupBy(*by).agg(pos.alias("_p"), neg.alias("_n"), F.count(F.when(y == 1, 1)).alias("_np"),
+                            F.count(F.when(y == 0, 1)).alias("_nn"), F.count(F.lit(1)).alias("n"))
+    pw = F.try_divide(F.col("_nn").cast("double"), F.col("_np")) if pos_weight is None else F.lit(float(pos_weight))
+    total = pw * F.coalesce("_p", F.lit(0.0)) + F.coalesce("_n", F.lit(0.0))
+    return g.select(*by, F.round(total / (F.col("_np") + F.col("_nn")), 6).alias("bce"), "n")
 
 
 def weighted_mean(df: DataFrame, value: str, weight: str, by: Sequence[str] = (), out: str = "mean_loss") -> DataFrame:

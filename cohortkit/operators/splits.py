@@ -15,17 +15,28 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortkit.operators.ranking import hash_rank, hash_rank_with_sizes
+from cohortkit.operators.ranking import bucket_counts, bucket_offsets, group_sizes, hash_rank, join_small, rank_rows
 
 
 def _fraction(frac: float) -> Fraction:
     return Fraction(frac).limit_denominator(10**6)
 
 
+def _wide(c: Column) -> Column:
+    """Counts as DECIMAL, so that products of two of them cannot overflow."""
+    return c.cast("decimal(19,0)")
+
+
+def _div(a: Column, b: Column) -> Column:
+    """Exact integer quotient."""
+    return F.call_function("div", a, b).cast("long")
+
+
 def n_test_of(n: Column, test_frac: float) -> Column:
     """ceil(test_frac * n) in exact integer arithmetic."""
     q = _fraction(test_frac)
-    return F.floor((n * F.lit(q.numerator) + F.lit(q.denominator - 1)) / F.lit(q.denominator)).cast("long")
+    num, den = (F.lit(x).cast("decimal(7,0)") for x in (q.numerator, q.denominator))
+    return _div(_wide(n) * num + den - 1, den)
 
 
 def class_quotas(sizes: DataFrame, label: str, test_frac: float) -> DataFrame:
@@ -40,8 +51,8 @@ def class_quotas(sizes: DataFrame, label: str, test_frac: float) -> DataFrame:
     allw = Window.partitionBy()
     n = F.sum("n_c").over(allw)
     x = cls.withColumn("_n", n).withColumn("_ntr", F.col("_n") - n_test_of(F.col("_n"), test_frac))
-    prod = F.col("_ntr") * F.col("n_c")
-    x = x.withColumn("_fl", F.floor(prod / F.col("_n")).cast("long")).withColumn("_rem", prod % F.col("_n"))
+    prod = _wide(F.col("_ntr")) * F.col("n_c").cast("decimal(18,0)")
+    x = x.withColumn("_fl", _div(prod, _wide(F.col("_n")))).withColumn("_rem", prod % _wide(F.col("_n")))
     x = x.withColumn("_need", F.col("_ntr") - F.sum("_fl").over(allw))
     x = x.withColumn("_pos", F.row_number().over(Window.orderBy(F.desc("_rem"), F.col(label))))
     x = x.withColumn("train_c", F.col("_fl") + F.when(F.col("_pos") <= F.col("_need"), 1).otherwise(0))
@@ -60,23 +71,26 @@ def stratified_split(df: DataFrame, key: str, label: str, seed: int = 42, test_f
     rows are dealt to folds round-robin continuing across classes in label
     order, which gives the fold sizes of stratified k-fold.
     """
-    r, sizes = hash_rank_with_sizes(df, key, seed, by=[label], out="_rk")
-    q = class_quotas(sizes, label, test_frac)
-    x = r.join(q, label)  # class table: one row per class (AQE broadcasts it)
+    x, counts = bucket_counts(df, key, seed, [label])
+    quotas = class_quotas(group_sizes(counts, [label]), label, test_frac).drop("n_c", "train_c")
+    # quotas ride on the bucket offsets: the rows are joined once, on (label, bucket)
+    offs = join_small(bucket_offsets(counts, [label]), quotas, [label])
+    x = rank_rows(x, offs, key, [label], "_rk")
     is_test = F.col("_rk") <= F.col("test_c")
     fold = ((F.col("_rk") - F.col("test_c") - 1 + F.col("train_off")) % k + 1).cast("long")
     return (x.withColumn("is_test", is_test.cast("int"))
              .withColumn("fold", F.when(is_test, F.lit(0).cast("long")).otherwise(fold))
-             .drop("_rk", "n_c", "train_c", "test_c", "train_off"))
+             .drop("_rk", "test_c", "train_off"))
 
 
 def stratified_folds(df: DataFrame, key: str, label: str, seed: int = 42, k: int = 10) -> DataFrame:
     """X3 alone: stratified k-fold over all rows (``fold`` 1..k)."""
-    r, sizes = hash_rank_with_sizes(df, key, seed, by=[label], out="_rk")
-    prev = Window.orderBy(label).rowsBetween(Window.unboundedPreceding, -1)
-    cls = sizes.withColumn("_off", F.coalesce(F.sum("n_group").over(prev), F.lit(0)))
-    x = r.join(cls.select(label, "_off"), label)
-    return x.withColumn("fold", ((F.col("_rk") - 1 + F.col("_off")) % k + 1).cast("long")).drop("_rk", "_off")
+    x, counts = bucket_counts(df, key, seed, [label])
+    prev = Window.orderBy(label).rowsBetween(Window.unboundedPreceding, -1)  # one row per class
+    cls = group_sizes(counts, [label]).select(label, F.coalesce(F.sum("n_group").over(prev), F.lit(0)).alias("_start"))
+    offs = join_small(bucket_offsets(counts, [label]), cls, [label])
+    x = rank_rows(x, offs, key, [label], "_rk")
+    return x.withColumn("fold", ((F.col("_rk") - 1 + F.col("_start")) % k + 1).cast("long")).drop("_rk", "_start")
 
 
 def plain_split(df: DataFrame, key: str, seed: int = 42, test_frac: float = 0.2, k: int = 10) -> DataFrame:

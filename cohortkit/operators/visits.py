@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortkit.functions.recode import nan_to_null
+
 # Days per year as used by the two pipelines.
 DAYS_PER_YEAR = 365
 DAYS_PER_YEAR_JULIAN = 365.25
@@ -75,6 +77,7 @@ def events_by_followup(df: DataFrame, years: Sequence[int], label: str = "Eskd",
     return one.select(F.inline(rows))
 
 
-def column_max(df: DataFrame, c: str) -> DataFrame:
-    """A10: one-row maximum (unit detection)."""
-    return df.agg(F.max(c).alias(f"max_{c}"))
+def column_max(df: DataFrame, *cols: str) -> DataFrame:
+    """A10: one-row maxima (unit detection); NaN does not count."""
+    value = {f.name: nan_to_null(f.name) if f.dataType.typeName() in ("double", "float") else F.col(f.name) for f in df.schema.fields}
+    return df.agg(*[F.max(value[c]).alias(f"max_{c}") for c in cols])

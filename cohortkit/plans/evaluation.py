@@ -55,7 +55,7 @@ _DEPS["scores"] = ["fx_scores"]
 
 CTE["followup"] = """
 SELECT s.fold, t.years, s.y, s.prob FROM scores s JOIN (SELECT unnest([0, 5, 10]) AS years) t
-  ON s.fu_days >= t.years * 365"""
+  ON t.years = 0 OR s.fu_days >= t.years * 365"""
 _DEPS["followup"] = ["scores"]
 
 
@@ -206,12 +206,11 @@ def q_proxy_sigmoid(spark, sf):
 
 
 @query("weighted_mean_loss", with_ctes("""
-SELECT CAST(round(CAST(sum(loss * n) / sum(n) AS DECIMAL(38,10)), 6) AS DOUBLE) AS mean_loss,
-       CAST(sum(n) AS BIGINT) AS n FROM pair_loss""", "pair_loss"), "M8")
+SELECT CAST(round(CAST(sum(loss * n) / sum(n) AS DECIMAL(38,10)), 6) AS DOUBLE) AS mean_loss FROM pair_loss""",
+                                        "pair_loss"), "M8")
 def q_weighted_mean(spark, sf):
     per = MT.pair_loss_per_batch(scored_batches(spark, sf), "y", "logit")
-    return per.agg(MT.round_exact(F.sum(F.col("loss") * F.col("n")) / F.sum("n")).alias("mean_loss"),
-                   F.sum("n").cast("long").alias("n"))
+    return MT.weighted_mean(per, "loss", "n")
 
 
 @query("weighted_bce", with_ctes("""
@@ -222,10 +221,7 @@ FROM (SELECT s.fold, s.y, ln(s.prob / (1 - s.prob)) AS x, w.pw FROM scores s JOI
        FROM scores GROUP BY fold) w USING (fold)) t
 GROUP BY fold""", "scores"), "M6,A5")
 def q_weighted_bce(spark, sf):
-    s = scores(spark, sf).withColumn("logit", MT.logit("prob"))
-    pw = s.groupBy("fold").agg(F.try_divide(F.count(F.when(F.col("y") == 0, 1)).cast("double"),
-                                            F.count(F.when(F.col("y") == 1, 1))).alias("pw"))
-    return MT.weighted_bce(s.join(pw, "fold"), "y", "logit", "pw", ["fold"])
+    return MT.weighted_bce(scores(spark, sf).withColumn("logit", MT.logit("prob")), "y", "logit", by=["fold"])
 
 
 @query("regression_errors", with_ctes(_reg_sql(False), "fx_site_b"), "M7,F4")

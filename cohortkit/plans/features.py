@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cohortkit.functions import recode as R
 from cohortkit.operators import features as FT
 from cohortkit.operators import splits as SP
+from cohortkit.operators import visits as V
 from cohortkit.plans import splits as _splits  # noqa: F401  (defines the strat CTE)
 from cohortkit.plans.cohort import cohort
 from cohortkit.plans.oracle import CTE, _DEPS, with_ctes
@@ -30,9 +31,13 @@ def features(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def split_features(spark: SparkSession, sf: str) -> DataFrame:
-    """Features with split and fold, persisted once (several consumers)."""
-    f = cut_lineage(features(spark, sf))
-    return cut_lineage(SP.stratified_split(f, "Code", "label", SEED, 0.2, K))
+    """Features with split and fold."""
+    return SP.stratified_split(features(spark, sf), "Code", "label", SEED, 0.2, K)
+
+
+def stored_split_features(spark: SparkSession, sf: str) -> DataFrame:
+    """The same as a table in the shared folder, for plans that read it many times (model fits)."""
+    return cut_lineage(split_features(spark, sf))
 
 
 def fold_stats(spark: SparkSession, sf: str, split: DataFrame | None = None) -> DataFrame:
@@ -57,7 +62,7 @@ _DEPS["ff"] = ["cohort_max"]
 CTE["feat"] = "SELECT f.*, s.is_test, s.fold FROM ff f JOIN strat s USING (Code)"
 _DEPS["feat"] = ["ff", "strat"]
 CTE["fstats"] = ("SELECT t.fold, count(*) AS n_train, " + ", ".join(
-    f"avg(x.{f}) AS m_{f}, CASE WHEN stddev_pop(x.{f}) <= 1e-12 THEN 1.0 ELSE stddev_pop(x.{f}) END AS s_{f}"
+    f"avg(x.{f}) AS m_{f}, CASE WHEN stddev_pop(x.{f}) <= 1e-12 * abs(avg(x.{f})) THEN 1.0 ELSE stddev_pop(x.{f}) END AS s_{f}"
     for f in FEATS) + """
 FROM (SELECT DISTINCT fold FROM feat WHERE is_test = 0) t JOIN feat x ON x.is_test = 0 AND x.fold <> t.fold
 GROUP BY t.fold""")
@@ -140,11 +145,51 @@ def q_complete_cases(spark, sf):
     return x.withColumn("years_since_biopsy", F.round("years_since_biopsy", 6))
 
 
-@query("regression_target", with_ctes("""
+_TARGET_SQL = """
 SELECT Code, round(dateAssess / 365.25, 6) AS years,
        round(CASE WHEN Eskd = 1 THEN dateAssess / 365.25 END, 6) AS target
-FROM cohort_max""", "cohort_max"), "P21,P22,P23,A10")
-def q_regression_target(spark, sf):
-    c = FT.to_years(cohort(spark, sf, "max"), "dateAssess", "auto", out="years")
+FROM cohort_max"""
+
+
+def regression_target(spark: SparkSession, sf: str, unit: str) -> DataFrame:
+    c = FT.to_years(cohort(spark, sf, "max"), "dateAssess", unit, out="years")
     c = FT.event_time_target(c, "years", "Eskd", out="target")
     return c.select("Code", F.round("years", 6).alias("years"), F.round("target", 6).alias("target"))
+
+
+@query("regression_target", with_ctes(_TARGET_SQL, "cohort_max"), "P22,P23")
+def q_regression_target(spark, sf):
+    return regression_target(spark, sf, "days")
+
+
+@query("regression_target_auto", with_ctes(_TARGET_SQL, "cohort_max"), "P22 (unit from the column maximum)")
+def q_regression_target_auto(spark, sf):
+    return regression_target(spark, sf, "auto")
+
+
+@query("column_maxima", with_ctes("""
+SELECT max(dateAssess) AS max_dateAssess, max(Creatinine) AS max_Creatinine FROM cohort_max""", "cohort_max"), "A10")
+def q_column_maxima(spark, sf):
+    return V.column_max(cohort(spark, sf, "max"), "dateAssess", "Creatinine")
+
+
+_NUM = ["Age", "dateAssess", "Hypertension", "M", "E", "S", "T", "C", "Proteinuria", "Creatinine", "Antihypertensive",
+        "Immunosuppressants", "FishOil"]
+
+
+@query("numeric_features", with_ctes("SELECT Code, " + ", ".join(f"round(CAST({c} AS DOUBLE), 6) AS {c}" for c in _NUM)
+                                     + " FROM cohort_max", "cohort_max"), "P21")
+def q_numeric_features(spark, sf):
+    c = cohort(spark, sf, "max")
+    return c.select("Code", *[F.round(F.col(x).cast("double"), 6).alias(x) for x in FT.numeric_columns(c, ["Code", "Eskd"])])
+
+
+@query("sex_codes", with_ctes("""
+SELECT row_id, CASE SEX WHEN 'M' THEN 1.0 WHEN 'F' THEN 2.0 ELSE TRY_CAST(SEX AS DOUBLE) END AS m1f2,
+       CASE lower(SEX) WHEN 'm' THEN 0.0 WHEN 'f' THEN 1.0 ELSE TRY_CAST(SEX AS DOUBLE) END AS lower_m0f1
+FROM fx_site_b""", "fx_site_b"), "P5 (M1/F2, m/f)")
+def q_sex_codes(spark, sf):
+    b = fx.fx_site_b(spark, sf)
+    low = b.withColumn("SEX", F.lower("SEX"))
+    return b.select("row_id", R.sex_to_number(b, "SEX", "M1F2").cast("double").alias("m1f2"),
+                    R.sex_to_number(low, "SEX", "M0F1_any_case").cast("double").alias("lower_m0f1"))

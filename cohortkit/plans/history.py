@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortkit.functions import recode as R
 from cohortkit.operators import history as HS
 from cohortkit.operators import metrics as MT
 from cohortkit.plans import evaluation as _ev  # noqa: F401  (defines the scores CTE)
@@ -31,15 +32,16 @@ def best_config_per_fold(spark: SparkSession, sf: str) -> DataFrame:
     """Sweep runs are assigned to folds; each fold keeps the first
     (run, epoch) with the highest validation F1 (strict improvement)."""
     h = history(spark, sf).withColumn("fold", (F.col("run_id") % K + 1).cast("long"))
-    key = F.struct("val_f1", -F.col("run_id"), -F.col("epoch"))
-    pay = F.struct("run_id", F.col("epoch").alias("best_epoch"), "val_f1", "val_loss")
+    f1 = R.nan_to_null("val_f1")
+    key = F.when(f1.isNotNull(), F.struct(f1, -F.col("run_id"), -F.col("epoch")))
+    pay = F.struct("run_id", F.col("epoch").alias("best_epoch"), "val_f1", R.nan_to_null("val_loss").alias("val_loss"))
     return h.groupBy("fold").agg(F.max_by(pay, key).alias("_b")).select("fold", "_b.*")
 
 
 CTE["cfg"] = f"""
-SELECT fold, run_id, epoch AS best_epoch, val_f1, val_loss FROM (
+SELECT fold, run_id, epoch AS best_epoch, val_f1, CASE WHEN NOT isnan(val_loss) THEN val_loss END AS val_loss FROM (
   SELECT *, row_number() OVER (PARTITION BY fold ORDER BY val_f1 DESC, run_id, epoch) AS rn
-  FROM (SELECT *, CAST(run_id % {K} + 1 AS BIGINT) AS fold FROM fx_history) h) t WHERE rn = 1"""
+  FROM (SELECT *, CAST(run_id % {K} + 1 AS BIGINT) AS fold FROM fx_history WHERE NOT isnan(val_f1)) h) t WHERE rn = 1"""
 _DEPS["cfg"] = ["fx_history"]
 CTE["rates"] = """
 SELECT fold, tn, fp, fn, tp,
@@ -58,30 +60,25 @@ def _early_stop_sql(patience: int, every: int) -> str:
     """Window formulation (exact when min_delta = 0): a check improves when
     its loss is below every earlier check; the run stops at the first check
     that many checks after the last improvement."""
-    return with_ctes("""
-SELECT f.run_id,
-       count(CASE WHEN f.epoch <= coalesce(s.stop_epoch, 9223372036854775807) THEN 1 END) AS n_checks,
-       max(CASE WHEN f.imp AND f.epoch <= coalesce(s.stop_epoch, 9223372036854775807) THEN f.epoch END) AS best_epoch,
-       round(min(CASE WHEN f.epoch <= coalesce(s.stop_epoch, 9223372036854775807) THEN f.val_loss END), 6) AS best_loss,
-       s.stop_epoch, l.last_epoch
-FROM (SELECT *, ci - max(CASE WHEN imp THEN ci END) OVER (PARTITION BY run_id ORDER BY epoch
-                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cnt
-      FROM (SELECT *, (prev IS NULL OR val_loss < prev) AS imp
+    flagged = f"""
+      SELECT *, ci - coalesce(max(CASE WHEN imp THEN ci END) OVER (PARTITION BY run_id ORDER BY epoch
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS cnt
+      FROM (SELECT *, coalesce(val_loss < coalesce(prev, CAST('inf' AS DOUBLE)), false) AS imp
             FROM (SELECT run_id, epoch, val_loss, row_number() OVER (PARTITION BY run_id ORDER BY epoch) AS ci,
                          min(val_loss) OVER (PARTITION BY run_id ORDER BY epoch
                              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev
-                  FROM fx_history WHERE epoch % {every} = 0) a) b) f
-JOIN (SELECT run_id, min(CASE WHEN cnt >= {patience} THEN epoch END) AS stop_epoch
-      FROM (SELECT *, ci - max(CASE WHEN imp THEN ci END) OVER (PARTITION BY run_id ORDER BY epoch
-                       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cnt
-            FROM (SELECT *, (prev IS NULL OR val_loss < prev) AS imp
-                  FROM (SELECT run_id, epoch, val_loss, row_number() OVER (PARTITION BY run_id ORDER BY epoch) AS ci,
-                               min(val_loss) OVER (PARTITION BY run_id ORDER BY epoch
-                                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev
-                        FROM fx_history WHERE epoch % {every} = 0) a) b) c
-      GROUP BY run_id) s USING (run_id)
-JOIN (SELECT run_id, max(epoch) AS last_epoch FROM fx_history GROUP BY run_id) l USING (run_id)
-GROUP BY f.run_id, s.stop_epoch, l.last_epoch""".format(every=every, patience=patience), "fx_history")
+                  FROM fx_history WHERE epoch % {every} = 0) a) b"""
+    upto = "f.epoch <= coalesce(s.stop_epoch, 9223372036854775807)"
+    return with_ctes(f"""
+SELECT l.run_id, count(CASE WHEN {upto} THEN f.epoch END) AS n_checks,
+       max(CASE WHEN f.imp AND {upto} THEN f.epoch END) AS best_epoch,
+       round(min(CASE WHEN f.imp AND {upto} THEN f.val_loss END), 6) AS best_loss,
+       s.stop_epoch, l.last_epoch
+FROM (SELECT run_id, max(epoch) AS last_epoch FROM fx_history GROUP BY run_id) l
+LEFT JOIN ({flagged}) f ON f.run_id = l.run_id
+LEFT JOIN (SELECT run_id, min(CASE WHEN cnt >= {patience} THEN epoch END) AS stop_epoch FROM ({flagged}) c GROUP BY run_id) s
+  ON s.run_id = l.run_id
+GROUP BY l.run_id, s.stop_epoch, l.last_epoch""", "fx_history")
 
 
 @query("early_stop", _early_stop_sql(2, 5), "W6 (check every 5 epochs, patience 2)")
@@ -101,13 +98,14 @@ r(run_id, ci, best, best_e, cnt, stop, n) AS (
   FROM fx_history
   UNION ALL
   SELECT r.run_id, r.ci + 1,
-         CASE WHEN c.val_loss + 0.01 < r.best THEN c.val_loss ELSE r.best END,
-         CASE WHEN c.val_loss + 0.01 < r.best THEN c.epoch ELSE r.best_e END,
-         CASE WHEN c.val_loss + 0.01 < r.best THEN 0 ELSE r.cnt + 1 END,
-         CASE WHEN NOT (c.val_loss + 0.01 < r.best) AND r.cnt + 1 >= 5 THEN c.epoch END,
+         CASE WHEN coalesce(c.val_loss + 0.01 < r.best, false) THEN c.val_loss ELSE r.best END,
+         CASE WHEN coalesce(c.val_loss + 0.01 < r.best, false) THEN c.epoch ELSE r.best_e END,
+         CASE WHEN coalesce(c.val_loss + 0.01 < r.best, false) THEN 0 ELSE r.cnt + 1 END,
+         CASE WHEN NOT (coalesce(c.val_loss + 0.01 < r.best, false)) AND r.cnt + 1 >= 5 THEN c.epoch END,
          r.n + 1
   FROM r JOIN c ON c.run_id = r.run_id AND c.ci = r.ci + 1 WHERE r.stop IS NULL)
-SELECT r.run_id, CAST(r.n AS BIGINT) AS n_checks, r.best_e AS best_epoch, round(r.best, 6) AS best_loss,
+SELECT r.run_id, CAST(r.n AS BIGINT) AS n_checks, r.best_e AS best_epoch,
+       CASE WHEN r.best_e IS NOT NULL THEN round(r.best, 6) END AS best_loss,
        r.stop AS stop_epoch, l.last_epoch
 FROM r JOIN (SELECT run_id, max(ci) AS mci FROM r GROUP BY run_id) m ON m.run_id = r.run_id AND m.mci = r.ci
 JOIN (SELECT run_id, max(epoch) AS last_epoch FROM fx_history GROUP BY run_id) l ON l.run_id = r.run_id"""
@@ -120,11 +118,14 @@ def q_early_stop_delta(spark, sf):
 
 
 @query("best_epoch", with_ctes("""
-SELECT run_id, epoch AS best_epoch, val_f1 AS best_val_f1, val_loss FROM (
-  SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY val_f1 DESC, epoch) AS rn FROM fx_history) t
+SELECT run_id, CASE WHEN f IS NOT NULL THEN epoch END AS best_epoch, f AS best_val_f1,
+       CASE WHEN f IS NOT NULL AND NOT isnan(val_loss) THEN val_loss END AS val_loss FROM (
+  SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY f DESC NULLS LAST, epoch) AS rn
+  FROM (SELECT *, CASE WHEN NOT isnan(val_f1) THEN val_f1 END AS f FROM fx_history) h) t
 WHERE rn = 1""", "fx_history"), "W8")
 def q_best_epoch(spark, sf):
-    return HS.best_epoch(history(spark, sf), metric="val_f1", carry=["val_loss"])
+    h = history(spark, sf).withColumn("val_loss", R.nan_to_null("val_loss"))
+    return HS.best_epoch(h, metric="val_f1", carry=["val_loss"])
 
 
 @query("best_config_per_fold", with_ctes("SELECT * FROM cfg", "cfg"), "W8,S10 (best over all runs of a fold)")
@@ -152,22 +153,22 @@ def q_best_fold(spark, sf):
 
 
 @query("previous_best", with_ctes(f"""
-SELECT c.run_id, c.best AS val_f1, coalesce(p.best, 0.0) AS prev_best,
-       CAST(c.best > coalesce(p.best, 0.0) AS INTEGER) AS improved
-FROM (SELECT run_id, max(val_f1) AS best FROM fx_history WHERE epoch > {HALF} GROUP BY run_id) c
+SELECT c.run_id, c.best AS val_f1, coalesce(CASE WHEN NOT isnan(p.best) THEN p.best END, 0.0) AS prev_best,
+       CAST(coalesce(NOT isnan(c.best) AND c.best > coalesce(CASE WHEN NOT isnan(p.best) THEN p.best END, 0.0), false) AS INTEGER) AS improved
+FROM (SELECT run_id, max(CASE WHEN NOT isnan(val_f1) THEN val_f1 END) AS best FROM fx_history WHERE epoch > {HALF} GROUP BY run_id) c
 LEFT JOIN (SELECT run_id, max(val_f1) AS best FROM fx_history WHERE epoch <= {HALF} GROUP BY run_id) p
 USING (run_id)""", "fx_history"), "S10")
 def q_previous_best(spark, sf):
     h = history(spark, sf)
-    cur = h.where(F.col("epoch") > HALF).groupBy("run_id").agg(F.max("val_f1").alias("val_f1"))
+    cur = h.where(F.col("epoch") > HALF).groupBy("run_id").agg(F.max(R.nan_to_null("val_f1")).alias("val_f1"))
     stored = h.where(F.col("epoch") <= HALF).groupBy("run_id").agg(F.max("val_f1").alias("val_f1"))
     return HS.previous_best(cur, stored, "run_id", "val_f1")
 
 
 @query("metric_log", with_ctes("""
-SELECT run_id, epoch, 'val_loss' AS metric, round(val_loss, 6) AS value FROM fx_history
-UNION ALL
-SELECT run_id, epoch, 'val_f1' AS metric, round(val_f1, 6) AS value FROM fx_history""", "fx_history"), "S9")
+SELECT run_id, epoch, metric, CASE WHEN NOT isnan(value) THEN round(value, 6) END AS value FROM (
+  SELECT run_id, epoch, 'val_loss' AS metric, val_loss AS value FROM fx_history
+  UNION ALL SELECT run_id, epoch, 'val_f1', val_f1 FROM fx_history) x""", "fx_history"), "S9")
 def q_metric_log(spark, sf):
     return HS.metric_log(history(spark, sf), ["run_id", "epoch"], ["val_loss", "val_f1"]) \
-        .withColumn("value", F.round("value", 6))
+        .withColumn("value", F.round(R.nan_to_null("value"), 6))

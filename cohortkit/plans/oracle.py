@@ -13,7 +13,8 @@ from __future__ import annotations
 CTE = {}
 
 CTE["fx_site_a"] = """
-SELECT o.o_custkey AS VALIGA_CODE, o.o_orderkey AS row_id,
+SELECT CASE WHEN o.o_orderkey % 211 <> 5 THEN o.o_custkey END AS VALIGA_CODE,
+       CASE WHEN o.o_orderkey % 223 <> 7 THEN o.o_orderkey END AS row_id,
        c.c_nationkey % 2 + 1 AS Gender1M2F,
        20 + o.o_custkey % 50 + CAST(o.o_custkey % 4 AS DOUBLE) / 4 AS age,
        strftime(o.rb, '%d/%m/%Y') AS RBdate,
@@ -55,15 +56,20 @@ FROM events"""
 CTE["fx_scores"] = """
 SELECT row_id AS id, y, CAST(20 + 30 * y + h % 50 AS DOUBLE) / 100 AS prob, fu_days
 FROM (SELECT event_id AS row_id, CASE WHEN user_id % 3 = 0 THEN 1 ELSE 0 END AS y,
-             (event_id * 7919) % 101 AS h, (user_id % 15) * 365 + day(ts) - 1 AS fu_days
+             (event_id * 7919) % 101 AS h,
+             CASE WHEN event_id % 43 = 0 THEN NULL WHEN event_id % 47 = 0 THEN -5
+                  ELSE (user_id % 15) * 365 + day(ts) - 1 END AS fu_days
       FROM events) e"""
 
 CTE["fx_history"] = """
 SELECT run_id, epoch,
-       CAST(40 - least(epoch, 20 + run_id % 25) + (epoch * (7 + run_id % 25)) % 5 AS DOUBLE) / 40 AS val_loss,
-       CAST(50 + least(epoch, 15 + run_id % 25) + (epoch * (3 + run_id % 25)) % 7 AS DOUBLE) / 100 AS val_f1
-FROM (SELECT CAST(floor((o_orderkey - 1) / 60) AS BIGINT) AS run_id,
-             CAST((o_orderkey - 1) % 60 + 1 AS BIGINT) AS epoch FROM orders) o"""
+       CASE WHEN k % 97 = 3 THEN CAST('nan' AS DOUBLE) WHEN k % 101 = 4 THEN NULL
+            ELSE CAST(40 - least(epoch, 20 + run_id % 25) + (epoch * (7 + run_id % 25)) % 5 AS DOUBLE) / 40 END AS val_loss,
+       CASE WHEN k % 89 = 2 THEN CAST('nan' AS DOUBLE) WHEN k % 103 = 6 THEN NULL
+            ELSE CAST(50 + least(epoch, 15 + run_id % 25) + (epoch * (3 + run_id % 25)) % 7 AS DOUBLE) / 100 END AS val_f1
+FROM (SELECT o_orderkey AS k, CAST(floor(o_orderkey / 60) AS BIGINT) AS run_id,
+             CAST(o_orderkey % 60 + 1 AS BIGINT) AS epoch FROM orders) o
+WHERE NOT (run_id % 37 = 11 AND epoch > 1)"""
 
 
 def _site_a_clean(mode: str, scope: str = "table") -> str:
@@ -79,8 +85,9 @@ SELECT VALIGA_CODE, row_id,
        CAST(coalesce(TRY_CAST({sy} AS DOUBLE) >= 140, false) OR coalesce(TRY_CAST({di} AS DOUBLE) >= 90, false)
             OR coalesce(AceiYN = 'Y', false) AS INTEGER) AS Hypertension,
        M, E, S, T, C,
-       last_value(TRY_CAST({pr} AS DOUBLE) IGNORE NULLS) OVER ({part}ORDER BY row_id
-            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS Proteinuria,
+       CASE WHEN row_id IS NULL THEN TRY_CAST({pr} AS DOUBLE) ELSE
+       last_value(TRY_CAST({pr} AS DOUBLE) IGNORE NULLS) OVER ({part}ORDER BY row_id NULLS LAST
+            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END AS Proteinuria,
        TRY_CAST({cr} AS DOUBLE) AS Creatinine,
        {yn('AceiYN')} AS Antihypertensive,
        ({yn('CsIm')}) | ({yn('AZA')}) | ({yn('CELLCEPT')}) AS Immunosuppressants,

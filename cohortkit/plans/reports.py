@@ -8,7 +8,7 @@ from cohortkit.operators import features as FT
 from cohortkit.operators import splits as SP
 from cohortkit.operators import training as TR
 from cohortkit.plans import evaluation as EV
-from cohortkit.plans.features import split_features
+from cohortkit.plans.features import stored_split_features as split_features
 from cohortkit.plans.oracle import with_ctes
 from cohortkit.plans.registry import query
 from cohortkit.sources import sinks as SK

@@ -10,28 +10,31 @@ from cohortkit.operators import splits as SP
 from cohortkit.plans.cohort import cohort
 from cohortkit.plans.oracle import CTE, _DEPS, with_ctes
 from cohortkit.plans.registry import query
-from cohortkit.session import cut_lineage
 
 SEED = 42
 K = 10
 BATCH = 32
-FOLD = 1  # the fold whose training part is rebalanced (a parameter in the reference's sweep)
 
 
 def cohort_xy(spark: SparkSession, sf: str) -> DataFrame:
     """Key, binary label (missing label -> 0, the reference's rule) and follow-up."""
     c = cohort(spark, sf, "max")
-    # read by several branches (class counts, hash buckets, the rows
-    # themselves): persisted once in the shared checkpoint folder
-    return cut_lineage(c.select("Code", F.coalesce("Eskd", F.lit(0)).cast("int").alias("label"), "dateAssess"))
+    return c.select("Code", F.coalesce("Eskd", F.lit(0)).cast("int").alias("label"), "dateAssess")
 
 
 def strat(spark: SparkSession, sf: str) -> DataFrame:
     return SP.stratified_split(cohort_xy(spark, sf), "Code", "label", SEED, 0.2, K)
 
 
-def fold_train(spark: SparkSession, sf: str) -> DataFrame:
-    return cut_lineage(SP.train_rows(strat(spark, sf), FOLD))
+def train(spark: SparkSession, sf: str) -> DataFrame:
+    """Training rows with their own fold; the model of fold f trains on the rows of the other folds."""
+    return SP.train_rows(strat(spark, sf)).select("Code", "label", "fold")
+
+
+def draws(spark: SparkSession, sf: str) -> DataFrame:
+    """Balanced draws for the model of every fold."""
+    parts = SM.training_parts(train(spark, sf), "fold", K)
+    return SM.balanced_draws(parts, "Code", "label", SEED, BATCH, by=["fold"])
 
 
 _H = "md5(concat('{seed}|', CAST({key} AS VARCHAR)))"
@@ -53,24 +56,25 @@ JOIN (SELECT label, train_c, n_c - train_c AS test_c,
 USING (label)"""
 _DEPS["strat"] = ["cohort_xy"]
 
-CTE["fold_train"] = f"SELECT Code, label FROM strat WHERE is_test = 0 AND fold <> {FOLD}"
+CTE["fold_train"] = f"""
+SELECT s.Code, s.label, f.fold FROM strat s, (SELECT CAST(unnest(range(1, {K} + 1)) AS BIGINT) AS fold) f
+WHERE s.is_test = 0 AND s.fold <> f.fold"""
 _DEPS["fold_train"] = ["strat"]
 
+_HEX60 = "CAST(CAST('0x' || substr(md5(concat('{tag}', CAST(draw_id AS VARCHAR))), 1, 15) AS BIGINT) AS HUGEINT)"
 CTE["draws"] = f"""
-SELECT dd.draw_id, r.Code, dd.label, dd.draw_id // {BATCH} AS batch_id
-FROM (SELECT d.draw_id, cls.label, ((d.hr * cls.nc) >> 32) + 1 AS rk
-      FROM (SELECT draw_id,
-                   (CAST('0x' || substr(md5(concat('{SEED}|c|', CAST(draw_id AS VARCHAR))), 1, 8) AS BIGINT)
-                    * (SELECT count(DISTINCT label) FROM fold_train)) >> 32 AS ci,
-                   CAST('0x' || substr(md5(concat('{SEED}|r|', CAST(draw_id AS VARCHAR))), 1, 8) AS BIGINT) AS hr
-            FROM (SELECT row_number() OVER (ORDER BY {_H.format(seed=f'{SEED}|draw', key='Code')}, Code) - 1 AS draw_id
-                  FROM fold_train) t) d
-      JOIN (SELECT label, count(*) AS nc, row_number() OVER (ORDER BY label) - 1 AS ci
-            FROM fold_train GROUP BY label) cls USING (ci)) dd
-JOIN (SELECT Code, label,
-             row_number() OVER (PARTITION BY label ORDER BY {_H.format(seed=f'{SEED}|row', key='Code')}, Code) AS rk
+SELECT dd.fold, dd.draw_id, r.Code, dd.label, dd.draw_id // {BATCH} AS batch_id
+FROM (SELECT d.fold, d.draw_id, cls.label, CAST((d.hr * cls.nc) // 1152921504606846976 AS BIGINT) + 1 AS rk
+      FROM (SELECT fold, draw_id, CAST(({_HEX60.format(tag=f'{SEED}|c|')} * nl) // 1152921504606846976 AS BIGINT) AS ci,
+                   {_HEX60.format(tag=f'{SEED}|r|')} AS hr
+            FROM (SELECT fold, row_number() OVER (PARTITION BY fold ORDER BY Code) - 1 AS draw_id FROM fold_train) t
+            JOIN (SELECT fold, count(DISTINCT label) AS nl FROM fold_train GROUP BY fold) n USING (fold)) d
+      JOIN (SELECT fold, label, count(*) AS nc, row_number() OVER (PARTITION BY fold ORDER BY label) - 1 AS ci
+            FROM fold_train GROUP BY fold, label) cls USING (fold, ci)) dd
+JOIN (SELECT fold, Code, label,
+             row_number() OVER (PARTITION BY fold, label ORDER BY {_H.format(seed=f'{SEED}|row', key='Code')}, Code) AS rk
       FROM fold_train) r
-  ON r.label = dd.label AND r.rk = dd.rk"""
+  ON r.fold = dd.fold AND r.label = dd.label AND r.rk = dd.rk"""
 _DEPS["draws"] = ["fold_train"]
 
 
@@ -130,40 +134,38 @@ def q_leak(spark, sf):
 
 
 @query("class_balance", with_ctes("""
-SELECT label, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share
-FROM fold_train GROUP BY label""", "fold_train"), "A1")
+SELECT fold, label, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY fold), 6) AS share
+FROM fold_train GROUP BY fold, label""", "fold_train"), "A1")
 def q_class_balance(spark, sf):
-    return SM.class_counts(fold_train(spark, sf), "label")
+    return SM.class_counts(train(spark, sf), "label", "fold", K)
 
 
 @query("class_weights", with_ctes("""
-SELECT label, count(*) AS n, round(1.0 / count(*), 9) AS weight FROM fold_train GROUP BY label""",
+SELECT fold, label, count(*) AS n, round(1.0 / count(*), 9) AS weight FROM fold_train GROUP BY fold, label""",
                                   "fold_train"), "A6")
 def q_class_weights(spark, sf):
-    return SM.class_weights(fold_train(spark, sf), "label")
+    return SM.class_weights(train(spark, sf), "label", "fold", K)
 
 
 @query("pos_weight", with_ctes("""
-SELECT count(CASE WHEN label = 0 THEN 1 END) AS n_neg, count(CASE WHEN label = 1 THEN 1 END) AS n_pos,
+SELECT fold, count(CASE WHEN label = 0 THEN 1 END) AS n_neg, count(CASE WHEN label = 1 THEN 1 END) AS n_pos,
        round(CAST(count(CASE WHEN label = 0 THEN 1 END) AS DOUBLE) / nullif(count(CASE WHEN label = 1 THEN 1 END), 0), 6)
        AS pos_weight
-FROM fold_train""", "fold_train"), "A5")
+FROM fold_train GROUP BY fold""", "fold_train"), "A5")
 def q_pos_weight(spark, sf):
-    return SM.pos_weight(fold_train(spark, sf), "label")
+    return SM.pos_weight(train(spark, sf), "label", "fold", K)
 
 
 @query("balanced_draws", with_ctes("SELECT * FROM draws", "draws"), "X5,X6")
 def q_draws(spark, sf):
-    d = SM.balanced_draws(fold_train(spark, sf).select("Code", "label"), "Code", "label", SEED, BATCH)
-    return d.select("draw_id", "Code", "label", "batch_id")
+    return draws(spark, sf).select("fold", "draw_id", "Code", "label", "batch_id")
 
 
 @query("batch_balance", with_ctes("""
-SELECT batch_id, count(CASE WHEN label = 1 THEN 1 END) AS n_pos, count(CASE WHEN label = 0 THEN 1 END) AS n_neg
-FROM draws GROUP BY batch_id""", "draws"), "A9")
+SELECT fold, batch_id, count(CASE WHEN label = 1 THEN 1 END) AS n_pos, count(CASE WHEN label = 0 THEN 1 END) AS n_neg
+FROM draws GROUP BY fold, batch_id""", "draws"), "A9")
 def q_batch_balance(spark, sf):
-    d = SM.balanced_draws(fold_train(spark, sf).select("Code", "label"), "Code", "label", SEED, BATCH)
-    return SM.batch_balance(d, "label")
+    return SM.batch_balance(draws(spark, sf), "label", by=["fold"])
 
 
 @query("batches_shuffled", with_ctes(f"""

@@ -24,7 +24,7 @@ from cohortkit.operators import sampling as SM
 from cohortkit.operators import splits as SP
 from cohortkit.operators import training as TR
 from cohortkit.plans.cohort import cohort
-from cohortkit.plans.features import split_features
+from cohortkit.plans.features import stored_split_features as split_features
 from cohortkit.plans.registry import query
 from cohortkit.session import cut_lineage
 
@@ -37,8 +37,7 @@ FEATS = FT.FEATURES
 
 def _train_test(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     s = split_features(spark, sf)
-    # every grid point and fold re-reads the weighted training rows
-    return cut_lineage(TR.with_pos_weight(SP.train_rows(s), "label")), SP.test_rows(s)
+    return TR.with_pos_weight(SP.train_rows(s), "label"), SP.test_rows(s)
 
 
 def cv_fit(spark: SparkSession, sf: str):

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings the library assumes.  AQE re-plans joins at run time (size-checked
@@ -22,54 +22,52 @@ DEFAULT_CONF = {
 }
 
 
-def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
+def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app: str = "cohortkit", extra: dict | None = None) -> SparkSession:
     """Create (or reuse) a session with the library defaults.
 
-    On a cluster call this without ``master`` overrides from the launcher; the
-    shuffle partition count should then be sized to the input (about
-    128-256 MB per partition), AQE coalesces what is left over.
+    Master and number of shuffle partitions are the launcher's unless given
+    here (tests and the benchmark give both).  Size the partitions to the
+    input (128-256 MB each); AQE can only merge them.
     """
-    b = SparkSession.builder.master(master).appName(app)
+    b = SparkSession.builder.appName(app)
+    if master is not None:
+        b = b.master(master)
     conf = dict(DEFAULT_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if shuffle_partitions is not None:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """Return the shared folder named by ``spark.checkpoint.dir``.
 
-    The cluster's setting always wins.  Only when it is unset (local tests) a
-    fresh scratch folder is created and registered.
+    The cluster's setting always wins.  Only in local mode, where one machine
+    does all the work, an unset one is replaced by a fresh scratch folder;
+    elsewhere that is an error, for executors would not see it.
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if d:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(d)
-        return d
-    d = tempfile.mkdtemp(prefix="cohortkit-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+    if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        d = tempfile.mkdtemp(prefix="cohortkit-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+        spark.conf.set("spark.checkpoint.dir", d)
     return d
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder.
+def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back.
 
     Used where a DataFrame feeds several jobs (folds, grid points): a lost
-    executor then re-reads the checkpoint instead of recomputing the lineage.
+    executor then re-reads the table instead of recomputing the lineage, and
+    readers take only the columns that they need.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    # A reliable checkpoint computes its input once for the triggering job
-    # and again for the file write unless the input is persisted; persist
-    # for the duration of the checkpoint only.
-    held = df.persist(StorageLevel.MEMORY_AND_DISK)
-    out = held.checkpoint(eager=True)
-    held.unpersist(blocking=False)
-    return out
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

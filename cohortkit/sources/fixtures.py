@@ -31,7 +31,8 @@ def fx_site_a(spark: SparkSession, sf_dir: str) -> DataFrame:
     rb = o.groupBy("o_custkey").agg(F.min("o_orderdate").alias("rb"))
     j = o.join(rb, "o_custkey").join(c, o.o_custkey == c.c_custkey)
     return j.selectExpr(
-        "o_custkey AS VALIGA_CODE", "o_orderkey AS row_id",
+        "CASE WHEN o_orderkey % 211 <> 5 THEN o_custkey END AS VALIGA_CODE",
+        "CASE WHEN o_orderkey % 223 <> 7 THEN o_orderkey END AS row_id",
         "c_nationkey % 2 + 1 AS Gender1M2F",
         "20 + o_custkey % 50 + CAST(o_custkey % 4 AS DOUBLE) / 4 AS age",
         "date_format(rb, 'dd/MM/yyyy') AS RBdate",
@@ -81,11 +82,12 @@ def fx_site_b(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fx_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored test rows: label, probability on a 0.01 grid (many ties and
-    exact 0.5 values), follow-up days."""
+    exact 0.5 values), follow-up days (some missing, some negative)."""
     e = load_table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
     y = F.when(F.col("user_id") % 3 == 0, 1).otherwise(0)
     h = (F.col("event_id") * 7919) % 101
-    fu = (F.col("user_id") % 15) * 365 + F.dayofmonth("ts") - 1
+    fu = (F.when(F.col("event_id") % 43 == 0, None).when(F.col("event_id") % 47 == 0, -5)
+          .otherwise((F.col("user_id") % 15) * 365 + F.dayofmonth("ts") - 1))
     return e.select(
         F.col("event_id").alias("id"),
         y.alias("y"),
@@ -102,10 +104,15 @@ def fx_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     with the input.  Loss first falls, then wobbles (non-monotone).
     """
     o = load_table(spark, sf_dir, "orders").select("o_orderkey")
-    k = F.col("o_orderkey") - 1
+    k = F.col("o_orderkey")
     run = F.floor(k / HISTORY_EPOCHS).cast("long")
     ep = (k % HISTORY_EPOCHS + 1).cast("long")
     r = run % 25
     loss = (40 - F.least(ep, 20 + r) + (ep * (7 + r)) % 5).cast("double") / 40
     f1 = (50 + F.least(ep, 15 + r) + (ep * (3 + r)) % 7).cast("double") / 100
-    return o.select(run.alias("run_id"), ep.alias("epoch"), loss.alias("val_loss"), f1.alias("val_f1"))
+    # some losses and scores are not a number, some are missing
+    loss = F.when(k % 97 == 3, float("nan")).when(k % 101 == 4, None).otherwise(loss)
+    f1 = F.when(k % 89 == 2, float("nan")).when(k % 103 == 6, None).otherwise(f1)
+    # a few runs log a single epoch, so that early stopping never looks at them
+    short = (run % 37 == 11) & (ep > 1)
+    return (o.where(~short).select(run.alias("run_id"), ep.alias("epoch"), loss.alias("val_loss"), f1.alias("val_f1")))
