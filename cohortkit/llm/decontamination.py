@@ -116,60 +116,67 @@ class Index:
         self.filter[_slot(self.grams)] = True
         self.sizes = np.array([len(p) for p in self.pieces], np.int64)
         self.bound = self.sizes - Q + 1 - Q * self.edits
+        self.bytes = np.zeros((len(self.pieces), int(self.sizes.max())), np.uint8)
+        for i, p in enumerate(self.pieces):
+            self.bytes[i, :len(p)] = p
 
-    def regions(self, text: np.ndarray) -> list[tuple[int, int, int]]:
-        """(piece, first, last start) of the bands of ``text`` that reach the bound."""
+    def regions(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(piece, first start) of the bands of ``text`` that reach the bound."""
         g = grams(text)
         at = np.flatnonzero(self.filter[_slot(g)])
         lo = np.searchsorted(self.grams, g[at], "left")
         n = np.searchsorted(self.grams, g[at], "right") - lo
         at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
         if not len(at):
-            return []
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         entry = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        piece = self.piece_of[entry]
-        diagonal = np.repeat(at, n) - self.place[entry] + int(self.sizes.max())  # never negative
-        width = self.edits[piece] + 1
-        band = diagonal // width
+        piece, top = self.piece_of[entry], int(self.sizes.max())
+        diagonal = np.repeat(at, n) - self.place[entry] + top  # never negative
+        band = diagonal // (self.edits[piece] + 1)
         key = np.sort(np.concatenate([piece << 40 | band + 1, piece << 40 | band]))
         first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        count = np.diff(np.append(first, len(key)))
-        key = key[first]
-        hit = count >= self.bound[key >> 40]
-        out = []
-        for k in key[hit].tolist():
-            p, b = k >> 40, k & ((1 << 40) - 1)
-            w = int(self.edits[p]) + 1
-            begin = (b - 1) * w - int(self.sizes.max())
-            out.append((p, begin, begin + 2 * w - 1))
-        return out
-
-    def align(self, p: int, text: np.ndarray) -> tuple[int, int]:
-        """(edits, end) of the best place of the piece in ``text``; the piece is used whole."""
-        step = np.arange(len(text) + 1)
-        row = np.zeros(len(text) + 1, np.int64)
-        for i, c in enumerate(self.pieces[p].tolist(), 1):
-            new = row + 1
-            np.minimum(new[1:], row[:-1] + (text != c), out=new[1:])
-            row = np.minimum.accumulate(new - step) + step
-        end = int(np.argmin(row))
-        return int(row[end]), end
+        hit = np.diff(np.append(first, len(key))) >= self.bound[key[first] >> 40]
+        key = key[first[hit]]
+        piece, band = key >> 40, key & ((1 << 40) - 1)
+        return piece, (band - 1) * (self.edits[piece] + 1) - top
+
+    def align(self, piece: np.ndarray, begin: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(edits, end) of the best place of each piece that starts within its band.
+
+        All candidates step through their pieces together.  Column k of a row
+        is the place ``begin + k`` on the diagonal of the row; a piece may
+        start anywhere in the band and is used whole.
+        """
+        order = np.argsort(-self.sizes[piece], kind="stable")
+        piece, begin = piece[order], begin[order]
+        size, width = self.sizes[piece], 4 * int(self.edits[piece].max()) + 2
+        padded = np.concatenate([text, np.zeros(int(size.max()) + width + 1, np.uint8)])
+        step = np.arange(width, dtype=np.int16)
+        row = np.zeros((len(piece), width), np.int16)
+        for i in range(int(size[0])):
+            n = int(np.searchsorted(-size, -i, "left"))  # pieces that still have a byte i
+            cell = (begin[:n] + i)[:, None] + step
+            near = np.where(cell >= 0, padded[np.maximum(cell, 0)], 0)
+            new = row[:n] + (near != self.bytes[piece[:n], i][:, None])
+            np.minimum(new[:, :-1], row[:n, 1:] + 1, out=new[:, :-1])
+            row[:n] = np.minimum.accumulate(new - step, axis=1) + step
+        best = np.argmin(row, axis=1)
+        back = np.argsort(order)
+        return row[np.arange(len(row)), best][back].astype(np.int64), (begin + size + best)[back]
 
     def matches(self, text: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(piece, first byte, end, edits) of the verified regions."""
         found = {}
         reach = int(self.sizes.max()) + 4 * int(self.edits.max()) + 8 if self.pieces else 0
         for a in range(0, max(len(text) - Q, 0) + 1, PART_BYTES):
-            for p, lo, hi in self.regions(text[a:a + PART_BYTES + reach]):
-                e = int(self.edits[p])
-                begin = max(0, a + lo - e)
-                area = text[begin:max(0, a + hi + e) + int(self.sizes[p])]
-                edits, end = self.align(p, area)
-                if edits <= e:
-                    end += begin
-                    best = found.get((p, end))
-                    if best is None or edits < best[3]:
-                        found[p, end] = (p, max(0, end - int(self.sizes[p])), end, edits)
+            piece, first = self.regions(text[a:a + PART_BYTES + reach])
+            if not len(piece):
+                continue
+            edits, end = self.align(piece, a + first - self.edits[piece], text)
+            ok = edits <= self.edits[piece]
+            for p, e, n in zip(piece[ok].tolist(), end[ok].tolist(), edits[ok].tolist()):
+                if n < found.get((p, e), (0, 0, 0, n + 1))[3]:
+                    found[p, e] = (p, max(0, e - int(self.sizes[p])), e, n)
         return list(found.values())
 
 
@@ -225,10 +232,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, **args) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **args) -> DataFrame:
     """The rows of ``docs`` that hold no passage of the benchmark."""
-    keyed = docs.withColumn("_row", F.struct("doc_id", F.xxhash64("text").alias("t")))
-    bad = find_matches(keyed.select(F.to_json("_row").alias("_key"), "text"), benchmark, id_col="_key", **args).select("doc_id").distinct()
-    return (keyed.withColumn("_key", F.to_json("_row")).join(bad, F.col("_key") == bad["doc_id"], "left_anti")
-            .drop("_row", "_key"))
+    row = F.to_json(F.struct("doc_id", F.xxhash64("text").alias("t")))
+    bad = find_matches(docs.select(row.alias("_op3_key"), "text"), benchmark, id_col="_op3_key", **args).select(F.col("doc_id").alias("_op3_bad")).distinct()
+    return docs.withColumn("_op3_key", row).join(bad, F.col("_op3_key") == F.col("_op3_bad"), "left_anti").drop("_op3_key")
 
 
 @query("op3_decontaminate")
