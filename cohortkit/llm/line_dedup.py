@@ -219,16 +219,19 @@ def _candidates(state: LineState, docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {idt}, k1 long, k2 long")
 
 
-def drop_lines(state: LineState, docs: DataFrame) -> DataFrame:
+def drop_lines(state: LineState, docs: DataFrame, counts: bool = False) -> DataFrame:
     """``docs`` without the lines whose key the state counts in ``min_docs`` documents or more.
 
-    Adds n_lines and n_dropped; all other columns stay.
+    All columns stay; ``counts`` returns (doc_id, text, n_lines, n_dropped) instead.
     """
     hot = state.refs.filter(F.col("n") >= state.min_docs).select(F.col("k1").alias("h1"), F.col("k2").alias("h2"))
     sure = _candidates(state, docs).join(hot, (F.col("k1") == F.col("h1")) & (F.col("k2") == F.col("h2")), "left_semi")
-    per_doc = sure.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct("k1", "k2")).alias("_hot"))
-    joined = docs.join(per_doc, F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
+    per_doc = sure.groupBy(F.col("doc_id").alias("_op6_id")).agg(F.collect_set(F.struct("k1", "k2")).alias("_op6_hot"))
+    if counts:
+        docs = docs.select("doc_id", "text")
+    joined = docs.join(per_doc, F.col("doc_id").eqNullSafe(F.col("_op6_id")), "left").drop("_op6_id")
     names, at = docs.columns, docs.columns.index("text")
+    added = ["n_lines", "n_dropped"] if counts else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -246,11 +249,12 @@ def drop_lines(state: LineState, docs: DataFrame) -> DataFrame:
                     gone.append(drop)
                 columns = [b.column(i) for i in range(len(names))]
                 columns[at] = pa.array(text, b.column(at).type)
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.int64()), pa.array(gone, pa.int64())],
-                                                 names=[*names, "n_lines", "n_dropped"])
+                if counts:
+                    columns += [pa.array(lines, pa.int64()), pa.array(gone, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=[*names, *added])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
-    return joined.select(*names, "_hot").mapInArrow(run, schema)
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in added)])
+    return joined.select(*names, "_op6_hot").mapInArrow(run, schema)
 
 
 OP6_SQL = r"""
@@ -270,5 +274,5 @@ FROM l LEFT JOIN hot USING (k) GROUP BY doc_id
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     state = insert_documents(empty_state(spark, min_docs=10), docs)
-    return drop_lines(state, docs).select("doc_id", "n_lines", "n_dropped",
+    return drop_lines(state, docs, counts=True).select("doc_id", "n_lines", "n_dropped",
                                           F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))

@@ -94,7 +94,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: fl
 
     Columns: doc_id, source, size, source_size, target, draws (array of
     (copy, shard, position)); with ``whole_rows`` the columns of ``docs`` and
-    ``draws``.  Exploding ``draws``, writing by shard and sorting by position
+    ``_draws``.  Exploding ``draws``, writing by shard and sorting by position
     within it gives the mix.
     """
     spark = docs.sparkSession
@@ -168,14 +168,14 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: fl
     draws = F.transform(F.slice("_shards", F.lit(1), F.col("_copies")), lambda s, i: F.struct(
         i.alias("copy"), s.alias("shard"), F.xxhash64(F.lit(seed + 1), F.col("_h"), i).alias("position")))
     if whole_rows:
-        return with_shards.select(*(F.col(f"_doc_{c}").alias(c) for c in docs.columns), draws.alias("draws"))
+        return with_shards.select(*(F.col(f"_doc_{c}").alias(c) for c in docs.columns), draws.alias("_draws"))
     return with_shards.select("doc_id", "source", "size", "source_size", "target", draws.alias("draws"))
 
 
 def mixed_rows(docs: DataFrame, **args) -> DataFrame:
     """A row of ``docs`` for each copy that the mix takes, with copy, shard and position (unless ``docs`` has them)."""
     drawn = mix(docs, whole_rows=True, **args)
-    copies = drawn.select(*docs.columns, F.explode("draws").alias("_draw"))
+    copies = drawn.select(*docs.columns, F.explode("_draws").alias("_draw"))
     return copies.select(*docs.columns, *(F.col(f"_draw.{c}") for c in ("copy", "shard", "position") if c not in docs.columns))
 
 

@@ -143,9 +143,10 @@ def judge(stats: DataFrame, cutoffs: DataFrame, stratum: str = "lang") -> DataFr
 
 def quality_filter(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
     """The rows of ``docs`` that the base rules and the certified cutoffs keep."""
-    cols = docs.columns
     slim = stage(with_stats(docs.select("doc_id", stratum, "text")).drop("text"), "op5-stats")
-    return judge(with_stats(docs), fit_cutoffs(slim, labels, stratum=stratum), stratum).filter("kept").select(*cols)
+    own = docs.select(*(F.col(c).alias(f"_doc_{c}") for c in docs.columns), F.col(stratum), F.col("text"))
+    kept = judge(with_stats(own), fit_cutoffs(slim, labels, stratum=stratum), stratum).filter("kept")
+    return kept.select(*(F.col(f"_doc_{c}").alias(c) for c in docs.columns))
 
 
 @query("op5_quality_rules")
