@@ -5,19 +5,23 @@ of the graph.  Under a global order of shingles, two sets that link share at
 least ``l`` shingles among their first ``n - ceil(0.8 n) + l`` ones, for every
 ``l``.  The order puts shingles that are frequent in a fixed-size count sketch
 of the corpus last.  Each node picks the ``l`` with the least estimated cost
-(postings read plus candidates expected under the sketch); a pair
-is verified when it shares the smaller of both ``l``.
+(postings read plus candidates expected under the sketch), and the longer its
+prefix, the more shared prefix shingles a pair must have to be verified: what
+both prefixes hold is counted, what lies behind them is at most the shorter
+rest, and the sum must reach the overlap that the pair's sizes ask for.
 
 Components need no pair within them: first every posting list links its nodes
 to one pivot, the verified stars are contracted, and what is left are pairs
-between different components, which are all verified.  So a large group of
-near copies costs its size, not its square, and no link that joins different
-components is lost.
+between different components, which all go through the filter.  While those
+are too many, more pivots are tried first.  So a large group of near copies
+costs its size, not its square, and no link that joins different components
+is lost.
 
 Edge cases: without words a document has an empty set and is linked with
 nothing; with fewer than five its whole sequence is the only shingle; null ids
-are kept with a null component unless they share one with another id; rows
-that repeat an id are documents of their own; extra columns are not read.
+are kept with the component of the other ids that they link with, null if there
+are none; rows that repeat an id are documents of their own; extra columns are
+not read.
 """
 
 from __future__ import annotations
@@ -40,7 +44,8 @@ SKETCH_BITS = 18
 MAX_MATCH = 6
 #: Nodes up to which the list of wanted sets is sent to the tasks (8 bytes each).
 SEND_NODES = 4_000_000
-MAX_PIVOT_ROUNDS = 5
+#: More pivots are tried while the pairs left are this many times the posting rows, but not without end.
+MANY_PAIRS, MAX_PIVOT_ROUNDS = 32, 5
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -105,6 +110,7 @@ def plan_prefix(s: np.ndarray, df: np.ndarray, percent: int) -> tuple[np.ndarray
 
 
 def _prefixes(docs: DataFrame, df: np.ndarray, percent: int) -> DataFrame:
+    """(node, n, heat, last, prefix) of every distinct set; ``last`` is the prefix's end in the global order."""
     sent = docs.sparkSession.sparkContext.broadcast(df)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,13 +121,15 @@ def _prefixes(docs: DataFrame, df: np.ndarray, percent: int) -> DataFrame:
                 continue
             digests = [_digest(s) for s in sets]
             plans = [plan_prefix(s, table[_bucket(s)], percent) for s in sets]
+            ends = np.array([p[0][-1] for p in plans], np.uint64)
+            last = [d.to_bytes(8, "big") + e.to_bytes(8, "big") for d, e in zip(table[_bucket(ends)].tolist(), ends.tolist())]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(digests, pa.binary()), pa.array(_nodes(digests)), pa.array([len(s) for s in sets], pa.int32()),
-                 pa.array([p[1] for p in plans], pa.int32()), pa.array([p[2] for p in plans], pa.int32()),
+                 pa.array([p[2] for p in plans], pa.int32()), pa.array(last, pa.binary()),
                  pa.array([p[0].view(np.int64) for p in plans], pa.list_(pa.int64()))],
-                names=["digest", "node", "n", "l", "heat", "prefix"])
+                names=["digest", "node", "n", "heat", "last", "prefix"])
 
-    return (docs.select("text").mapInArrow(run, "digest binary, node long, n int, l int, heat int, prefix array<long>")
+    return (docs.select("text").mapInArrow(run, "digest binary, node long, n int, heat int, last binary, prefix array<long>")
             .dropDuplicates(["digest"]))
 
 
@@ -161,6 +169,38 @@ def _verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
             .select("u", "v"))
 
 
+def _between(posts: DataFrame, done: DataFrame) -> tuple[DataFrame, int, int]:
+    """The posting lists that still hold several components; their pairs between components, and their rows."""
+    labels = done.select(_node_of(F.col("node")).alias("_n"), _node_of(F.col("component")).alias("comp"))
+    # Two digests with one 64-bit node would share a label: such nodes stay unlabelled and are compared again.
+    labels = labels.groupBy("_n").agg(F.count("*").alias("k"), F.first("comp").alias("comp")).filter("k = 1").drop("k")
+    named = posts.join(labels, F.col("node") == F.col("_n"), "left").drop("_n").withColumn("comp", F.coalesce("comp", "node"))
+    mixed = named.groupBy(F.col("token").alias("t")).agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("t")
+    live = stage(named.join(mixed, F.col("token") == F.col("t"), "left_semi"), "op10-live")
+    sizes = live.groupBy("token", "comp").agg(F.count("*").cast("double").alias("m")).groupBy("token").agg(
+        ((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))) / 2).alias("p"), F.sum("m").alias("m"))
+    left = sizes.agg(F.coalesce(F.sum("p"), F.lit(0.0)).alias("p"), F.coalesce(F.sum("m"), F.lit(0.0)).alias("m")).first()
+    return live, int(left.p), int(left.m)
+
+
+def _candidates(live: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes in different components that can still reach their overlap.
+
+    Up to the last shared prefix shingle both sets are known: ``c`` are shared.
+    Of the set whose prefix ends first nothing more of the prefix is shared.
+    """
+    x, y = live.alias("x"), live.alias("y")
+    pairs = (x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") < F.col("y.comp"))
+                    & _long_enough(F.col("x.n"), F.col("y.n"), percent))
+             .groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+             .agg(F.count("*").alias("c"), F.max("x.pos").alias("i"), F.max("y.pos").alias("j"),
+                  *(F.first(f"{s}.{c}").alias(f"{s}_{c}") for s in "xy" for c in ("n", "p", "last"))))
+    first = F.col("x_last") <= F.col("y_last")
+    rest = F.least(F.col("x_n") - F.when(first, F.col("x_p")).otherwise(F.col("i") + 1),
+                   F.col("y_n") - F.when(F.col("y_last") <= F.col("x_last"), F.col("y_p")).otherwise(F.col("j") + 1))
+    return pairs.filter((100 + percent) * (F.col("c") + rest) >= percent * (F.col("x_n") + F.col("y_n"))).select("a", "b")
+
+
 def _long_enough(x: Column, y: Column, percent: int) -> Column:
     return 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
@@ -177,47 +217,34 @@ def similar_components(docs: DataFrame, percent: int = 80) -> DataFrame:
     noise = 4 * max(int(np.median(table)), 1)
     table = np.where(table > noise, table, 0)
 
-    plans = _prefixes(docs, table, percent)
-    tokens = stage(plans.select("node", "n", "l", "heat", F.explode("prefix").alias("token")), "op10-tokens")
+    plans = stage(_prefixes(docs, table, percent), "op10-plans")
+    tokens = plans.select("node", F.posexplode("prefix").alias("pos", "token"))
     shared = tokens.groupBy(F.col("token").alias("t")).agg(F.count("*").alias("df")).filter("df > 1")
-    posts = stage(tokens.join(shared, F.col("token") == F.col("t")).drop("t"), "op10-posts")
-
-    links, labels, done, grew = None, None, None, True
+    sizes = plans.select(F.col("node").alias("_n"), "n", "heat", "last", F.size("prefix").alias("p"))
+    posts = stage(tokens.join(shared, F.col("token") == F.col("t")).join(sizes, F.col("node") == F.col("_n"))
+                  .select("token", "node", "pos", "n", "p", "heat", "last"), "op10-posts")
+    links, done = None, None
     for turn in range(MAX_PIVOT_ROUNDS + 1):
-        live = posts
-        if labels is not None:
-            live = posts.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-            mixed = live.groupBy(F.col("token").alias("t")).agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("df2")).filter("c0 <> c1")
-            live = stage(live.drop("df").join(mixed.select("t", "df2"), F.col("token") == F.col("t")).drop("t").withColumnRenamed("df2", "df"), "op10-live")
-            counts = live.groupBy("token", "comp").agg(F.count("*").alias("m")).groupBy("token").agg(
-                (F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))).alias("p"), F.sum("m").alias("s")).agg(
-                F.coalesce(F.sum("p") / 2, F.lit(0)).alias("p"), F.coalesce(F.sum("s"), F.lit(0)).alias("s")).first()
-            if counts.p == 0:
+        live = posts.withColumn("comp", F.col("node"))
+        if done is not None:
+            live, pairs_left, rows_left = _between(posts, done)
+            if pairs_left == 0:
                 break
-            if counts.p <= 4 * counts.s + 10_000 or turn == MAX_PIVOT_ROUNDS or not grew:
-                x, y = live.alias("x"), live.alias("y")
-                pairs = (x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") < F.col("y.comp"))
-                                & _long_enough(F.col("x.n"), F.col("y.n"), percent))
-                         .groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-                         .agg(F.count("*").alias("c"), F.least(F.first("x.l"), F.first("y.l")).alias("l")).filter("c >= l").select("a", "b"))
-                last = stage(_verified(docs, stage(pairs, "op10-pairs"), percent), "op10-links")
-                links = links.union(last)
-                done = components(links)
+            if pairs_left <= MANY_PAIRS * rows_left or turn == MAX_PIVOT_ROUNDS or new.isEmpty():
+                last = stage(_verified(docs, stage(_candidates(live, percent), "op10-pairs"), percent), "op10-links")
+                if not last.isEmpty():
+                    links = links.union(last)
+                    done = components(links)
                 break
         # The hottest node of a posting list first (the least edited copy of a large group), then others at random.
         rank = F.struct("heat", "node") if turn == 0 else F.struct(F.xxhash64(F.lit(turn), "comp", "node").alias("h"), F.col("node"))
-        pivot = live.groupBy(F.col("token").alias("t")).agg(F.max(F.struct(rank.alias("r"), F.col("n").alias("pn"), F.col("l").alias("pl"))).alias("p"))
-        star = (live.join(pivot, F.col("token") == F.col("t")).filter(F.col("node") != F.col("p.r.node"))
-                .filter(_long_enough(F.col("n"), F.col("p.pn"), percent))
-                .groupBy(F.col("node").alias("a"), F.col("p.r.node").alias("b")).agg(F.count("*").alias("c"), F.least(F.first("l"), F.first("p.pl")).alias("l"))
-                .filter("c >= l").select("a", "b"))
+        pivot = live.groupBy(F.col("token").alias("t")).agg(F.max(F.struct(rank.alias("r"), F.col("n").alias("pn"), F.col("comp").alias("pc"))).alias("q"))
+        star = (live.join(pivot, F.col("token") == F.col("t"))
+                .filter((F.col("comp") != F.col("q.pc")) & _long_enough(F.col("n"), F.col("q.pn"), percent))
+                .select(F.col("node").alias("a"), F.col("q.r.node").alias("b")).distinct())
         new = stage(_verified(docs, stage(star, "op10-pairs"), percent), "op10-links")
-        grew = not new.isEmpty()
         links = new if links is None else links.union(new)
         done = components(links)
-        by_node = done.select(_node_of(F.col("node")).alias("node"), _node_of(F.col("component")).alias("comp"))
-        # Two digests with one 64-bit node would share a label: such nodes stay unlabelled and are compared again.
-        labels = by_node.groupBy("node").agg(F.count("*").alias("k"), F.first("comp").alias("comp")).filter("k = 1").drop("k")
     named = members.join(done.select(F.col("node").alias("digest"), "component"), "digest", "left")
     named = named.withColumn("component", F.coalesce("component", "digest"))
     least = named.filter("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
@@ -233,11 +260,11 @@ def keep_one_per_group(docs: DataFrame, percent: int = 80) -> DataFrame:
     """
     found = similar_components(docs, percent)
     gone = found.filter((F.col("n_shingles") > 0) & ~F.col("doc_id").eqNullSafe(F.col("component_id")))
-    out = docs.join(gone.select(F.col("doc_id").alias("_gone")).distinct(), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    out = docs.join(gone.select(F.col("doc_id").alias("_op10_gone")).distinct(), F.col("doc_id").eqNullSafe(F.col("_op10_gone")), "left_anti")
     twice = found.filter("n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")
     if twice.isEmpty():
         return out
-    return out.withColumn("_t", F.xxhash64("text")).dropDuplicates(["doc_id", "_t"]).drop("_t")
+    return out.withColumn("_op10_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_op10_text"]).drop("_op10_text")
 
 
 def _node_of(digest: Column) -> Column:
