@@ -38,7 +38,9 @@ SITE_A_COMMON = ["VALIGA_CODE", "RBdate", "Lastvisit", "Gender1M2F", "age",
 SITE_B_COLUMNS = ["VALIGA_CODE", "SEX", "M", "E", "S", "T", "C", "dateAssess", "systolic", "Diastolic",
                   "age", "creat_mg_dl", "outcome", "Uprot", "nb_of_bpmeds", "ras_blockers",
                   "fish_oil", "Immunotherapies"]
-SITE_ORDER = {"A": 0, "B": 1}
+# Headers of the site B sheet as delivered, and the names used here.
+SITE_B_HEADERS = {"VALIGA CODE": "VALIGA_CODE", "Nb of Bpmeds": "nb_of_bpmeds", "RAS blockers": "ras_blockers",
+                  "fish oil": "fish_oil"}
 DATE_FORMAT = "dd/MM/yyyy"
 
 
@@ -78,7 +80,8 @@ def clean_site_a(raw: DataFrame, mode: str = "max", ffill_scope: str = "table",
 
 
 def clean_site_b(raw: DataFrame, ffill_scope: str = "table", row_id: str = "row_id") -> DataFrame:
-    """Site B sheet -> common schema (one row per visit)."""
+    """Site B sheet -> common schema (one row per visit); takes the sheet's own headers too."""
+    raw = raw.withColumnsRenamed({k: v for k, v in SITE_B_HEADERS.items() if k in raw.columns})
     require_columns(raw, SITE_B_COLUMNS + [row_id])
     x = raw.select(
         F.col("VALIGA_CODE"), F.col(row_id).alias("row_id"),

@@ -14,6 +14,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -27,7 +28,7 @@ from pyspark.ml.param.shared import HasInputCols, Param, Params, TypeConverters
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortkit.operators import features as FT
@@ -116,27 +117,43 @@ def probability_of_one(df: DataFrame, out: str = "prob") -> DataFrame:
 
 # --- T4: pairwise ranker -------------------------------------------------
 
-def _batch_gradient(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, np.ndarray]:
-    """Mean softplus(s_neg - s_pos) over the pos x neg pairs of one batch and
-    its gradient for s = w . x.  A batch has at most ``batch_size`` rows (X6),
-    so the pair matrix is a small in-memory array; no pair rows exist."""
-    pos, neg = x[y == 1], x[y == 0]
-    if not len(pos) or not len(neg):
-        return 0.0, np.zeros(x.shape[1])
-    d = neg @ w[:, None] - (pos @ w)[None, :]          # (n_neg, n_pos): s_neg - s_pos
-    sig = 1.0 / (1.0 + np.exp(-d))
-    loss = float(np.mean(np.maximum(d, 0) + np.log1p(np.exp(-np.abs(d)))))
+def _padded(pdf: pd.DataFrame, features: list[str], batch: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Whole batches as a 3-d array (batch, place, feature), their labels, and which places are filled."""
+    ids = pdf[batch].to_numpy()
+    new = np.append(True, ids[1:] != ids[:-1])
+    b = np.cumsum(new) - 1
+    place = np.arange(len(ids)) - np.flatnonzero(new)[b]
+    shape = (int(b[-1]) + 1, int(place.max()) + 1)
+    x, y, on = np.zeros((*shape, len(features))), np.zeros(shape), np.zeros(shape, bool)
+    x[b, place], y[b, place], on[b, place] = pdf[features].to_numpy(dtype=float), pdf["label"].to_numpy(), True
+    return x, y, on
+
+
+def _gradients(x: np.ndarray, y: np.ndarray, on: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Per batch: rows, mean softplus(s_neg - s_pos) over its pairs, and the gradient for s = w . x.
+
+    A batch has at most ``batch_size`` rows (X6), so the pairs of all batches
+    of a chunk are one bounded array; no pair rows exist.
+    """
+    s = x @ w
+    pos, neg = on & (y == 1), on & (y == 0)
+    pair = neg[:, :, None] & pos[:, None, :]                    # (batch, negative, positive)
+    d = np.where(pair, s[:, :, None] - s[:, None, :], 0.0)
+    n = np.maximum(pair.sum(axis=(1, 2)), 1)
+    loss = (np.where(pair, np.maximum(d, 0) + np.log1p(np.exp(-np.abs(d))), 0.0)).sum(axis=(1, 2)) / n
+    sig = np.where(pair, 1.0 / (1.0 + np.exp(-d)), 0.0)
     # d/dw softplus(s_n - s_p) = sigmoid(d) * (x_n - x_p)
-    return loss, (sig.sum(axis=1) @ neg - sig.sum(axis=0) @ pos) / d.size
+    grad = (np.einsum("bi,bif->bf", sig.sum(axis=2), x) - np.einsum("bj,bjf->bf", sig.sum(axis=1), x)) / n[:, None]
+    return np.column_stack([on.sum(axis=1), loss, grad])
 
 
 def _partition_gradients(features: list[str], batch: str, w: np.ndarray):
     """mapInPandas body: rows arrive sorted by batch inside a partition that
     holds whole batches; chunks are streamed and only the last, possibly
     incomplete batch is carried to the next chunk."""
-    def rows(g: pd.DataFrame):
-        loss, grad = _batch_gradient(g[features].to_numpy(dtype=float), g["label"].to_numpy(), w)
-        return [int(len(g)), loss, *grad.tolist()]
+    def rows(g: pd.DataFrame) -> pd.DataFrame:
+        out = pd.DataFrame(_gradients(*_padded(g, features, batch), w))
+        return out.astype({0: "int64"})
 
     def fn(chunks):
         carry = None
@@ -145,13 +162,12 @@ def _partition_gradients(features: list[str], batch: str, w: np.ndarray):
                 pdf = pd.concat([carry, pdf], ignore_index=True)
             if not len(pdf):
                 continue
-            last = pdf[batch].iloc[-1]
-            done, carry = pdf[pdf[batch] != last], pdf[pdf[batch] == last]
-            out = [rows(g) for _, g in done.groupby(batch, sort=False)]
-            if out:
-                yield pd.DataFrame(out)
+            last = pdf[batch].to_numpy() == pdf[batch].iloc[-1]
+            done, carry = pdf[~last], pdf[last]
+            if len(done):
+                yield rows(done)
         if carry is not None and len(carry):
-            yield pd.DataFrame([rows(carry)])
+            yield rows(carry)
     return fn
 
 
@@ -184,6 +200,39 @@ def score_linear(df: DataFrame, features: Sequence[str], w: np.ndarray, out: str
     return df.withColumn(out, s)
 
 
+# --- fold models as columns ---------------------------------------------
+
+def linear_parts(model: PipelineModel) -> tuple[list[str], np.ndarray, float]:
+    """(features, weights, intercept) on unscaled features of a fitted scaler + linear model."""
+    scaler, last = model.stages[0], model.stages[-1]
+    mu, sd = (np.array(scaler.getOrDefault(p)) for p in (scaler.means, scaler.stds))
+    w = last.coefficients.toArray() / sd
+    return list(scaler.getInputCols()), w, float(last.intercept - (w * mu).sum())
+
+
+def score_folds(df: DataFrame, models: dict[int, PipelineModel], out: str, link=lambda x: x,
+                keep: Sequence[str] = (), own_fold: str | None = None) -> DataFrame:
+    """Scores of the folds' linear models as rows (fold, ``keep``, ``out``), from one scan.
+
+    Every row gets the score of every fold's model; with ``own_fold`` only
+    that of the fold which it was held out of.
+    """
+    def score(model: PipelineModel) -> Column:
+        feats, w, b = linear_parts(model)
+        return link(sum((F.col(f) * float(c) for f, c in zip(feats, w)), F.lit(b)))
+
+    each = F.array(*[F.struct(F.lit(k).cast("long").alias("fold"), score(m).alias(out)) for k, m in sorted(models.items())])
+    if own_fold:
+        each = F.filter(each, lambda e: e["fold"] == F.col(own_fold))
+    return df.select(*keep, F.explode(each).alias("_s")).select(*keep, "_s.fold", f"_s.{out}")
+
+
+def fit_folds(train: DataFrame, pipeline: Pipeline, folds: Sequence[int], fold: str = "fold", parallelism: int = 4) -> dict[int, PipelineModel]:
+    """One model per fold, fitted on the other folds' rows; fits are submitted side by side."""
+    with ThreadPoolExecutor(parallelism) as pool:
+        return dict(zip(folds, pool.map(lambda f: pipeline.fit(train.where(F.col(fold) != f)), folds)))
+
+
 # --- T5 ---------------------------------------------------------------
 
 def time_regressor(kind: str = "linear", label: str = "target", loss: str = "squared"):
@@ -191,7 +240,7 @@ def time_regressor(kind: str = "linear", label: str = "target", loss: str = "squ
     absolute loss)."""
     if kind == "gbt":
         return GBTRegressor(labelCol=label, featuresCol="features", lossType=loss, maxIter=20, seed=42)
-    return LinearRegression(labelCol=label, featuresCol="features", maxIter=100)
+    return LinearRegression(labelCol=label, featuresCol="features", maxIter=100, solver="normal")
 
 
 def save_model(model: PipelineModel, path: str) -> None:
@@ -203,9 +252,16 @@ def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
+def load_fold_models(spark: SparkSession, folder: str, folds: Sequence[int]) -> dict[int, PipelineModel]:
+    """The models under ``folder/fold=<f>``; a fold without an artifact is skipped."""
+    from cohortkit.sources.tables import path_exists
+    return {f: load_model(f"{folder}/fold={f}") for f in folds if path_exists(spark, f"{folder}/fold={f}")}
+
+
 __all__ = ["PopStdScaler", "PopStdScalerModel", "classifier_pipeline", "weighted_logistic", "mlp",
            "with_pos_weight", "cross_validate", "logistic_grid", "probability_of_one", "fit_pairwise_ranker",
-           "score_linear", "time_regressor", "save_model", "load_model", "feature_order"]
+           "score_linear", "linear_parts", "score_folds", "fit_folds", "time_regressor", "save_model", "load_model",
+           "load_fold_models", "feature_order"]
 
 
 def feature_order(df: DataFrame, vector_col: str = "features") -> list[str]:

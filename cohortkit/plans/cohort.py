@@ -33,11 +33,7 @@ def cohort(spark: SparkSession, sf: str, mode: str = "max") -> DataFrame:
     return H.build_cohort(site_a(spark, sf, mode), site_b(spark, sf), mode=mode)
 
 
-def _round(df: DataFrame, cols: list[str]) -> DataFrame:
-    return df.select(*[F.round(c, 6).alias(c) if c in cols else F.col(c) for c in df.columns])
-
-
-@query("site_a_clean", with_ctes("SELECT * FROM site_a_max", "site_a_max"), "S1,S4,P1-P16,W1")
+@query("site_a_clean", with_ctes("SELECT * FROM site_a_max", "site_a_max"), "S4,P1-P16,W1")
 def q_site_a_clean(spark, sf):
     return site_a(spark, sf, "max").select(*SITE_OUT)
 
@@ -65,7 +61,7 @@ def q_ffill_table(spark, sf):
     return site_b(spark, sf).select("VALIGA_CODE", "row_id", "Proteinuria")
 
 
-@query("cohort_last", with_ctes("SELECT * FROM cohort_max", "cohort_max"), "U1,W2,S6,P15")
+@query("cohort_last", with_ctes("SELECT * FROM cohort_max", "cohort_max"), "U1,W2,P15")
 def q_cohort_last(spark, sf):
     return cohort(spark, sf, "max")
 
@@ -89,7 +85,7 @@ def q_cohort_first(spark, sf):
 SELECT {COHORT_COLS} FROM (
   SELECT *, row_number() OVER (PARTITION BY Code ORDER BY dateAssess DESC, site_order DESC, row_id DESC) AS rn
   FROM visits_max WHERE Code IS NOT NULL AND dateAssess IS NOT NULL) t WHERE rn = 1""", "visits_max"),
-       "W5,W10 (sort + tail(1): last row wins ties)")
+       "W5 (sort + tail(1): last row wins ties)")
 def q_cohort_latest_tail(spark, sf):
     x = H.stack_sites(site_a(spark, sf, "max"), site_b(spark, sf), round_age=True)
     return (H.one_row_per_entity(x, rule="last", ties="last", columns=H.COHORT_COLUMNS[1:])
@@ -116,3 +112,12 @@ FROM cohort_max c, (SELECT unnest([0, 5, 10]) AS years) t
 GROUP BY t.years""", "cohort_max"), "A3,F1,F2")
 def q_event_counts(spark, sf):
     return V.events_by_followup(cohort(spark, sf, "max"), [0, 5, 10])
+
+
+@query("followup_julian_years", with_ctes("""
+SELECT Code, round(dateAssess / 365.25, 6) AS years, CAST(dateAssess >= 10 * 365.25 AS INTEGER) AS at_least_10
+FROM cohort_max WHERE dateAssess >= 5 * 365.25""", "cohort_max"), "F3,P22 (365.25 days a year)")
+def q_followup_julian(spark, sf):
+    c = cohort(spark, sf, "max").where(V.followup_at_least("dateAssess", 5, True, V.DAYS_PER_YEAR_JULIAN))
+    ten = V.followup_at_least("dateAssess", 10, True, V.DAYS_PER_YEAR_JULIAN)
+    return c.select("Code", F.round(F.col("dateAssess") / V.DAYS_PER_YEAR_JULIAN, 6).alias("years"), ten.cast("int").alias("at_least_10"))

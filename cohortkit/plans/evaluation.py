@@ -171,12 +171,17 @@ def q_metrics_followup(spark, sf):
     return per_fold_followup(spark, sf)
 
 
-@query("fold_summary", with_ctes("SELECT years, count(*) AS n_folds, " + ", ".join(
-    f"CAST(round(CAST(avg({m}) AS DECIMAL(38,10)), 6) AS DOUBLE) AS {m}_mean, "
-    f"CAST(round(CAST(stddev_pop({m}) AS DECIMAL(38,10)), 6) AS DOUBLE) AS {m}_std, "
-    f"concat_ws(' ± ', CAST(CAST(CAST(avg({m}) AS DECIMAL(38,10)) AS DECIMAL(38,4)) AS VARCHAR), "
-    f"CAST(CAST(CAST(stddev_pop({m}) AS DECIMAL(38,10)) AS DECIMAL(38,4)) AS VARCHAR)) AS {m}_text" for m in RATE_COLS)
-    + " FROM per_fold_followup GROUP BY years", "per_fold_followup"), "M10")
+def summary_columns(metrics: list[str]) -> str:
+    """SQL of the columns of ``fold_summary``."""
+    return ", ".join(
+        f"CAST(round(CAST(avg({m}) AS DECIMAL(38,10)), 6) AS DOUBLE) AS {m}_mean, "
+        f"CAST(round(CAST(stddev_pop({m}) AS DECIMAL(38,10)), 6) AS DOUBLE) AS {m}_std, "
+        f"concat_ws(' ± ', CAST(CAST(CAST(avg({m}) AS DECIMAL(38,10)) AS DECIMAL(38,4)) AS VARCHAR), "
+        f"CAST(CAST(CAST(stddev_pop({m}) AS DECIMAL(38,10)) AS DECIMAL(38,4)) AS VARCHAR)) AS {m}_text" for m in metrics)
+
+
+@query("fold_summary", with_ctes("SELECT years, count(*) AS n_folds, " + summary_columns(RATE_COLS)
+                                 + " FROM per_fold_followup GROUP BY years", "per_fold_followup"), "M10")
 def q_fold_summary(spark, sf):
     return MT.fold_summary(per_fold_followup(spark, sf), RATE_COLS, ["years"])
 

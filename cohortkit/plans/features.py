@@ -22,7 +22,7 @@ K = 10
 FEATS = FT.FEATURES
 
 # Therapy columns and feature list of the merged-CSV pipeline.
-PR_THERAPY = ["ras_blockers", "Immunotherapies", "fish_oil", "Tonsillectomy"]
+PR_THERAPY = ["RAS blockers", "Immunotherapies", "fish oil", "Tonsillectomy"]
 PR_NUMERIC = ["age", "systolic", "Diastolic", "creat_mg_dl", "Uprot", "M", "E", "S", "T", "C"]
 
 
@@ -36,8 +36,8 @@ def split_features(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stored_split_features(spark: SparkSession, sf: str) -> DataFrame:
-    """The same as a table in the shared folder, for plans that read it many times (model fits)."""
-    return cut_lineage(split_features(spark, sf))
+    """The same as a table in the shared folder, for plans that read it more than once."""
+    return cut_lineage(split_features(spark, sf), "features")
 
 
 def fold_stats(spark: SparkSession, sf: str, split: DataFrame | None = None) -> DataFrame:
@@ -79,7 +79,7 @@ def q_features(spark, sf):
     f"SELECT fold, n_train, '{f}' AS feature, round(m_{f}, 6) AS mean, round(s_{f}, 6) AS std FROM fstats"
     for f in FEATS), "fstats"), "A7")
 def q_scaler_stats(spark, sf):
-    st = fold_stats(spark, sf)
+    st = fold_stats(spark, sf, stored_split_features(spark, sf))
     rows = F.array(*[F.struct(F.lit(f).alias("feature"), F.round(f"mean_{f}", 6).alias("mean"),
                               F.round(f"std_{f}", 6).alias("std")) for f in FEATS])
     return st.select("fold", "n_train", F.inline(rows))
@@ -89,7 +89,7 @@ def q_scaler_stats(spark, sf):
     f"round((x.{f} - s.m_{f}) / s.s_{f}, 6) AS {f}" for f in FEATS)
     + " FROM feat x JOIN fstats s USING (fold) WHERE x.is_test = 0", "fstats"), "J5")
 def q_scaled(spark, sf):
-    s = split_features(spark, sf)
+    s = stored_split_features(spark, sf)
     z = FT.scale(SP.train_rows(s).select("Code", "fold", *FEATS), fold_stats(spark, sf, s), FEATS)
     return z.select("Code", "fold", *_r6(FEATS))
 
@@ -97,7 +97,7 @@ def q_scaled(spark, sf):
 @query("inverse_scaled", with_ctes("SELECT Code, fold, " + ", ".join(
     f"round({f}, 6) AS {f}" for f in FEATS) + " FROM feat WHERE is_test = 0", "feat"), "M13")
 def q_inverse(spark, sf):
-    s = split_features(spark, sf)
+    s = stored_split_features(spark, sf)
     st = fold_stats(spark, sf, s)
     z = FT.scale(SP.train_rows(s).select("Code", "fold", *FEATS), st, FEATS)
     return FT.unscale(z, st, FEATS).select("Code", "fold", *_r6(FEATS))

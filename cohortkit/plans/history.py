@@ -28,14 +28,18 @@ def per_fold_rates(spark: SparkSession, sf: str) -> DataFrame:
     return MT.rates(MT.confusion(s, "y", "pred", ["fold"]))
 
 
-def best_config_per_fold(spark: SparkSession, sf: str) -> DataFrame:
+def best_per_fold(log: DataFrame) -> DataFrame:
     """Sweep runs are assigned to folds; each fold keeps the first
     (run, epoch) with the highest validation F1 (strict improvement)."""
-    h = history(spark, sf).withColumn("fold", (F.col("run_id") % K + 1).cast("long"))
+    h = log.withColumn("fold", (F.col("run_id") % K + 1).cast("long"))
     f1 = R.nan_to_null("val_f1")
     key = F.when(f1.isNotNull(), F.struct(f1, -F.col("run_id"), -F.col("epoch")))
     pay = F.struct("run_id", F.col("epoch").alias("best_epoch"), "val_f1", R.nan_to_null("val_loss").alias("val_loss"))
-    return h.groupBy("fold").agg(F.max_by(pay, key).alias("_b")).select("fold", "_b.*")
+    return h.groupBy("fold").agg(F.max_by(pay, key).alias("_b")).where(F.col("_b").isNotNull()).select("fold", "_b.*")
+
+
+def best_config_per_fold(spark: SparkSession, sf: str) -> DataFrame:
+    return best_per_fold(history(spark, sf))
 
 
 CTE["cfg"] = f"""

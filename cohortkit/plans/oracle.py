@@ -97,8 +97,7 @@ SELECT VALIGA_CODE, row_id,
 FROM fx_site_a"""
 
 
-def _site_b_clean(scope: str = "table") -> str:
-    part = "PARTITION BY VALIGA_CODE " if scope == "entity" else ""
+def _site_b_clean() -> str:
     yn = lambda c: (f"CASE {c} WHEN 'Y' THEN 1 WHEN 'Yes' THEN 1 WHEN '1' THEN 1 "
                     f"WHEN 'N' THEN 0 WHEN 'No' THEN 0 WHEN '0' THEN 0 END")
     return f"""
@@ -109,7 +108,7 @@ SELECT VALIGA_CODE, row_id,
        CAST(coalesce(TRY_CAST(systolic AS DOUBLE) >= 140, false) OR coalesce(TRY_CAST(Diastolic AS DOUBLE) >= 90, false)
             AS INTEGER) AS Hypertension,
        M, E, S, T, C,
-       last_value(TRY_CAST(Uprot AS DOUBLE) IGNORE NULLS) OVER ({part}ORDER BY row_id
+       last_value(TRY_CAST(Uprot AS DOUBLE) IGNORE NULLS) OVER (ORDER BY row_id
             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS Proteinuria,
        TRY_CAST(creat_mg_dl AS DOUBLE) AS Creatinine,
        CAST(coalesce(TRY_CAST(nb_of_bpmeds AS DOUBLE) > 0, false) AS INTEGER) AS Antihypertensive,
@@ -124,7 +123,6 @@ CTE["site_a_max"] = _site_a_clean("max")
 CTE["site_a_min"] = _site_a_clean("min")
 CTE["site_a_max_entity"] = _site_a_clean("max", "entity")
 CTE["site_b"] = _site_b_clean()
-CTE["site_b_entity"] = _site_b_clean("entity")
 
 COHORT_COLS = ("Code, Gender, Age, dateAssess, Hypertension, M, E, S, T, C, Proteinuria, Creatinine, "
                "Antihypertensive, Immunosuppressants, FishOil, Eskd")
@@ -164,7 +162,7 @@ SELECT Code, CAST(coalesce(Eskd, 0) AS INTEGER) AS label, dateAssess FROM cohort
 
 _DEPS = {
     "site_a_max": ["fx_site_a"], "site_a_min": ["fx_site_a"], "site_a_max_entity": ["fx_site_a"],
-    "site_b": ["fx_site_b"], "site_b_entity": ["fx_site_b"],
+    "site_b": ["fx_site_b"],
     "visits_max": ["site_a_max", "site_b"], "visits_min": ["site_a_min", "site_b"],
     "cohort_max": ["visits_max"], "cohort_min": ["site_a_min", "site_b"],
     "cohort_xy": ["cohort_max"],

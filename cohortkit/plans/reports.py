@@ -1,4 +1,4 @@
-"""Result records and exports."""
+"""Result records."""
 
 from __future__ import annotations
 

@@ -10,6 +10,7 @@ from cohortkit.operators import splits as SP
 from cohortkit.plans.cohort import cohort
 from cohortkit.plans.oracle import CTE, _DEPS, with_ctes
 from cohortkit.plans.registry import query
+from cohortkit.session import cut_lineage
 
 SEED = 42
 K = 10
@@ -33,7 +34,7 @@ def train(spark: SparkSession, sf: str) -> DataFrame:
 
 def draws(spark: SparkSession, sf: str) -> DataFrame:
     """Balanced draws for the model of every fold."""
-    parts = SM.training_parts(train(spark, sf), "fold", K)
+    parts = SM.training_parts(cut_lineage(train(spark, sf), "train"), "fold", K)
     return SM.balanced_draws(parts, "Code", "label", SEED, BATCH, by=["fold"])
 
 

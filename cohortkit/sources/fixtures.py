@@ -62,7 +62,7 @@ def fx_site_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Site B visit sheet: one visit per event, patient = 100 + user."""
     e = load_table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
     return e.selectExpr(
-        "100 + user_id AS VALIGA_CODE", "event_id AS row_id",
+        "100 + user_id AS `VALIGA CODE`", "event_id AS row_id",
         "CASE WHEN user_id % 2 = 0 THEN 'M' ELSE 'F' END AS SEX",
         "user_id % 2 AS M", "user_id % 3 % 2 AS E", "user_id % 5 % 2 AS S", "user_id % 3 AS T",
         "user_id % 7 % 3 AS C",
@@ -73,9 +73,9 @@ def fx_site_b(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CAST(1 + event_id % 7 AS STRING) AS creat_mg_dl",
         "CASE WHEN user_id % 3 = 0 THEN 1 ELSE 0 END AS outcome",
         "CASE WHEN event_id % 9 = 0 THEN NULL ELSE CAST(event_id % 83 AS STRING) END AS Uprot",
-        "CASE WHEN event_id % 10 = 0 THEN '-' ELSE CAST(event_id % 4 AS STRING) END AS nb_of_bpmeds",
-        "CAST(event_id % 2 AS STRING) AS ras_blockers",
-        "CASE event_id % 5 WHEN 0 THEN 'Y' WHEN 1 THEN 'Yes' WHEN 2 THEN 'No' WHEN 3 THEN '0' END AS fish_oil",
+        "CASE WHEN event_id % 10 = 0 THEN '-' ELSE CAST(event_id % 4 AS STRING) END AS `Nb of Bpmeds`",
+        "CAST(event_id % 2 AS STRING) AS `RAS blockers`",
+        "CASE event_id % 5 WHEN 0 THEN 'Y' WHEN 1 THEN 'Yes' WHEN 2 THEN 'No' WHEN 3 THEN '0' END AS `fish oil`",
         "CASE event_id % 6 WHEN 0 THEN 'Yes' WHEN 1 THEN '1' WHEN 2 THEN 'maybe' ELSE 'N' END AS Immunotherapies",
     )
 

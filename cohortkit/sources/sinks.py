@@ -9,9 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, MapType, StringType, StructField, StructType
+
+from cohortkit.functions.recode import nan_to_null
+from cohortkit.sources.tables import path_exists
 
 # Labels of the confusion-matrix record.
 CONFUSION_LABELS = ["Negativo", "Positivo"]
@@ -24,9 +27,9 @@ def write_site_tables(site: DataFrame, path: str, mode: str) -> None:
         .option("partitionOverwriteMode", "dynamic").partitionBy("site", "mode").parquet(path)
 
 
-def write_cohort(cohort: DataFrame, path: str) -> None:
-    """One row per patient."""
-    cohort.write.mode("overwrite").parquet(path)
+def write_cohort(cohort: DataFrame, path: str, sort: Sequence[str] = ()) -> None:
+    """One row per patient; ``sort`` orders the file's rows by key."""
+    (cohort.orderBy(*sort) if sort else cohort).write.mode("overwrite").parquet(path)
 
 
 def confusion_text(df: DataFrame) -> DataFrame:
@@ -59,22 +62,64 @@ def write_summary(summary: DataFrame, path: str) -> None:
     summary.write.mode("overwrite").json(path)
 
 
+LOG_BUCKETS = 64  # folders of the metric log, whatever the number of runs
+
+
 def append_metric_log(log_long: DataFrame, path: str) -> None:
-    """Epoch metric log, appended, partitioned by run."""
-    log_long.write.mode("append").partitionBy("run_id").parquet(path)
+    """Epoch metric log, appended, in hash buckets of the run."""
+    log_long.withColumn("bucket", F.pmod(F.hash("run_id"), F.lit(LOG_BUCKETS))).write.mode("append").partitionBy("bucket").parquet(path)
+
+
+def read_metric_log(spark: SparkSession, path: str, run_id: int | None = None) -> DataFrame:
+    """The metric log, or one run of it (one folder is read)."""
+    log = spark.read.parquet(path)
+    if run_id is not None:
+        log = log.where((F.col("bucket") == F.pmod(F.hash(F.lit(run_id).cast("long")), F.lit(LOG_BUCKETS))) & (F.col("run_id") == run_id))
+    return log.drop("bucket")
+
+
+# Best model of a fold: where it came from, its parameters and its metrics.
+BEST_SCHEMA = StructType([
+    StructField("fold", LongType()), StructField("run_id", StringType()),
+    StructField("config", MapType(StringType(), StringType())),
+    StructField("metrics", MapType(StringType(), DoubleType()))])
+BAD_RECORD = "_corrupt"
+
 
+def best_records(best: DataFrame, params: Sequence[str], metrics: Sequence[str], fold: str = "fold", run: str = "run_id") -> DataFrame:
+    """One nested record per fold: configuration and best metrics."""
+    def pairs(cols: Sequence[str], kind: str) -> Column:
+        return F.map_from_arrays(F.array(*[F.lit(c) for c in cols]), F.array(*[F.col(c).cast(kind) for c in cols]))
 
-BEST_SCHEMA = StructType([StructField("fold", LongType()), StructField("run_id", StringType()),
-                          StructField("best_f1", DoubleType())])
+    return best.select(F.col(fold).cast("long").alias("fold"), F.col(run).cast("string").alias("run_id"),
+                       pairs(params, "string").alias("config"), pairs(metrics, "double").alias("metrics"))
 
 
 def read_previous_best(spark: SparkSession, path: str, schema: StructType = BEST_SCHEMA) -> DataFrame:
-    """Stored bests; a missing folder or unreadable records give an
-    empty table (the caller's left join then defaults to 0.0)."""
-    try:
-        return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
-    except Exception:  # noqa: BLE001  (path does not exist)
-        return spark.createDataFrame([], schema)
+    """Stored bests; without a stored file an empty table (the caller's
+    left join then defaults to 0.0).
+
+    Malformed records are kept as rows with only ``_corrupt`` set, so that they
+    can be counted; any other failure to read is an error.
+    """
+    full = StructType([*schema.fields, StructField(BAD_RECORD, StringType())])
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], full)
+    return spark.read.schema(full).option("columnNameOfCorruptRecord", BAD_RECORD).json(path)
+
+
+def write_improved(current: DataFrame, stored: DataFrame, metric: str, path: str) -> DataFrame:
+    """Writes, per fold, the current record where its metric beats the stored one, else the stored one.
+
+    ``path`` is a new folder: the table that is read is never overwritten.
+    """
+    s = stored.where(F.col("fold").isNotNull()).select(F.col("fold").alias("_f"), F.struct("run_id", "config", "metrics").alias("_old"))
+    j = current.join(s, F.col("fold") == F.col("_f"), "full")
+    value = nan_to_null(F.col("metrics")[metric])
+    better = value > F.coalesce(nan_to_null(F.col("_old.metrics")[metric]), F.lit(0.0))
+    keep = F.when(F.coalesce(better, F.lit(False)) | F.col("_old").isNull(), F.struct("run_id", "config", "metrics")).otherwise(F.col("_old"))
+    j.select(F.coalesce("fold", "_f").alias("fold"), keep.alias("r")).select("fold", "r.*").write.json(path)
+    return read_previous_best(current.sparkSession, path)
 
 
 def sample_records(scored: DataFrame, features: Sequence[str], scaled_prefix: str = "",

@@ -9,22 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 
-_SCHEMAS: dict[str, StructType] = {}
-
-
 def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one driver table (``{sf_dir}/{name}.parquet``).
 
-    Parquet keeps column pruning and filter pushdown down at the scan.  The
-    footer schema is inferred once per path and reused for later reads.
+    Parquet keeps column pruning and filter pushdown down at the scan.
     """
-    path = os.path.join(sf_dir, f"{name}.parquet")
-    schema = _SCHEMAS.get(path)
-    if schema is None:
-        df = spark.read.parquet(path)
-        _SCHEMAS[path] = df.schema
-        return df
-    return spark.read.schema(schema).parquet(path)
+    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Is there a file or folder at ``path``, in whatever store Spark reads?"""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
 def require_columns(df: DataFrame, all_of: Iterable[str] = (), any_of: Iterable[str] = ()) -> list[str]:
@@ -71,7 +67,10 @@ def read_visits(spark: SparkSession, path: str, schema: StructType | None = None
 
 
 def read_cohort_csv(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
-    """Merged cohort CSV of the second pipeline."""
+    """Merged cohort CSV of the second pipeline.
+
+    Without ``schema`` all columns are text (one pass); numbers are coerced
+    where they are used, like those of the site sheets.
+    """
     reader = spark.read.option("header", True)
-    reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
-    return reader.csv(path)
+    return (reader.schema(schema) if schema is not None else reader).csv(path)

@@ -13,12 +13,12 @@ SETTINGS = settings(max_examples=8, deadline=None, suppress_health_check=list(He
 @SETTINGS
 @given(st.lists(st.tuples(st.integers(0, 3), st.one_of(st.none(), st.floats(-5, 5, allow_nan=False))),
                 min_size=1, max_size=300),
-       st.integers(1, 50))
-def test_carry_forward_property(spark, rows, width):
+       st.integers(1, 5))
+def test_carry_forward_property(spark, rows, bits):
     data = [(i, g, v) for i, (g, v) in enumerate(rows)]
     df = spark.createDataFrame(data, "rid long, g int, v double")
     for by in ([], ["g"]):
-        got = RK.carry_forward(df, "v", "rid", by=by, width=width)
+        got = RK.carry_forward(df, "v", "rid", by=by, bits=(bits, bits + 2))
         w = Window.partitionBy(*by).orderBy("rid").rowsBetween(Window.unboundedPreceding, 0)
         exp = df.withColumn("v", F.last("v", ignorenulls=True).over(w))
         assert sorted(map(tuple, got.select("rid", "g", "v").collect())) == \

@@ -84,3 +84,38 @@ def test_undefined_rates_are_zero(spark):
     r = MT.rates(cm).first()
     assert (r.precision, r.recall, r.f1, r.accuracy) == (0.0, 0.0, 0.0, 1.0)
     assert not math.isnan(r.f1)
+
+
+def test_missing_and_nan_scores(spark):
+    from pyspark.sql import functions as F
+
+    from cohortkit.operators import history as HS
+    from cohortkit.operators import metrics as MT
+    nan = float("nan")
+    df = spark.createDataFrame([(1, None), (2, nan), (3, -4.0), (4, 99.0)], "id int, x double")
+    rows = df.select(MT.clamp("x").alias("c"), MT.classify("x").alias("k")).collect()
+    assert [r.c for r in rows] == [None, None, 0.0, 10.0] and [r.k for r in rows] == [None, 0, 0, 1]
+    log = spark.createDataFrame([(1, 1, 0.3, 0.5), (1, 2, nan, nan), (1, 3, None, 0.9), (2, 1, nan, nan)],
+                                "run_id long, epoch long, val_loss double, val_f1 double")
+    best = {r.run_id: r.best_epoch for r in HS.best_epoch(log).collect()}
+    assert best == {1: 3, 2: None}
+    assert HS.best_epoch(log, metric="val_loss", mode="min").where("run_id = 1").first().best_epoch == 1
+    folds = spark.createDataFrame([(1, nan), (2, 0.4), (3, None)], "fold long, f1 double")
+    assert HS.best_fold(folds, F.col("f1")).first().fold == 2
+    cur = spark.createDataFrame([(1, nan), (2, 0.2)], "k long, f1 double")
+    old = spark.createDataFrame([(2, nan)], "k long, f1 double")
+    assert {r.k: r.improved for r in HS.previous_best(cur, old, "k", "f1").collect()} == {1: 0, 2: 1}
+
+
+def test_run_without_a_check(spark):
+    from cohortkit.operators import history as HS
+    log = spark.createDataFrame([(1, 5, 0.3), (2, 1, 0.4)], "run_id long, epoch long, val_loss double")
+    got = {r.run_id: (r.n_checks, r.best_epoch, r.best_loss, r.stop_epoch, r.last_epoch) for r in HS.early_stop(log, check_every=5).collect()}
+    assert got == {1: (1, 5, 0.3, None, 5), 2: (0, None, None, None, 1)}
+
+
+def test_threshold_zero_keeps_all_rows(spark):
+    from cohortkit.operators import metrics as MT
+    df = spark.createDataFrame([(1, 0.9, None), (0, 0.1, -3), (1, 0.4, 2000), (0, 0.6, 4000)], "y int, prob double, days int")
+    n = {r.years: r.n for r in MT.metrics_by_followup(df, "y", "prob", "days", (0, 5, 10), by=[]).collect()}
+    assert n == {0: 4, 5: 2, 10: 1}

@@ -79,13 +79,36 @@ def test_cohort_csv_and_sample_export(spark, sf, tmp_path):
     assert set(json.loads(rec["record"])) == {"features_scaled", "features_original", "probability", "prediction"}
 
 
-def test_previous_best_broken_file_defaults_to_zero(spark, tmp_path):
-    from cohortkit.operators import history as HS
+def test_previous_best_broken_record_is_counted(spark, tmp_path):
     d = tmp_path / "best"
     d.mkdir()
-    (d / "part-0.json").write_text("{not json at all\n")
-    stored = SK.read_previous_best(spark, str(d))
-    assert stored.count() == 0
-    cur = spark.createDataFrame([(1, "r1", 0.4)], "fold long, run_id string, best_f1 double")
-    out = HS.previous_best(cur, stored.select("fold", "best_f1"), "fold", "best_f1").first()
-    assert (out.prev_best, out.improved) == (0.0, 1)
+    (d / "part-0.json").write_text('{not json at all\n{"fold": 2, "run_id": "a", "config": {"lr": "1"}, "metrics": {"f1": 0.5}}\n')
+    stored = SK.read_previous_best(spark, str(d)).cache()
+    assert stored.where("_corrupt IS NOT NULL").count() == 1
+    cur = spark.createDataFrame([(1, "b", {"lr": "2"}, {"f1": 0.4}), (2, "b", {"lr": "2"}, {"f1": float("nan")})], SK.BEST_SCHEMA)
+    out = {r.fold: r for r in SK.write_improved(cur, stored, "f1", str(tmp_path / "next")).collect()}
+    assert out[1].config == {"lr": "2"} and out[2].run_id == "a" and out[2].metrics == {"f1": 0.5}
+
+
+def test_previous_best_failure_is_not_no_data(spark, tmp_path):
+    import pytest
+    (tmp_path / "x").mkdir()
+    (tmp_path / "x" / "part-0.json.gz").write_bytes(b"not gzip")
+    with pytest.raises(Exception):
+        SK.read_previous_best(spark, str(tmp_path / "x")).collect()
+
+
+def test_metric_log_folders_are_bounded(spark, tmp_path):
+    log = spark.range(1000).selectExpr("id AS run_id", "1L AS epoch", "'f1' AS metric", "0.5D AS value")
+    SK.append_metric_log(log, str(tmp_path / "log"))
+    assert len([p for p in (tmp_path / "log").iterdir() if p.is_dir()]) <= SK.LOG_BUCKETS
+    assert [r.run_id for r in SK.read_metric_log(spark, str(tmp_path / "log"), 77).collect()] == [77]
+
+
+def test_session_sets_no_master(monkeypatch):
+    import inspect
+
+    from cohortkit import session
+    sig = inspect.signature(session.build_session).parameters
+    assert sig["master"].default is None and sig["shuffle_partitions"].default is None
+    assert "spark.sql.shuffle.partitions" not in session.DEFAULT_CONF

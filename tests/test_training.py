@@ -11,14 +11,41 @@ def test_cv_logistic_beats_random(spark, sf):
 
 
 def test_pairwise_ranker_beats_random(spark, sf):
-    df = E.queries()["pairwise_ranker"](spark, sf)
+    from cohortkit.plans.training import ranker_scores
+    df = ranker_scores(spark, sf)
     a = MT.auc(df, "label", "score").first().auc
     assert a > 0.6
 
 
 def test_time_regressor_rows(spark, sf):
     rows = E.queries()["time_regressor"](spark, sf).collect()
-    assert len(rows) == 10 and all(r.mae >= 0 for r in rows)
+    assert sorted((r.kind, r.fold) for r in rows) == [(k, f) for k in ("gbt", "linear") for f in range(1, 11)]
+    assert all(r.mae >= 0 for r in rows) and len({r.n for r in rows}) == 1
+
+
+def test_every_fold_scores_the_test_set(spark, sf):
+    rows = E.queries()["eval_all_folds"](spark, sf).collect()
+    assert sorted((r.fold, r.years) for r in rows) == [(f, y) for f in range(1, 11) for y in (0, 5, 10)]
+    assert len({r.n for r in rows if r.years == 0}) == 1
+
+
+def test_fold_without_artifact_is_skipped(spark, sf, tmp_path):
+    from cohortkit.operators import training as TR
+    from cohortkit.plans import training as PT
+    models, _, _ = PT.saturated_fit(spark, sf)
+    for f in (2, 5):
+        TR.save_model(models[f], str(tmp_path / f"fold={f}"))
+    assert sorted(TR.load_fold_models(spark, str(tmp_path), range(1, 11))) == [2, 5]
+
+
+def test_linear_parts_equal_transform(spark, sf):
+    """The columns made of a fold's model give the model's own probabilities."""
+    from cohortkit.operators import training as TR
+    from cohortkit.plans import training as PT
+    models, _, test = PT.cv_fit(spark, sf, grid=(0.01,))
+    own = {r.Code: r.prob for r in TR.probability_of_one(models[4].transform(test)).collect()}
+    got = {r.Code: r.prob for r in PT.test_scores({4: models[4]}, test).collect()}
+    assert own.keys() == got.keys() and all(abs(own[c] - got[c]) < 1e-9 for c in own)
 
 
 def test_score_best_fold_three_thresholds(spark, sf):
@@ -49,14 +76,6 @@ def test_feature_order_metadata(spark, sf):
     assert TR.feature_order(v) == FT.FEATURES
 
 
-def test_streaming_early_stop_matches_batch(spark, sf):
-    import __spark_entry__ as E
-    a = sorted(map(tuple, E.queries()["early_stop_stream"](spark, sf).collect()))
-    b = E.queries()["early_stop"](spark, sf)
-    b = sorted(map(tuple, b.select("run_id", "n_checks", "best_epoch", "best_loss", "stop_epoch", "last_epoch").collect()))
-    assert a == b
-
-
 def test_ranker_gradients_stream_across_chunks(spark):
     """Per-batch gradients are the same when batches straddle Arrow chunks."""
     import numpy as np
@@ -69,7 +88,9 @@ def test_ranker_gradients_stream_across_chunks(spark):
     w = np.array([0.3, -0.2])
     exp = {}
     for b, g in pdf.groupby("batch_id"):
-        exp[b] = TR._batch_gradient(g[["a", "b"]].to_numpy(), g["label"].to_numpy(), w)
+        x, y = g[["a", "b"]].to_numpy(), g["label"].to_numpy()
+        pairs = [(n - p, 1 / (1 + np.exp(-((n - p) @ w)))) for n in x[y == 0] for p in x[y == 1]]
+        exp[b] = np.mean([np.log1p(np.exp(d @ w)) for d, _ in pairs]), np.mean([sig * d for d, sig in pairs], axis=0)
     old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
