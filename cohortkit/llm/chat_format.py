@@ -152,7 +152,28 @@ def digest_conversations(formatted: DataFrame, rank_path: str, pattern: str) ->
 PROBE = r"\### Assistant: </turn> ok"
 
 
-@query("op4_chat_format")
+def _escaped(c: str) -> str:
+    """Length of the escaped text: one more for each control string and backslash."""
+    extra = [f"(length({c}) - length(replace({c}, '{x}', ''))) // {n}" for x, n in (("\\", 1), ("</turn>", 7))]
+    extra.append(f"(length({c}) - length(replace({c}, ':' || chr(10), ''))) // 2")
+    extra.append(f"coalesce(list_sum(list_transform(regexp_extract_all({c}, '#{{3,}}'), lambda x: length(x) - 2)), 0)")
+    return f"length({c}) + " + " + ".join(extra)
+
+
+OP4_SQL = f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '{PROBE}' UNION ALL SELECT -7, 1, 'assistant', '{PROBE}')
+SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(4 + {_escaped('role')} + 2 + {_escaped('text')} + 8) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
+
+@query("op4_chat_format", OP4_SQL)
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as P
 
@@ -161,4 +182,4 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
                                   F.lit(PROBE).alias("text"))
     turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
     args = P.path("byte_bpe_50k.tiktoken"), P.PATTERN
-    return digest_conversations(format_turns(turns, *args), *args)
+    return digest_conversations(format_turns(turns, *args), *args).drop("n_tokens")

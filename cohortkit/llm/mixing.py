@@ -156,17 +156,27 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: fl
 
     if n_sources * BLOCKS <= MAX_BROADCAST_BLOCKS:
         dealt = F.broadcast(dealt)
-    taken = _sized(docs.select([F.col(c).alias(f"_doc_{c}") for c in docs.columns] + ["doc_id", "source", "text"]), seed).drop("text") if whole_rows else rows
-    whole = joined(taken, plan.drop("weight"))
     # Lexicographic order of (block, sub-block, hash, id) against the end of the partial pass.
+    here = F.struct(at.alias("at"), F.col("doc_id"))
     before_end = (F.when(F.col("_rest") <= 0, False).when(F.col("_b1").isNull() | (block < F.col("_b1")), True).when(block > F.col("_b1"), False)
                   .when(F.col("_b2").isNull() | (sub < F.col("_b2")), True).when(sub > F.col("_b2"), False)
-                  .when(F.col("_end").isNull(), True).otherwise(F.struct(at.alias("at"), F.col("doc_id")) < F.col("_end")))
-    n = F.col("passes").cast("int") + before_end.cast("int")
+                  .when(F.col("_end").isNull(), True).otherwise(here < F.col("_end")))
+    # What is still missing or too much is made up by the one document whose size comes nearest to it.
+    drawn = joined(rows, plan.drop("weight", "passes", "target", "source_size")).withColumn("_drawn", before_end)
+    gap = stage(drawn.groupBy("source").agg((F.first("_rest") - F.sum(F.when(F.col("_drawn"), F.col("size")).otherwise(0))).alias("_gap")), "op8-gaps")
+    off = F.abs(F.col("size") - F.abs("_gap"))
+    apt = (F.col("_rest") > 0) & (F.col("_drawn") == (F.col("_gap") < 0)) & (off < F.abs("_gap"))
+    swap = (joined(drawn, gap).filter(apt).groupBy(F.col("source").alias("_s4"))
+            .agg(F.min(F.struct(off.alias("off"), here.alias("here"))).alias("_swap")))
+    plan = stage(plan.join(swap, F.col("source").eqNullSafe(F.col("_s4")), "left").drop("_s4"), "op8-plan")
+    taken = _sized(docs.select([F.col(c).alias(f"_doc_{c}") for c in docs.columns] + ["doc_id", "source", "text"]), seed).drop("text") if whole_rows else rows
+    whole = joined(taken, plan.drop("weight"))
+    n = F.col("passes").cast("int") + (before_end != F.coalesce(here.eqNullSafe(F.col("_swap.here")), F.lit(False))).cast("int")
     with_shards = whole.withColumn("_copies", n).withColumn("_block", block).join(
         dealt, F.col("source").eqNullSafe(F.col("_bs")) & (F.col("_block") == F.col("_bb")), "left")
+    # A document that was taken to fill a gap lies beyond the quotas: any shard will do.
     draws = F.transform(F.slice("_shards", F.lit(1), F.col("_copies")), lambda s, i: F.struct(
-        i.alias("copy"), s.alias("shard"), F.xxhash64(F.lit(seed + 1), F.col("_h"), i).alias("position")))
+        i.alias("copy"), F.when(s < shards, s).otherwise(F.pmod(F.col("_h"), F.lit(shards)).cast("int")).alias("shard"), F.xxhash64(F.lit(seed + 1), F.col("_h"), i).alias("position")))
     if whole_rows:
         return with_shards.select(*(F.col(f"_doc_{c}").alias(c) for c in docs.columns), draws.alias("_draws"))
     return with_shards.select("doc_id", "source", "size", "source_size", "target", draws.alias("draws"))

@@ -149,7 +149,48 @@ def quality_filter(docs: DataFrame, labels: DataFrame, stratum: str = "lang") ->
     return kept.select(*(F.col(f"_doc_{c}").alias(c) for c in docs.columns))
 
 
-@query("op5_quality_rules")
+#: The rules' scores in SQL, in the order of RULES.
+_SCORES = ["n_symbols / n_words", "n_dup_lines * 10.0 / n_words", "word_chars / n_words", "n_words / word_chars", "n_repeat_words / n_words"]
+_CASES = "[" + ", ".join(f"CASE WHEN n_words > 0 THEN CAST({s.split(' / ')[0]} AS DOUBLE) / {s.split(' / ')[1]} ELSE 0.0 END" for s in _SCORES) + "]"
+_CUTS = "[" + ", ".join(str([float(c) for c in cuts]) for _, cuts in RULES.values()) + "]"
+_TRIED, _ALPHA = sum(len(c) for _, c in RULES.values()), 0.05 / len(RULES)
+
+OP5_SQL = rf"""
+WITH w AS (SELECT doc_id, lang, coalesce(text, '') AS text,
+                  regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+win AS (SELECT doc_id, i, words[i:i + 4] AS five
+        FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 1))) AS i FROM w WHERE len(words) >= 5) x),
+rep AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words
+        FROM (SELECT doc_id, i, unnest(range(0, 5)) AS k FROM (
+                SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, five) AS c FROM win) y WHERE c > 1) z GROUP BY doc_id),
+lin AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines
+        FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w) l
+        WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+s AS (SELECT w.doc_id, w.lang, CAST(len(words) AS BIGINT) AS n_words,
+             CAST(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+             CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+             CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words
+      FROM w LEFT JOIN rep USING (doc_id) LEFT JOIN lin USING (doc_id)),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, {_CASES} AS scores FROM s),
+m AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+o AS (SELECT lang, quality > 0 AS good, r, c, scores[r] > cuts[r][c] AS hit
+      FROM (SELECT lang, quality, scores, cuts, r, unnest(range(1, len(cuts[r]) + 1)) AS c
+            FROM (SELECT lang, quality, scores, {_CUTS} AS cuts, unnest(range(1, {len(RULES)} + 1)) AS r
+                  FROM b JOIN m USING (doc_id) WHERE NOT base_failed) p) q),
+g AS (SELECT lang, r, c, count(*) FILTER (WHERE good) AS n, count(*) FILTER (WHERE good AND hit) AS k,
+             count(*) FILTER (WHERE NOT good AND hit) AS bad, (SELECT count(DISTINCT coalesce(lang, chr(0))) FROM o) AS strata
+      FROM o GROUP BY lang, r, c),
+ok AS (SELECT lang, r, c, bad - 20 * k AS gain FROM g WHERE bad > 20 * k AND list_sum(list_transform(range(0, k + 1),
+         lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({_ALPHA}) + (n - i) * ln(1 - {_ALPHA})))) <= 0.05 / (strata * {_TRIED})),
+cut AS (SELECT lang, r, ({_CUTS})[r][c] AS cutoff FROM (
+          SELECT *, row_number() OVER (PARTITION BY lang, r ORDER BY gain DESC, c DESC) AS best FROM ok) z WHERE best = 1)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT EXISTS (SELECT 1 FROM cut WHERE cut.lang IS NOT DISTINCT FROM b.lang AND b.scores[cut.r] > cut.cutoff) AS kept, lang
+FROM b
+"""
+
+
+@query("op5_quality_rules", OP5_SQL)
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     stats = stage(with_stats(docs).drop("text"), "op5-stats")
