@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +44,23 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ids_to_send(df: DataFrame, limit: int):
+    """The one column of ``df`` (distinct 64-bit ids) as a broadcast sorted array; None if there are more than ``limit``."""
+    if df.count() > limit:
+        return None
+    ids = np.sort(df.toArrow().column(0).to_numpy().astype(np.int64))
+    return df.sparkSession.sparkContext.broadcast(ids)
+
+
+def is_sent(sent, ids: np.ndarray) -> np.ndarray:
+    """Which of ``ids`` were sent; all of them where nothing was."""
+    if sent is None:
+        return np.ones(len(ids), bool)
+    if not len(sent.value):
+        return np.zeros(len(ids), bool)
+    return sent.value[np.minimum(np.searchsorted(sent.value, ids), len(sent.value) - 1)] == ids
+
+
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

@@ -36,7 +36,7 @@ from cohortkit.llm.registry import query
 Q = 8
 #: Bytes of benchmark text whose q-grams make one block of the broadcast index.
 BLOCK_BYTES = 8 << 20
-PART_BYTES = 1 << 20
+PART_BYTES = 1 << 18
 FILTER_BITS = 22
 
 

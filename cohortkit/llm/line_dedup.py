@@ -132,7 +132,7 @@ def _counts(docs: DataFrame, sign: int) -> DataFrame:
     """(k1, k2, n): documents that hold each key, counted in the batch, then in the task, then over all."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in batches_of(whole, 0, 16 << 20):
+            for b in batches_of(whole, 0, 4 << 20):
                 count = Counter(k for text in _texts(b, 0) for k in set(_keys(text)) if k)
                 k1, k2 = _halves(list(count))
                 yield pa.RecordBatch.from_arrays([pa.array(k1), pa.array(k2), pa.array(list(count.values()), pa.int64())], names=["k1", "k2", "n"])

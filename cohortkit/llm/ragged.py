@@ -14,7 +14,7 @@ IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 #: Bytes that are hashed at a time; a text may span several parts.
-PART_BYTES = 2 << 20
+PART_BYTES = 1 << 19
 _BASE = U(0x9E3779B97F4A7C15)
 
 
@@ -103,7 +103,7 @@ def shingles(words: np.ndarray, n: int = 5) -> np.ndarray:
     return mix64(total)
 
 
-def batches_of(batch: pa.RecordBatch, text_index: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def batches_of(batch: pa.RecordBatch, text_index: int, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch that hold about ``limit`` bytes of text, one row at least."""
     _, offsets = text_buffer(batch.column(text_index))
     a = 0
