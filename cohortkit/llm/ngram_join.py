@@ -3,9 +3,11 @@
 A document's set is its distinct five-word shingles.  Equal sets are one node
 of the graph.  Under a global order of shingles, two sets that link share at
 least ``l`` shingles among their first ``n - ceil(0.8 n) + l`` ones, for every
-``l``.  The order puts shingles that are frequent in a fixed-size count sketch
-of the corpus last.  Each node picks the ``l`` with the least estimated cost
-(postings read plus candidates expected under the sketch), and the longer its
+``l``.  A first pass counts the shingles among every document's first ones in
+hash order; the frequent ones (the most frequent four million of them at most)
+come last in the global order, by their counts.  Each node picks the ``l`` with
+the least estimated cost (postings read plus candidates expected from the
+counts), and the longer its
 prefix, the more shared prefix shingles a pair must have to be verified: what
 both prefixes hold is counted, what lies behind them is at most the shorter
 rest, and the sum must reach the overlap that the pair's sizes ask for.
@@ -34,18 +36,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortkit.llm.common import read, stage
+from cohortkit.llm.common import WORD, ids_to_send, is_sent, read, stage
 from cohortkit.llm.components import components
 from cohortkit.llm.ragged import batches_of, shingles, word_hashes
 from cohortkit.llm.registry import query
 
-#: Buckets of the count sketch, and longest multiple match that is tried.
-SKETCH_BITS = 18
-MAX_MATCH = 6
+#: Documents from which a shingle counts as frequent, and the longest multiple match that is tried.
+FREQUENT, MAX_MATCH = 3, 6
 #: Nodes up to which the list of wanted sets is sent to the tasks (8 bytes each).
 SEND_NODES = 4_000_000
-#: More pivots are tried while the pairs left are this many times the posting rows, but not without end.
-MANY_PAIRS, MAX_PIVOT_ROUNDS = 32, 5
+#: The same for prefix shingles that several nodes hold, and for frequent ones with their counts.
+SEND_TOKENS = 4_000_000
+#: More pivots are tried while the pairs left are this many times the posting rows and the last ones linked this share
+#: of the pairs they were tried on, but not without end.
+MANY_PAIRS, FRUITFUL, MAX_PIVOT_ROUNDS = 32, 0.2, 5
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -64,30 +68,41 @@ def _nodes(digests: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(digests), ">i8")[::2].astype(np.int64)
 
 
-def _bucket(s: np.ndarray) -> np.ndarray:
-    return (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
-
-
-def _scan(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, digest) of every document, and rows with each task's sketch."""
+def _scan(docs: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, t, n, digest, prefix) of every document: hash of its text, its set, its first shingles in hash order."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n", "digest", "buckets", "counts"]
-        sketch, ids = np.zeros(1 << SKETCH_BITS, np.int64), None
         for b, sets in _sets(batches):
-            for s in sets:
-                np.add.at(sketch, _bucket(s), 1)
-            ids, k = b.column(0), b.num_rows
-            yield pa.RecordBatch.from_arrays(
-                [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.binary()),
-                 pa.nulls(k, pa.list_(pa.int32())), pa.nulls(k, pa.list_(pa.int64()))], names=names)
-        full = np.flatnonzero(sketch)
-        if ids is not None:
+            # Somewhat more than a prefix: where frequent shingles are put last, others move up into it.
+            first = [s[:(len(s) - needed(len(s), percent) + 1) * 3 // 2] for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(1, ids.type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()),
-                 pa.array([full.astype(np.int32)], pa.list_(pa.int32())), pa.array([sketch[full]], pa.list_(pa.int64()))], names=names)
+                [b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.binary()),
+                 pa.array([f.view(np.int64) for f in first], pa.list_(pa.int64()))], names=["doc_id", "t", "n", "digest", "prefix"])
 
     idt = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {idt}, n long, digest binary, buckets array<int>, counts array<long>")
+    return docs.select("doc_id", F.xxhash64("text").alias("t"), "text").mapInArrow(
+        run, f"doc_id {idt}, t long, n long, digest binary, prefix array<long>")
+
+
+def _frequent(scan: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The frequent shingles, sorted, and their counts; of too many the more frequent ones."""
+    counts = stage(scan.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+                   .filter(F.col("df") >= FREQUENT), "op10-frequent")
+    least = FREQUENT
+    while counts.filter(F.col("df") >= least).count() > SEND_TOKENS:
+        least *= 2
+    found = counts.filter(F.col("df") >= least).toArrow()
+    token, df = (found.column(i).to_numpy().astype(np.int64) for i in range(2))
+    order = np.argsort(token)
+    return token[order], df[order]
+
+
+def _counts(sets: list[np.ndarray], token: np.ndarray, df: np.ndarray) -> list[np.ndarray]:
+    """The known counts of each set's shingles, 0 for the others."""
+    flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
+    if not len(token):
+        return [np.zeros(len(s), np.int64) for s in sets]
+    at = np.minimum(np.searchsorted(token, flat), len(token) - 1)
+    return np.split(np.where(token[at] == flat, df[at], 0), np.cumsum([len(s) for s in sets])[:-1])
 
 
 def needed(n: int, percent: int) -> int:
@@ -96,7 +111,7 @@ def needed(n: int, percent: int) -> int:
 
 
 def plan_prefix(s: np.ndarray, df: np.ndarray, percent: int) -> tuple[np.ndarray, int, int]:
-    """(prefix, l, heat) of a sorted set; ``df`` holds each shingle's estimated frequency above the sketch's noise."""
+    """(prefix, l, heat) of a sorted set; ``df`` holds each shingle's count, 0 for rare ones."""
     n, base = len(s), len(s) - needed(len(s), percent)
     order = np.lexsort((s, df))
     heat = int((df > 0).sum())
@@ -109,52 +124,69 @@ def plan_prefix(s: np.ndarray, df: np.ndarray, percent: int) -> tuple[np.ndarray
     return s[order[:base + l]], l, heat
 
 
-def _prefixes(docs: DataFrame, df: np.ndarray, percent: int) -> DataFrame:
-    """(node, n, heat, last, prefix) of every distinct set; ``last`` is the prefix's end in the global order."""
-    sent = docs.sparkSession.sparkContext.broadcast(df)
+def _prefixes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], percent: int) -> DataFrame:
+    """(node, n, heat, last, prefix) of every set; ``last`` is the prefix's end in the global order."""
+    sent = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = sent.value
         for _, sets in _sets(batches):
             sets = [s for s in sets if len(s)]
             if not sets:
                 continue
-            digests = [_digest(s) for s in sets]
-            plans = [plan_prefix(s, table[_bucket(s)], percent) for s in sets]
+            plans = [plan_prefix(s, df, percent) for s, df in zip(sets, _counts(sets, *sent.value))]
             ends = np.array([p[0][-1] for p in plans], np.uint64)
-            last = [d.to_bytes(8, "big") + e.to_bytes(8, "big") for d, e in zip(table[_bucket(ends)].tolist(), ends.tolist())]
+            # The end in the global order, as far as one number holds it: count, then upper bits of the hash.
+            df = np.minimum(np.concatenate(_counts([e[None] for e in ends], *sent.value)), (1 << 23) - 1)
+            last = df << 40 | np.where(df == (1 << 23) - 1, 0, (ends >> np.uint64(24)).astype(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(digests, pa.binary()), pa.array(_nodes(digests)), pa.array([len(s) for s in sets], pa.int32()),
-                 pa.array([p[2] for p in plans], pa.int32()), pa.array(last, pa.binary()),
+                [pa.array(_nodes([_digest(s) for s in sets])), pa.array([len(s) for s in sets], pa.int32()),
+                 pa.array([p[2] for p in plans], pa.int32()), pa.array(last),
                  pa.array([p[0].view(np.int64) for p in plans], pa.list_(pa.int64()))],
-                names=["digest", "node", "n", "heat", "last", "prefix"])
+                names=["node", "n", "heat", "last", "prefix"])
+
+    return docs.select("text").mapInArrow(run, "node long, n int, heat int, last long, prefix array<long>")
 
-    return (docs.select("text").mapInArrow(run, "digest binary, node long, n int, heat int, last binary, prefix array<long>")
-            .dropDuplicates(["digest"]))
+
+def _posts(plans: DataFrame) -> DataFrame:
+    """(token, node, pos, n, p, heat, last): the prefix shingles that two nodes or more hold."""
+    tokens = plans.select("node", F.posexplode("prefix").alias("pos", "token"))
+    # Copies of a set are one node, so a shingle is shared when its least and its largest node differ.
+    shared = stage(tokens.groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b").select("token"), "op10-shared")
+    sent = ids_to_send(shared, SEND_TOKENS)
+    if sent is not None:  # the rest never leaves its task
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                off, token = b.column(1).offsets.to_numpy(), b.column(1).flatten().to_numpy()
+                row = np.repeat(np.arange(b.num_rows), np.diff(off))
+                hit = is_sent(sent, token)
+                pos = np.arange(len(token)) - (off - off[0])[row]
+                yield pa.RecordBatch.from_arrays([pa.array(token[hit]), b.column(0).take(pa.array(row[hit])), pa.array(pos[hit], pa.int32())],
+                                                 names=["token", "node", "pos"])
+
+        held = plans.select("node", "prefix").mapInArrow(run, "token long, node long, pos int")
+    else:
+        held = tokens.join(shared, "token", "left_semi").select("token", "node", "pos")
+    sizes = plans.select(F.col("node").alias("_n"), "n", "heat", "last", F.size("prefix").alias("p")).dropDuplicates(["_n", "n", "last"])
+    return stage(held.distinct().join(sizes, F.col("node") == F.col("_n")).select("token", "node", "pos", "n", "p", "heat", "last"), "op10-posts")
 
 
 def _wanted_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, digest, set) of the wanted nodes, one row per digest."""
-    count = nodes.count()
-    sent = None
-    if count <= SEND_NODES:
-        ids = np.sort(np.fromiter((r[0] for r in nodes.toLocalIterator()), np.int64, count))
-        sent = docs.sparkSession.sparkContext.broadcast(ids)
+    """(node, digest, set, half) of the wanted nodes, one row per digest; ``half`` has the shingles' upper halves."""
+    sent = ids_to_send(nodes, SEND_NODES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, sets in _sets(batches):
             sets = [s for s in sets if len(s)]
             digests = [_digest(s) for s in sets]
             node = _nodes(digests)
-            keep = range(len(sets))
-            if sent is not None:
-                at = np.minimum(np.searchsorted(sent.value, node), max(len(sent.value) - 1, 0))
-                keep = np.flatnonzero(sent.value[at] == node).tolist() if len(sent.value) else []
+            keep = np.flatnonzero(is_sent(sent, node)).tolist()
+            half = [np.unique((sets[i] >> np.uint64(32)).astype(np.uint32)).view(np.int32) for i in keep]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(node[list(keep)]), pa.array([digests[i] for i in keep], pa.binary()),
-                 pa.array([sets[i].view(np.int64) for i in keep], pa.list_(pa.int64()))], names=["node", "digest", "set"])
+                [pa.array(node[keep]), pa.array([digests[i] for i in keep], pa.binary()),
+                 pa.array([sets[i].view(np.int64) for i in keep], pa.list_(pa.int64())), pa.array(half, pa.list_(pa.int32()))],
+                names=["node", "digest", "set", "half"])
 
-    out = docs.select("text").mapInArrow(run, "node long, digest binary, set array<long>").dropDuplicates(["digest"])
+    out = docs.select("text").mapInArrow(run, "node long, digest binary, set array<long>, half array<int>").dropDuplicates(["digest"])
     return out if sent is not None else out.join(nodes.withColumnRenamed("a", "node"), "node", "left_semi")
 
 
@@ -162,10 +194,16 @@ def _verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Links (u, v) between digests of the candidate pairs (a, b) of nodes."""
     nodes = pairs.select("a").union(pairs.select("b")).distinct()
     sets = stage(_wanted_sets(docs, nodes), "op10-sets")
-    one = sets.select(F.col("node").alias("a"), F.col("digest").alias("u"), F.col("set").alias("sa"))
-    two = sets.select(F.col("node").alias("b"), F.col("digest").alias("v"), F.col("set").alias("sb"))
+    # First on half hashes: what they have in common, and those that fell together, bound the overlap from above.
+    n = F.size("set").alias("n")
+    one = sets.select(F.col("node").alias("a"), F.col("digest").alias("u"), F.col("half").alias("ha"), n).withColumnRenamed("n", "na")
+    two = sets.select(F.col("node").alias("b"), F.col("digest").alias("v"), F.col("half").alias("hb"), n).withColumnRenamed("n", "nb")
+    most = (F.size(F.array_intersect("ha", "hb")) + F.col("na") - F.size("ha")).cast("long")
+    near = stage(pairs.join(one, "a").join(two, "b").filter(100 * most >= percent * (F.col("na") + F.col("nb") - most)).select("u", "v"), "op10-near")
+    one = sets.select(F.col("digest").alias("u"), F.col("set").alias("sa"))
+    two = sets.select(F.col("digest").alias("v"), F.col("set").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb")).cast("long")
-    return (pairs.join(one, "a").join(two, "b").filter(100 * both >= percent * (F.size("sa") + F.size("sb") - both))
+    return (near.join(one, "u").join(two, "v").filter(100 * both >= percent * (F.size("sa") + F.size("sb") - both))
             .select("u", "v"))
 
 
@@ -190,39 +228,43 @@ def _candidates(live: DataFrame, percent: int) -> DataFrame:
     Of the set whose prefix ends first nothing more of the prefix is shared.
     """
     x, y = live.alias("x"), live.alias("y")
+    # One shared shingle at places i and j leaves the lesser place before it and the shorter rest behind it.
+    i, j, n, m = F.col("x.pos"), F.col("y.pos"), F.col("x.n"), F.col("y.n")
+    most = F.least(i, j) + F.least(n - i, m - j)
     pairs = (x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") < F.col("y.comp"))
-                    & _long_enough(F.col("x.n"), F.col("y.n"), percent))
+                    & _long_enough(n, m, percent) & ((100 + percent) * most >= percent * (n + m)))
              .groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
              .agg(F.count("*").alias("c"), F.max("x.pos").alias("i"), F.max("y.pos").alias("j"),
                   *(F.first(f"{s}.{c}").alias(f"{s}_{c}") for s in "xy" for c in ("n", "p", "last"))))
-    first = F.col("x_last") <= F.col("y_last")
-    rest = F.least(F.col("x_n") - F.when(first, F.col("x_p")).otherwise(F.col("i") + 1),
-                   F.col("y_n") - F.when(F.col("y_last") <= F.col("x_last"), F.col("y_p")).otherwise(F.col("j") + 1))
+    return _reaching(pairs, percent)
+
+
+def _reaching(pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose shared prefix shingles and the rest behind them can reach their overlap."""
+    rest = F.least(F.col("x_n") - F.when(F.col("x_last") < F.col("y_last"), F.col("x_p")).otherwise(F.col("i") + 1),
+                   F.col("y_n") - F.when(F.col("y_last") < F.col("x_last"), F.col("y_p")).otherwise(F.col("j") + 1))
     return pairs.filter((100 + percent) * (F.col("c") + rest) >= percent * (F.col("x_n") + F.col("y_n"))).select("a", "b")
 
 
+def _counted(pairs: DataFrame, posts: DataFrame, percent: int) -> DataFrame:
+    """Given pairs that can reach their overlap, from all prefix shingles that they share."""
+    x = posts.select(F.col("node").alias("a"), "token", *(F.col(c).alias(f"x_{c}") for c in ("pos", "n", "p", "last")))
+    y = posts.select(F.col("node").alias("b"), "token", *(F.col(c).alias(f"y_{c}") for c in ("pos", "n", "p", "last")))
+    both = pairs.join(x, "a").join(y, ["b", "token"]).groupBy("a", "b").agg(
+        F.count("*").alias("c"), F.max("x_pos").alias("i"), F.max("y_pos").alias("j"),
+        *(F.first(f"{s}_{c}").alias(f"{s}_{c}") for s in "xy" for c in ("n", "p", "last")))
+    return _reaching(both, percent)
+
+
 def _long_enough(x: Column, y: Column, percent: int) -> Column:
     return 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
 
-def similar_components(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of ``docs``."""
-    scan = stage(_scan(docs), "op10-scan")
-    members = scan.filter(F.col("n").isNotNull()).select("doc_id", "n", "digest")
-    table = np.zeros(1 << SKETCH_BITS, np.int64)
-    load = scan.select(F.explode(F.arrays_zip("buckets", "counts")).alias("e")).groupBy("e.buckets").agg(F.sum("e.counts").alias("c"))
-    for r in load.toLocalIterator():  # as many rows as the sketch has buckets
-        table[r[0]] = r[1]
-    # What a bucket holds beyond four times the usual load is one frequent shingle; the rest is noise.
-    noise = 4 * max(int(np.median(table)), 1)
-    table = np.where(table > noise, table, 0)
-
-    plans = stage(_prefixes(docs, table, percent), "op10-plans")
-    tokens = plans.select("node", F.posexplode("prefix").alias("pos", "token"))
-    shared = tokens.groupBy(F.col("token").alias("t")).agg(F.count("*").alias("df")).filter("df > 1")
-    sizes = plans.select(F.col("node").alias("_n"), "n", "heat", "last", F.size("prefix").alias("p"))
-    posts = stage(tokens.join(shared, F.col("token") == F.col("t")).join(sizes, F.col("node") == F.col("_n"))
-                  .select("token", "node", "pos", "n", "p", "heat", "last"), "op10-posts")
+def _labelled(docs: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, t, n, component) of every row of ``docs``; the component is named by a set's digest."""
+    scan = stage(_scan(docs, percent), "op10-scan")
+    members = scan.select("doc_id", "t", "n", "digest")
+    posts = _posts(stage(_prefixes(docs, _frequent(scan), percent), "op10-plans"))
     links, done = None, None
     for turn in range(MAX_PIVOT_ROUNDS + 1):
         live = posts.withColumn("comp", F.col("node"))
@@ -230,7 +272,7 @@ def similar_components(docs: DataFrame, percent: int = 80) -> DataFrame:
             live, pairs_left, rows_left = _between(posts, done)
             if pairs_left == 0:
                 break
-            if pairs_left <= MANY_PAIRS * rows_left or turn == MAX_PIVOT_ROUNDS or new.isEmpty():
+            if pairs_left <= MANY_PAIRS * rows_left or turn == MAX_PIVOT_ROUNDS or new.count() < FRUITFUL * tried.count():
                 last = stage(_verified(docs, stage(_candidates(live, percent), "op10-pairs"), percent), "op10-links")
                 if not last.isEmpty():
                     links = links.union(last)
@@ -242,11 +284,17 @@ def similar_components(docs: DataFrame, percent: int = 80) -> DataFrame:
         star = (live.join(pivot, F.col("token") == F.col("t"))
                 .filter((F.col("comp") != F.col("q.pc")) & _long_enough(F.col("n"), F.col("q.pn"), percent))
                 .select(F.col("node").alias("a"), F.col("q.r.node").alias("b")).distinct())
-        new = stage(_verified(docs, stage(star, "op10-pairs"), percent), "op10-links")
+        tried = stage(_counted(star, posts, percent), "op10-pairs")
+        new = stage(_verified(docs, tried, percent), "op10-links")
         links = new if links is None else links.union(new)
         done = components(links)
     named = members.join(done.select(F.col("node").alias("digest"), "component"), "digest", "left")
-    named = named.withColumn("component", F.coalesce("component", "digest"))
+    return named.select("doc_id", "t", "n", F.coalesce("component", "digest").alias("component"))
+
+
+def similar_components(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of ``docs``."""
+    named = _labelled(docs, percent)
     least = named.filter("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return (named.join(least, "component", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")))
@@ -255,16 +303,21 @@ def similar_components(docs: DataFrame, percent: int = 80) -> DataFrame:
 def keep_one_per_group(docs: DataFrame, percent: int = 80) -> DataFrame:
     """``docs`` with one row of each group of linked documents: the row with the least id.
 
-    Documents without words stay.  Rows that repeat an id within a group count
-    as one document.
+    Documents without words stay.  Among rows with that id, or if all ids are
+    null, the one with the least hash of its text stays; of equal rows one.
     """
-    found = similar_components(docs, percent)
-    gone = found.filter((F.col("n_shingles") > 0) & ~F.col("doc_id").eqNullSafe(F.col("component_id")))
-    out = docs.join(gone.select(F.col("doc_id").alias("_op10_gone")).distinct(), F.col("doc_id").eqNullSafe(F.col("_op10_gone")), "left_anti")
-    twice = found.filter("n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")
-    if twice.isEmpty():
-        return out
-    return out.withColumn("_op10_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_op10_text"]).drop("_op10_text")
+    named = stage(_labelled(docs, percent).filter("n > 0"), "op10-named")
+    one = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("t"))
+    kept = named.groupBy(F.col("component").alias("c")).agg(F.min(one).alias("kept"))
+    gone = (named.join(kept, F.col("component") == F.col("c")).filter(~one.eqNullSafe(F.col("kept")))
+            .select(F.col("doc_id").alias("_op10_id"), F.col("t").alias("_op10_t")).distinct())
+    out = docs.withColumn("_op10_text", F.xxhash64("text")).join(
+        gone, F.col("doc_id").eqNullSafe(F.col("_op10_id")) & (F.col("_op10_text") == F.col("_op10_t")), "left_anti")
+    twice = named.groupBy("doc_id", "t").agg(F.count("*").alias("n")).filter("n > 1")
+    if not twice.isEmpty():
+        out = out.withColumn("_op10_row", F.when(F.regexp_like("text", F.lit(WORD)), F.lit(0)).otherwise(F.monotonically_increasing_id() + 1))
+        out = out.dropDuplicates(["doc_id", "_op10_text", "_op10_row"]).drop("_op10_row")
+    return out.drop("_op10_text")
 
 
 def _node_of(digest: Column) -> Column:
