@@ -399,6 +399,19 @@ def test_passages(spark, docs, clashing, empty):
     assert compact_windows.near_duplicate_passages(empty).count() == 0
 
 
+def test_passages_behind_strangers(spark):
+    """Two documents share a passage; parts of it shorter than a passage stand in many others."""
+    rnd = random.Random(5)
+    text = lambda n: " ".join(f"t{rnd.randrange(10**9)}" for _ in range(n))
+    rows = []
+    for p in range(20):
+        x = text(60)
+        rows += [(1000 * p + c, f"{text(80)} {x} {text(80)}") for c in range(2)]
+        rows += [(1000 * p + 10 + i, f"{text(90)} {' '.join(x.split()[i % 3 * 12:][:36])} {text(90)}") for i in range(24)]
+    got = compact_windows.near_duplicate_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(min(r.doc_id, r.rep_doc_id), max(r.doc_id, r.rep_doc_id)) for r in got} == {(1000 * p, 1000 * p + 1) for p in range(20)}
+
+
 # --- 10 ---------------------------------------------------------------------
 
 def link_components(rows):
