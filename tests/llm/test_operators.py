@@ -412,6 +412,20 @@ def test_passages_behind_strangers(spark):
     assert {(min(r.doc_id, r.rep_doc_id), max(r.doc_id, r.rep_doc_id)) for r in got} == {(1000 * p, 1000 * p + 1) for p in range(20)}
 
 
+def test_verify_follows_every_shift():
+    """A passage whose parts stand earlier in the other text, beside four larger ones."""
+    rnd = np.random.default_rng(3)
+    new = lambda n: rnd.integers(0, 2**63, n).astype(np.uint64)
+    x, large = new(60), [new(90) for _ in range(4)]
+    a = np.concatenate([v for g in large for v in (g, new(30))] + [x])
+    b = np.concatenate([x[:20], new(50), x[20:40], new(50), x[40:], new(50)] + [v for i, g in enumerate(large) for v in (new(37 * (i + 1)), g)] + [new(40), x])
+    got = compact_windows.verify(a, b, 46, 80)
+    assert (len(a) - 60, len(a) - 1, len(b) - 60, len(b) - 1) in {g[:4] for g in got}
+    # A hit that overlaps two groups counts in both.
+    hits = np.array([(0, 0, 60, 0, 60), (1, 0, 60, 100, 160), (2, 10, 60, 20, 140)])
+    assert len(compact_windows.sweep(hits, 2, 46)) == 2
+
+
 # --- 10 ---------------------------------------------------------------------
 
 def link_components(rows):
