@@ -202,8 +202,10 @@ def score_linear(df: DataFrame, features: Sequence[str], w: np.ndarray, out: str
 
 # --- fold models as columns ---------------------------------------------
 
-def linear_parts(model: PipelineModel) -> tuple[list[str], np.ndarray, float]:
-    """(features, weights, intercept) on unscaled features of a fitted scaler + linear model."""
+def linear_parts(model) -> tuple[list[str], np.ndarray, float]:
+    """(features, weights, intercept) on unscaled features of a fitted scaler + linear model, or of a ``LinearModel``."""
+    if not isinstance(model, PipelineModel):
+        return model.features, model.weights, model.intercept
     scaler, last = model.stages[0], model.stages[-1]
     mu, sd = (np.array(scaler.getOrDefault(p)) for p in (scaler.means, scaler.stds))
     w = last.coefficients.toArray() / sd
@@ -217,7 +219,7 @@ def score_folds(df: DataFrame, models: dict[int, PipelineModel], out: str, link=
     Every row gets the score of every fold's model; with ``own_fold`` only
     that of the fold which it was held out of.
     """
-    def score(model: PipelineModel) -> Column:
+    def score(model) -> Column:
         feats, w, b = linear_parts(model)
         return link(sum((F.col(f) * float(c) for f, c in zip(feats, w)), F.lit(b)))
 

@@ -23,6 +23,7 @@ from cohortkit.operators import history as HS
 from cohortkit.operators import metrics as MT
 from cohortkit.operators import sampling as SM
 from cohortkit.operators import splits as SP
+from cohortkit.operators import sweep as SW
 from cohortkit.operators import training as TR
 from cohortkit.plans import evaluation as EV
 from cohortkit.plans.cohort import cohort
@@ -69,8 +70,11 @@ def saturated_fit(spark: SparkSession, sf: str):
 
 
 def fold_fit(spark: SparkSession, sf: str):
-    """The folds' models at the grid's first point."""
-    return cv_fit(spark, sf, grid=GRID[:1])
+    """The folds' models at the grid's best point (mean validation AUC), all fitted together: models, training and test rows."""
+    train, test = _train_test(spark, sf)
+    sweep = SW.fit_logistic_sweep(train, FEATS, GRID, FOLDS)
+    best = SW.best_point(SW.grid_metrics(train, sweep), GRID)
+    return {f: sweep.models[f, best] for f in FOLDS}, train, test
 
 
 def validation_scores(models: dict[int, PipelineModel], train: DataFrame) -> DataFrame:
@@ -123,7 +127,7 @@ _DEPS["sat_eval"] = ["sat_followup"]
 
 @query("cv_logistic", None, "T1,T3,T6,A6,M3")
 def q_cv_logistic(spark, sf):
-    models, train, _ = cv_fit(spark, sf)
+    models, train, _ = fold_fit(spark, sf)
     val = validation_scores(models, train)
     return MT.auc(val, "label", "prob", ["fold"]).join(
         val.groupBy("fold").agg(F.count(F.lit(1)).alias("n")), "fold")
@@ -198,7 +202,7 @@ def best_validation_fold(val: DataFrame) -> int:
 @query("score_best_fold", None, "T6,T7,W9,M9")
 def q_score_best_fold(spark, sf):
     """The best fold's pipeline (its own scaler and model) scores the test rows per threshold."""
-    models, train, test = cv_fit(spark, sf)
+    models, train, test = fold_fit(spark, sf)
     bf = best_validation_fold(validation_scores(models, train))
     return evaluate(test_scores({bf: models[bf]}, test))
 
