@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortkit.llm.common import stage
+from cohortkit.llm.common import stage, unstage
 
 
 def _star(pairs: DataFrame, large: bool) -> DataFrame:
@@ -29,7 +29,8 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = stage(links.filter(F.col("u") != F.col("v")).distinct(), "components")
     while True:
-        edges = stage(_star(_star(edges, True), False), "components")
+        before, edges = edges, stage(_star(_star(edges, True), False), "components")
+        unstage(before)
         # Small-star leaves each node with one lesser neighbour unless it still joins several; done when none of
         # those neighbours has a lesser one itself and no node has two.
         once = edges.groupBy("u").agg(F.count("*").alias("k"))

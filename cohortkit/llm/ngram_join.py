@@ -12,6 +12,14 @@ prefix, the more shared prefix shingles a pair must have to be verified: what
 both prefixes hold is counted, what lies behind them is at most the shorter
 rest, and the sum must reach the overlap that the pair's sizes ask for.
 
+Every posting also carries a parity bitmap of its whole set: a bit says whether
+an odd number of shingles fell on it.  The bits in which two bitmaps differ are
+at most the shingles that only one of the sets has, and a link allows
+(n + m) (100 - 80) / (100 + 80) of those.  The test is part of the join
+condition of candidates and pivots, so that near misses around a shared passage
+never become rows, and it loses no link.  Sets of more than 256 shingles have a
+wider bitmap besides.
+
 Components need no pair within them: first every posting list links its nodes
 to one pivot, the verified stars are contracted, and what is left are pairs
 between different components, which all go through the filter.  While those
@@ -36,13 +44,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortkit.llm.common import WORD, ids_to_send, is_sent, read, stage
+from cohortkit.llm.common import WORD, ids_to_send, is_sent, read, stage, unstage
 from cohortkit.llm.components import components
 from cohortkit.llm.ragged import batches_of, shingles, word_hashes
 from cohortkit.llm.registry import query
 
 #: Documents from which a shingle counts as frequent, and the longest multiple match that is tried.
 FREQUENT, MAX_MATCH = 3, 6
+#: Bits of the bitmap that every set has, and of the second one of sets with more shingles than the first has bits.
+BITS, WIDE_BITS = 256, 1024
+PARITY = [f"s{i}" for i in range(BITS // 64)] + ["wide"]
 #: Nodes up to which the list of wanted sets is sent to the tasks (8 bytes each).
 SEND_NODES = 4_000_000
 #: The same for prefix shingles that several nodes hold, and for frequent ones with their counts.
@@ -105,6 +116,21 @@ def _counts(sets: list[np.ndarray], token: np.ndarray, df: np.ndarray) -> list[n
     return np.split(np.where(token[at] == flat, df[at], 0), np.cumsum([len(s) for s in sets])[:-1])
 
 
+def parity(s: np.ndarray, bits: int) -> np.ndarray:
+    """Per bit whether an odd number of the set's shingles falls on it, as signed 64-bit numbers."""
+    odd = (np.bincount((s % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64)
+
+
+def _may_link(x: str, y: str, percent: int) -> Column:
+    """Do the bitmaps of two rows (prefixes of their columns) allow a link?"""
+    differ = sum((F.bit_count(F.col(f"{x}s{i}").bitwiseXOR(F.col(f"{y}s{i}"))) for i in range(BITS // 64)), F.lit(0))
+    xor = F.zip_with(f"{x}wide", f"{y}wide", lambda a, b: F.bit_count(a.bitwiseXOR(b)))
+    wide = F.aggregate(xor, F.lit(0), lambda a, b: a + b)
+    limit = (100 - percent) * (F.col(f"{x}n").cast("long") + F.col(f"{y}n"))
+    return ((100 + percent) * differ <= limit) & F.coalesce((100 + percent) * wide <= limit, F.lit(True))
+
+
 def needed(n: int, percent: int) -> int:
     """Least overlap of a set of size n with any set that it links with."""
     return -(-n * percent // 100)
@@ -125,7 +151,7 @@ def plan_prefix(s: np.ndarray, df: np.ndarray, percent: int) -> tuple[np.ndarray
 
 
 def _prefixes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], percent: int) -> DataFrame:
-    """(node, n, heat, last, prefix) of every set; ``last`` is the prefix's end in the global order."""
+    """(node, n, heat, last, parity bitmaps, prefix) of every set; ``last`` is the prefix's end in the global order."""
     sent = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,15 +166,17 @@ def _prefixes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], percent:
             last = df << 40 | np.where(df == (1 << 23) - 1, 0, (ends >> np.uint64(24)).astype(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(_nodes([_digest(s) for s in sets])), pa.array([len(s) for s in sets], pa.int32()),
-                 pa.array([p[2] for p in plans], pa.int32()), pa.array(last),
+                 pa.array([p[2] for p in plans], pa.int32()), pa.array(last), *(pa.array(c) for c in np.array([parity(s, BITS) for s in sets]).T.copy()),
+                 pa.array([parity(s, WIDE_BITS) if len(s) > BITS else None for s in sets], pa.list_(pa.int64())),
                  pa.array([p[0].view(np.int64) for p in plans], pa.list_(pa.int64()))],
-                names=["node", "n", "heat", "last", "prefix"])
+                names=["node", "n", "heat", "last", *PARITY, "prefix"])
 
-    return docs.select("text").mapInArrow(run, "node long, n int, heat int, last long, prefix array<long>")
+    longs = ", ".join(f"{c} long" for c in PARITY[:-1])
+    return docs.select("text").mapInArrow(run, f"node long, n int, heat int, last long, {longs}, wide array<long>, prefix array<long>")
 
 
 def _posts(plans: DataFrame) -> DataFrame:
-    """(token, node, pos, n, p, heat, last): the prefix shingles that two nodes or more hold."""
+    """(token, node, pos, n, p, heat, last, bitmaps): the prefix shingles that two nodes or more hold."""
     tokens = plans.select("node", F.posexplode("prefix").alias("pos", "token"))
     # Copies of a set are one node, so a shingle is shared when its least and its largest node differ.
     shared = stage(tokens.groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b").select("token"), "op10-shared")
@@ -166,8 +194,11 @@ def _posts(plans: DataFrame) -> DataFrame:
         held = plans.select("node", "prefix").mapInArrow(run, "token long, node long, pos int")
     else:
         held = tokens.join(shared, "token", "left_semi").select("token", "node", "pos")
-    sizes = plans.select(F.col("node").alias("_n"), "n", "heat", "last", F.size("prefix").alias("p")).dropDuplicates(["_n", "n", "last"])
-    return stage(held.distinct().join(sizes, F.col("node") == F.col("_n")).select("token", "node", "pos", "n", "p", "heat", "last"), "op10-posts")
+    # Sets with one 64-bit node name but other bitmaps stay apart.
+    sizes = plans.select(F.col("node").alias("_n"), "n", "heat", "last", F.size("prefix").alias("p"), *PARITY).dropDuplicates(["_n", "n", "last", *PARITY])
+    out = stage(held.distinct().join(sizes, F.col("node") == F.col("_n")).select("token", "node", "pos", "n", "p", "heat", "last", *PARITY), "op10-posts")
+    unstage(plans, shared)
+    return out
 
 
 def _wanted_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -191,7 +222,7 @@ def _wanted_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Links (u, v) between digests of the candidate pairs (a, b) of nodes."""
+    """Links (u, v) between digests of the staged candidate pairs (a, b) of nodes; these are removed."""
     nodes = pairs.select("a").union(pairs.select("b")).distinct()
     sets = stage(_wanted_sets(docs, nodes), "op10-sets")
     # First on half hashes: what they have in common, and those that fell together, bound the overlap from above.
@@ -203,8 +234,10 @@ def _verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     one = sets.select(F.col("digest").alias("u"), F.col("set").alias("sa"))
     two = sets.select(F.col("digest").alias("v"), F.col("set").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb")).cast("long")
-    return (near.join(one, "u").join(two, "v").filter(100 * both >= percent * (F.size("sa") + F.size("sb") - both))
-            .select("u", "v"))
+    links = stage(near.join(one, "u").join(two, "v").filter(100 * both >= percent * (F.size("sa") + F.size("sb") - both))
+                  .select("u", "v"), "op10-links")
+    unstage(sets, near, pairs)
+    return links
 
 
 def _between(posts: DataFrame, done: DataFrame) -> tuple[DataFrame, int, int]:
@@ -232,7 +265,7 @@ def _candidates(live: DataFrame, percent: int) -> DataFrame:
     i, j, n, m = F.col("x.pos"), F.col("y.pos"), F.col("x.n"), F.col("y.n")
     most = F.least(i, j) + F.least(n - i, m - j)
     pairs = (x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") < F.col("y.comp"))
-                    & _long_enough(n, m, percent) & ((100 + percent) * most >= percent * (n + m)))
+                    & _long_enough(n, m, percent) & ((100 + percent) * most >= percent * (n + m)) & _may_link("x.", "y.", percent))
              .groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
              .agg(F.count("*").alias("c"), F.max("x.pos").alias("i"), F.max("y.pos").alias("j"),
                   *(F.first(f"{s}.{c}").alias(f"{s}_{c}") for s in "xy" for c in ("n", "p", "last"))))
@@ -263,8 +296,10 @@ def _long_enough(x: Column, y: Column, percent: int) -> Column:
 def _labelled(docs: DataFrame, percent: int) -> DataFrame:
     """(doc_id, t, n, component) of every row of ``docs``; the component is named by a set's digest."""
     scan = stage(_scan(docs, percent), "op10-scan")
-    members = scan.select("doc_id", "t", "n", "digest")
-    posts = _posts(stage(_prefixes(docs, _frequent(scan), percent), "op10-plans"))
+    members = stage(scan.select("doc_id", "t", "n", "digest"), "op10-members")
+    frequent = _frequent(scan)
+    unstage(scan)
+    posts = _posts(stage(_prefixes(docs, frequent, percent), "op10-plans"))
     links, done = None, None
     for turn in range(MAX_PIVOT_ROUNDS + 1):
         live = posts.withColumn("comp", F.col("node"))
@@ -272,20 +307,24 @@ def _labelled(docs: DataFrame, percent: int) -> DataFrame:
             live, pairs_left, rows_left = _between(posts, done)
             if pairs_left == 0:
                 break
-            if pairs_left <= MANY_PAIRS * rows_left or turn == MAX_PIVOT_ROUNDS or new.count() < FRUITFUL * tried.count():
-                last = stage(_verified(docs, stage(_candidates(live, percent), "op10-pairs"), percent), "op10-links")
+            if pairs_left <= MANY_PAIRS * rows_left or turn == MAX_PIVOT_ROUNDS or new.count() < FRUITFUL * n_tried:
+                last = _verified(docs, stage(_candidates(live, percent), "op10-pairs"), percent)
                 if not last.isEmpty():
                     links = links.union(last)
                     done = components(links)
                 break
         # The hottest node of a posting list first (the least edited copy of a large group), then others at random.
         rank = F.struct("heat", "node") if turn == 0 else F.struct(F.xxhash64(F.lit(turn), "comp", "node").alias("h"), F.col("node"))
-        pivot = live.groupBy(F.col("token").alias("t")).agg(F.max(F.struct(rank.alias("r"), F.col("n").alias("pn"), F.col("comp").alias("pc"))).alias("q"))
-        star = (live.join(pivot, F.col("token") == F.col("t"))
-                .filter((F.col("comp") != F.col("q.pc")) & _long_enough(F.col("n"), F.col("q.pn"), percent))
-                .select(F.col("node").alias("a"), F.col("q.r.node").alias("b")).distinct())
+        pivot = live.groupBy(F.col("token").alias("t")).agg(F.max(F.struct(rank.alias("r"), F.col("n"), F.col("comp").alias("pc"), *PARITY)).alias("q"))
+        x, y = live.alias("x"), pivot.select("t", "q.*").alias("y")
+        star = (x.join(y, (F.col("x.token") == F.col("y.t")) & (F.col("x.comp") != F.col("y.pc")) & _long_enough(F.col("x.n"), F.col("y.n"), percent)
+                       & _may_link("x.", "y.", percent))
+                .select(F.col("x.node").alias("a"), F.col("y.r.node").alias("b")).distinct())
         tried = stage(_counted(star, posts, percent), "op10-pairs")
-        new = stage(_verified(docs, tried, percent), "op10-links")
+        if done is not None:
+            unstage(live)
+        n_tried = tried.count()
+        new = _verified(docs, tried, percent)
         links = new if links is None else links.union(new)
         done = components(links)
     named = members.join(done.select(F.col("node").alias("digest"), "component"), "digest", "left")

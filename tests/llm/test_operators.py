@@ -492,6 +492,36 @@ def test_prefixes_share_enough():
         assert len(np.intersect1d(p, q)) >= min(l, m)
 
 
+def test_parity_bitmaps_lose_no_link(spark):
+    """The bitmaps differ in at most the shingles that one set alone has, for small and wide sets, and pass every link."""
+    rng = np.random.default_rng(8)
+    rows, truth = [], []
+    for _ in range(300):
+        n = int(rng.choice([1, 3, 40, 250, 262, 900, 3000]))
+        a = np.unique(rng.integers(0, 2 ** 64, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < rng.choice([0.5, 0.85, 0.95, 1.0])], rng.integers(0, 2 ** 64, int(rng.integers(0, 1 + n // 8)), dtype=np.uint64)]))
+        if not len(b):
+            continue
+        both = len(np.intersect1d(a, b))
+        truth.append((100 * both >= 80 * (len(a) + len(b) - both), len(a) + len(b) - 2 * both))
+        rows.append(tuple(x for s in (a, b) for x in (len(s), *ngram_join.parity(s, 256).tolist(), ngram_join.parity(s, 1024).tolist() if len(s) > 256 else None)))
+    cols = [f"{p}{c}" for p in "xy" for c in ("n", *ngram_join.PARITY)]
+    kinds = ", ".join(f"{c} {'array<long>' if c.endswith('wide') else 'int' if c.endswith('n') else 'long'}" for c in cols)
+    df = spark.createDataFrame(rows, kinds)
+    differ = sum((F.bit_count(F.col(f"xs{i}").bitwiseXOR(F.col(f"ys{i}"))) for i in range(4)), F.lit(0))
+    got = df.select(ngram_join._may_link("x", "y", 80).alias("ok"), differ.alias("d")).collect()
+    assert all(g.ok for g, (link, _) in zip(got, truth) if link) and all(g.d <= alone for g, (_, alone) in zip(got, truth))
+    assert sum(not g.ok for g in got) > 50
+
+
+def test_ngram_join_without_lists_sent(spark, corpus, monkeypatch):
+    """More nodes and shingles than are sent to the tasks: the same rows by joins."""
+    want = key(map(tuple, ngram_join.similar_components(corpus).collect()))
+    monkeypatch.setattr(ngram_join, "SEND_NODES", 0)
+    monkeypatch.setattr(ngram_join, "SEND_TOKENS", 0)
+    assert key(map(tuple, ngram_join.similar_components(corpus).collect())) == want
+
+
 def test_components(spark):
     rnd = random.Random(9)
     links = [(rnd.randint(0, 300), rnd.randint(0, 300)) for _ in range(200)] + [(i, i + 1) for i in range(500, 560)] + [(7, 7)]
