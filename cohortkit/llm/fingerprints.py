@@ -67,6 +67,15 @@ def parse(print_: Column) -> Column:
     return F.when(F.length(print_) == 0, F.array().cast("array<string>")).otherwise(each)
 
 
+def _packed(kept: Column) -> Column:
+    """The hashes as bytes, for a shuffle."""
+    return F.unhex(fingerprint(kept))
+
+
+def _unpacked(packed: Column) -> Column:
+    return parse(F.lower(F.hex(packed)))
+
+
 def merge(a: Column, b: Column) -> Column:
     """The sketch of all shingles of two sketches' texts."""
     return let(F.array_union(a, b), _scaled)
@@ -107,17 +116,17 @@ def _range_of(docs: DataFrame) -> Column:
 def with_next(rows: DataFrame) -> DataFrame:
     """(doc_id, text, kept) with the text and sketch of the next row by descending id; the last one's next is the first."""
     order = [F.desc_nulls_last("doc_id"), F.col("text")]
-    ranged = rows.withColumn("range", _range_of(rows.select("doc_id")))
+    ranged = rows.select("doc_id", "text", _packed(F.col("kept")).alias("kept"), _range_of(rows.select("doc_id")).alias("range"))
     # The first row of every range, for the last row of the range before it; only range numbers are ordered.
     first = (ranged.select("range", "doc_id", "text").groupBy("range").agg(F.min(F.struct((-F.col("doc_id")).alias("_down"), "text")).alias("_m"))
-             .select("range", "_m.text").withColumn("kept", sketch(F.col("text"))))
+             .select("range", "_m.text").withColumn("kept", _packed(sketch(F.col("text")))))
     before = F.lag("_r").over(Window.orderBy("_r"))
     last = F.max("_r").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     order_of = ranged.select(F.col("range").alias("_r")).distinct().select("_r", F.coalesce(before, last).alias("_range"))
     heads = first.join(order_of, F.col("range") == F.col("_r")).select("_range", F.struct("text", "kept").alias("_head"))
     ahead = F.lead(F.struct("text", "kept")).over(Window.partitionBy("range").orderBy(*order))
     out = ranged.withColumn("_next", ahead).join(heads, F.col("range") == F.col("_range"), "left").withColumn("_next", F.coalesce("_next", "_head"))
-    return out.select("doc_id", "text", "kept", F.col("_next.text").alias("next_text"), F.col("_next.kept").alias("next_kept"))
+    return out.select("doc_id", "text", _unpacked(F.col("kept")).alias("kept"), F.col("_next.text").alias("next_text"), _unpacked(F.col("_next.kept")).alias("next_kept"))
 
 
 def edited(text: Column, next_text: Column) -> Column:
