@@ -143,9 +143,14 @@ def judge(stats: DataFrame, cutoffs: DataFrame, stratum: str = "lang") -> DataFr
 
 def quality_filter(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
     """The rows of ``docs`` that the base rules and the certified cutoffs keep."""
-    slim = stage(with_stats(docs.select("doc_id", stratum, "text")).drop("text"), "op5-stats")
+    # The fit needs the labelled rows only; all rows are counted once, when they are judged.
+    marked = labels.filter(F.col("quality").isNotNull()).select(F.col("doc_id").alias("_id")).distinct()
+    held = docs.select("doc_id", stratum, "text").join(marked, F.col("doc_id") == F.col("_id"), "left_semi")
+    slim = stage(with_stats(held).drop("text"), "op5-stats")
     own = docs.select(*(F.col(c).alias(f"_doc_{c}") for c in docs.columns), F.col(stratum), F.col("text"))
-    kept = judge(with_stats(own), fit_cutoffs(slim, labels, stratum=stratum), stratum).filter("kept")
+    judged = judge(with_stats(own), fit_cutoffs(slim, labels, stratum=stratum), stratum)
+    # One test of both columns: as a conjunction its first half would be moved below the join and count the words there again.
+    kept = judged.filter(F.greatest(F.col("base_failed").cast("int"), (~F.col("kept")).cast("int")) == 0)
     return kept.select(*(F.col(f"_doc_{c}").alias(c) for c in docs.columns))
 
 
