@@ -257,19 +257,21 @@ def _between(posts: DataFrame, done: DataFrame) -> tuple[DataFrame, int, int]:
 def _candidates(live: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of nodes in different components that can still reach their overlap.
 
-    Up to the last shared prefix shingle both sets are known: ``c`` are shared.
-    Of the set whose prefix ends first nothing more of the prefix is shared.
+    A pair of sizes n and m that shares o shingles shares one among the first n - o + 1 and m - o + 1 of them; for
+    equal sizes that is about half of a prefix, and only postings there make rows.  ``c`` of them are shared, and
+    what else is shared lies behind the last of these in both sets.
     """
     x, y = live.alias("x"), live.alias("y")
     # One shared shingle at places i and j leaves the lesser place before it and the shorter rest behind it.
     i, j, n, m = F.col("x.pos"), F.col("y.pos"), F.col("x.n"), F.col("y.n")
     most = F.least(i, j) + F.least(n - i, m - j)
-    pairs = (x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") < F.col("y.comp"))
+    early = ((100 + percent) * (n - i) >= percent * (n + m)) & ((100 + percent) * (m - j) >= percent * (n + m))
+    pairs = (x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") < F.col("y.comp")) & early
                     & _long_enough(n, m, percent) & ((100 + percent) * most >= percent * (n + m)) & _may_link("x.", "y.", percent))
              .groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-             .agg(F.count("*").alias("c"), F.max("x.pos").alias("i"), F.max("y.pos").alias("j"),
-                  *(F.first(f"{s}.{c}").alias(f"{s}_{c}") for s in "xy" for c in ("n", "p", "last"))))
-    return _reaching(pairs, percent)
+             .agg(F.count("*").alias("c"), F.max("x.pos").alias("i"), F.max("y.pos").alias("j"), F.first("x.n").alias("n"), F.first("y.n").alias("m")))
+    rest = F.least(F.col("n") - F.col("i") - 1, F.col("m") - F.col("j") - 1)
+    return pairs.filter((100 + percent) * (F.col("c") + rest) >= percent * (F.col("n") + F.col("m"))).select("a", "b")
 
 
 def _reaching(pairs: DataFrame, percent: int) -> DataFrame:
