@@ -114,12 +114,13 @@ def unscale(df: DataFrame, stats: DataFrame, features: Sequence[str] = FEATURES,
 def to_years(df: DataFrame, days: str, unit: str = "auto", out: str | None = None,
              days_per_year: float = 365.25, auto_cutoff: float = 50) -> DataFrame:
     """Day counts to years.  ``unit='auto'`` converts when the column
-    maximum exceeds ``auto_cutoff`` (one aggregate job reads that number)."""
+    maximum exceeds ``auto_cutoff``; the maximum is a scalar subquery of the
+    plan, so that building it starts no job."""
     out = out or days
     v = R.to_double(days)
     if unit == "auto":
-        mx = df.agg(F.max(v).alias("mx")).first()["mx"]
-        unit = "days" if mx is not None and mx > auto_cutoff else "years"
+        largest = df.agg(F.max(v)).scalar()
+        return df.withColumn(out, v / F.when(largest > auto_cutoff, F.lit(days_per_year)).otherwise(F.lit(1.0)))
     return df.withColumn(out, v / days_per_year if unit == "days" else v)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortkit.operators import sampling as SM
 from cohortkit.operators import splits as SP
+from cohortkit.operators import weighted as WT
 from cohortkit.plans.cohort import cohort
 from cohortkit.plans.oracle import CTE, _DEPS, with_ctes
 from cohortkit.plans.registry import query
@@ -174,3 +175,47 @@ SELECT Code, (row_number() OVER (ORDER BY {_H.format(seed=SEED, key='Code')}, Co
 FROM cohort_xy""", "cohort_xy"), "X6")
 def q_batches(spark, sf):
     return SM.batches(cohort_xy(spark, sf).select("Code"), "Code", SEED, BATCH)
+
+
+# --- X5 by row weight, X6 by epoch --------------------------------------------
+
+EPOCHS = 3
+_U60 = "CAST('0x' || substr(md5({t}), 1, 15) AS BIGINT)"
+
+
+@query("weighted_draws", with_ctes(f"""
+SELECT d.draw_id, r.Code FROM (
+  SELECT i AS draw_id, CAST(({_U60.format(t=f"concat('{SEED}|w|', CAST(i AS VARCHAR))")}::HUGEINT * total) // 1152921504606846976 AS BIGINT) AS p
+  FROM (SELECT unnest(range(0, count(*))) AS i, CAST(any_value(total) AS HUGEINT) AS total FROM (SELECT sum(greatest(dateAssess, 0)) OVER () AS total FROM cohort_xy) c) t) d
+JOIN (SELECT Code, hi - w AS lo, hi FROM (
+        SELECT Code, coalesce(greatest(dateAssess, 0), 0) AS w, CAST(sum(coalesce(greatest(dateAssess, 0), 0)) OVER (
+               ORDER BY {_H.format(seed=f'{SEED}|row', key='Code')}, Code) AS BIGINT) AS hi FROM cohort_xy) c WHERE w > 0) r
+  ON d.p >= r.lo AND d.p < r.hi""", "cohort_xy"), "X5 (any row weights: here days of follow-up)")
+def q_weighted_draws(spark, sf):
+    return WT.weighted_draws(cohort_xy(spark, sf), "Code", "dateAssess", SEED)
+
+
+def _place_sql(src: str) -> str:
+    """The place that the permutation gives x in every row of ``src`` (epoch, Code, x, n, a, b)."""
+    def turn(r: int, half: str) -> str:
+        t = f"concat_ws('|', '{SEED}', CAST(epoch AS VARCHAR), '{r}', CAST({half} AS VARCHAR))"
+        return _U60.format(t=t)
+
+    q = f"(SELECT *, x % a AS l, x // a AS r FROM {src}) q0"
+    for i in range(WT.ROUNDS):
+        one, other, size = ("l", "r", "a") if i % 2 == 0 else ("r", "l", "b")
+        q = f"(SELECT epoch, Code, n, a, b, {other}, ({one} + {turn(i, other)}) % {size} AS {one} FROM {q}) q{i + 1}"
+    return f"SELECT epoch, Code, n, a, b, l + a * r AS x FROM {q}"
+
+
+_RANKED = f"""(SELECT e.epoch, Code, rk - 1 AS x, n, a, (n + a - 1) // a AS b
+ FROM (SELECT Code, row_number() OVER (ORDER BY {_H.format(seed=SEED, key='Code')}, Code) AS rk, count(*) OVER () AS n,
+              CAST(ceil(sqrt(count(*) OVER ())) AS BIGINT) AS a FROM cohort_xy) c,
+      (SELECT CAST(unnest(range(1, {EPOCHS} + 1)) AS BIGINT) AS epoch) e) r0"""
+
+
+@query("batches_by_epoch", with_ctes("SELECT 1", "cohort_xy").rsplit("SELECT 1", 1)[0].rstrip().replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+walk AS ({_place_sql(_RANKED)} UNION ALL {_place_sql("(SELECT * FROM walk WHERE x >= n) w0")})
+SELECT epoch, Code, x AS position, x // {BATCH} AS batch_id FROM walk WHERE x < n""", "X6 (another order in every epoch, ranked once)")
+def q_batches_by_epoch(spark, sf):
+    return WT.epoch_batches(cohort_xy(spark, sf).select("Code"), "Code", SEED, EPOCHS, BATCH).select("epoch", "Code", "position", "batch_id")

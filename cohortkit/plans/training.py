@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from cohortkit.operators import features as FT
 from cohortkit.operators import history as HS
+from cohortkit.operators import lad as LD
 from cohortkit.operators import metrics as MT
 from cohortkit.operators import sampling as SM
 from cohortkit.operators import splits as SP
@@ -330,3 +331,25 @@ def q_regression_line(spark, sf):
     train, test = regression_rows(spark, sf)
     e = MT.regression_errors(regression_predictions(regressors(train, "linear", ["Age"]), test, "linear"), "target", "pred", ["fold"])
     return e.select("fold", "n", "mae", "rmse")
+
+
+# --- absolute loss -------------------------------------------------------------
+
+@query("regression_median", with_ctes(f"""
+SELECT fold, count(*) AS n, round(avg(abs(target - m)), 6) AS train_mae FROM (
+  SELECT f.fold, x.target, median(x.target) OVER (PARTITION BY f.fold) AS m
+  FROM (SELECT CAST(unnest(range(1, {K} + 1)) AS BIGINT) AS fold) f JOIN reg_rows x ON x.is_test = 0 AND x.fold <> f.fold) r GROUP BY fold""", "reg_rows"),
+       "T5 (absolute loss without features: the distance from the median)")
+def q_regression_median(spark, sf):
+    train, _ = regression_rows(spark, sf)
+    rows = [(f, a.n, round(a.loss, 6)) for f, a in LD.fit_absolute(train, [], FOLDS).items()]
+    return spark.createDataFrame(rows, "fold long, n long, train_mae double")
+
+
+@query("regression_absolute", None, "T5,T6,M7,P27 (absolute loss, all features, every fold's model on the test part)")
+def q_regression_absolute(spark, sf):
+    train, test = regression_rows(spark, sf)
+    fits = LD.fit_absolute(train, FEATS, FOLDS)
+    pred = TR.score_folds(test, {f: a.model for f, a in fits.items()}, "pred", MT.clamp, ("target",))
+    own = spark.createDataFrame([(f, round(a.loss, 6), a.gap, a.subgradient) for f, a in fits.items()], "fold long, train_mae double, gap double, subgradient double")
+    return MT.regression_errors(pred, "target", "pred", ["fold"]).join(own, "fold")
