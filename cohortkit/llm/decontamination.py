@@ -9,6 +9,11 @@ per piece in diagonal bands twice as wide as that, each overlapping the next by
 half, so one band holds all of a true region.  Regions that reach the bound
 are verified by an alignment of the piece within the band.
 
+What is found is a whole piece: items of up to 128 bytes whole, of longer ones
+pieces of 128 bytes at a stride of 64.  So an excerpt of a longer item is sure
+to be found from 191 bytes on, between 128 and 190 bytes only where it holds a
+whole piece, and a shorter one never.
+
 The q-grams of the benchmark are sent to the tasks in blocks of bounded size;
 documents are scanned once per block and never shuffled.
 
