@@ -4,7 +4,8 @@ Words are compared by their lower-cased hash, punctuation at word ends aside.
 A window of the text can reach a coverage only if it holds that many of the
 template's words, counted with repeats; this bound over the whole text, then
 over windows of twice the template's length, leaves few places.  A place is
-aligned: equal words at both ends are matched, words that are unique in both
+aligned, in windows of the template's length and a quarter more first, so that
+the next copy's words do not take part, then in the wide one: equal words at both ends are matched, words that are unique in both
 the window and the template become anchors, the longest increasing subsequence
 of anchors is kept, and the gaps between them are aligned the same way.
 Matched words over the template's words is the coverage.
@@ -98,11 +99,21 @@ def patience(a: Sequence[int], b: Sequence[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def _place(words: Sequence[int], template: Sequence[int], start: int, widths: Sequence[int], need: int) -> tuple[int, int, int] | None:
+    """The aligned place in the first of the windows that holds as many words as needed."""
+    for width in widths:
+        pairs = patience(words[start:start + width], template)
+        if len(pairs) >= need:
+            return start + pairs[0][0], start + pairs[-1][0] + 1, len(pairs)
+    return None
+
+
 def scan_words(words: Sequence[int], template: Sequence[int], coverage: float) -> list[tuple[int, int, int]]:
     """(first word, end, matched words) of the places where the template is covered."""
     own, need = Counter(template), -(-int(round(coverage * len(template) * 1000)) // 1000)
     hits = [i for i, w in enumerate(words) if w in own]
-    out, width, have, held, right, k = [], 2 * len(template), 0, Counter(), 0, 0
+    width, near = 2 * len(template), (len(template), len(template) + -(-len(template) // 4))
+    out, have, held, right, k = [], 0, Counter(), 0, 0
     while k < len(hits):
         while right < len(hits) and hits[right] < hits[k] + width:
             w = words[hits[right]]
@@ -111,11 +122,14 @@ def scan_words(words: Sequence[int], template: Sequence[int], coverage: float) -
             right += 1
         skip = k + 1
         if have >= need:
-            pairs = patience(words[hits[k]:hits[right - 1] + 1], template)
-            if len(pairs) >= need:
-                begin, end = hits[k] + pairs[0][0], hits[k] + pairs[-1][0] + 1
-                out.append((begin, end, len(pairs)))
-                skip = bisect_left(hits, end)
+            place = _place(words, template, hits[k], near, need)
+            if place is None and (place := _place(words, template, hits[k], [hits[right - 1] + 1 - hits[k]], need)):
+                # The wide window may have aligned a later copy, or parts of two: the first that stands alone counts.
+                later = hits[k + 1:bisect_left(hits, place[1])]
+                place = next((p for h in later if (p := _place(words, template, h, near, need))), place)
+            if place:
+                out.append(place)
+                skip = bisect_left(hits, place[1])
         for x in range(k, min(skip, right)):
             w = words[hits[x]]
             have -= held[w] <= own[w]
