@@ -5,8 +5,8 @@ its source, so the blocks of a source are permuted by the hash and hold about
 the same share of it.  Each source's target is turned into whole passes over
 its blocks plus a prefix of the permuted blocks; block, sub-block and row sums
 place the end of that prefix to a document.  The tree splits the sources' exact
-block quotas among the output shards (driver work on one number per source and
-shard), the shards draw disjoint runs of the permuted blocks, and a hash gives
+block quotas among the output shards (one number per source and shard, in a
+task; beyond ``MAX_SOURCES`` sources groups of them have a tree each), the shards draw disjoint runs of the permuted blocks, and a hash gives
 each document its place within the shard.
 
 Edge cases: null texts have size 0; a null source is a source of its own, last
@@ -19,6 +19,7 @@ id, source and text are not read.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,7 +30,7 @@ from cohortkit.llm.registry import query
 #: Blocks per source, and sub-blocks of the block in which a draw ends.
 BLOCK_BITS = 12
 BLOCKS = 1 << BLOCK_BITS
-#: Rows of the table of sources that may be broadcast and split on the driver.
+#: Rows of tables of sources that may be broadcast (beyond, they are joined by shuffles), and sources of one tree, about.
 MAX_SOURCES = 100_000
 #: Rows (source, block) of the table of draws that may be broadcast; beyond it is joined by a shuffle.
 MAX_BROADCAST_BLOCKS = 1 << 18
@@ -58,7 +59,10 @@ def targets(sources: DataFrame, weights: tuple[float, ...], share: float, cap: f
 
 
 def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
-    """(sources, shards) block counts: each tree node draws its left half's blocks without replacement."""
+    """(sources, shards) block counts: each tree node draws its left half's blocks without replacement.
+
+    A half that is no whole number is rounded at random, so that many small trees fill all shards alike.
+    """
     out = np.zeros((len(quotas), shards), np.int64)
     todo = [(0, shards, np.asarray(quotas, np.int64))]
     while todo:
@@ -68,12 +72,31 @@ def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
             continue
         mid = (a + b) // 2
         rng = np.random.default_rng([seed, a, b])
-        take = int(q.sum()) * (mid - a) // (b - a)
+        take = (int(q.sum()) * (mid - a) + int(rng.integers(b - a))) // (b - a)
         left = rng.multivariate_hypergeometric(q, take, method="marginals") if take else np.zeros_like(q)
         todo += [(a, mid, left), (mid, b, q - left)]
     return out
 
 
+def shard_ends(counted: DataFrame, shards: int, seed: int, each: int) -> DataFrame:
+    """(source, ends) of (source, passes, n, part): running sums of the tree's block counts over the shards.
+
+    Groups of about ``each`` sources have a tree of their own, which a task draws.
+    """
+    schema = T.StructType([T.StructField("source", counted.schema["source"].dataType), T.StructField("ends", T.ArrayType(T.LongType()))])
+    quota = counted.select("source", (F.col("passes") * F.col("n") + F.col("part")).cast("long").alias("quota"))
+    groups = -(-counted.count() // each)
+
+    def draw(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by("source")
+        ends = np.cumsum(split_quotas(table["quota"].to_numpy(), shards, seed + key[0].as_py()), axis=1)
+        cells = pa.ListArray.from_arrays(pa.array(np.arange(0, ends.size + 1, shards), pa.int32()), pa.array(ends.ravel()))
+        return pa.table({"source": table["source"], "ends": cells})
+
+    dealt = quota.withColumn("_g", F.pmod(F.xxhash64("source"), F.lit(max(groups, 1))))
+    return dealt.groupBy("_g").applyInArrow(draw, schema)
+
+
 def _ends(rows: DataFrame, key: Column, rest: Column) -> DataFrame:
     """Per source the first ``key`` at which the running sum of sizes passes ``rest``: (source, _key, _rest)."""
     sums = rows.groupBy("source", "_rest", key.alias("_key")).agg(F.sum("size").alias("_s"))
@@ -97,7 +120,6 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: fl
     ``_draws``.  Exploding ``draws``, writing by shard and sorting by position
     within it gives the mix.
     """
-    spark = docs.sparkSession
     rows = stage(_sized(docs, seed).select("doc_id", "source", "size", "_h"), "op8-sizes")
     block = F.shiftrightunsigned("_h", 64 - BLOCK_BITS)
     sub = F.shiftrightunsigned("_h", 64 - 2 * BLOCK_BITS).bitwiseAND(F.lit(BLOCKS - 1))
@@ -109,9 +131,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: fl
     src = stage(per_source.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)))
                 .withColumn("_rest", F.col("target") - F.col("passes") * F.col("source_size")), "op8-sources")
     n_sources = src.count()
-    if n_sources > MAX_SOURCES:
-        raise ValueError(f"{n_sources} sources; the splitting tree takes up to {MAX_SOURCES}")
-    src = F.broadcast(src)
+    few = n_sources <= MAX_SOURCES
+    send = F.broadcast if few else lambda table: table
+    src = send(src)
 
     def joined(left: DataFrame, right: DataFrame, *more: Column) -> DataFrame:
         """Null-safe join on source (and further conditions) with a table that has one row per source."""
@@ -119,7 +141,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: fl
         cond = left["source"].eqNullSafe(right["_source"])
         for m in more:
             cond = cond & m
-        return left.join(F.broadcast(right), cond).drop("_source")
+        return left.join(send(right), cond).drop("_source")
 
     # Where the last, partial pass ends: block, then sub-block, then document.
     e1 = stage(_ends(joined(blocks, src.select("source", "_rest")), F.col("block"), F.col("_rest")), "op8-ends")
@@ -139,10 +161,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: fl
     counted = (joined(blocks, plan.select("source", "passes", "_b1", "_rest"))
                .groupBy("source").agg(F.first("passes").alias("passes"), F.count("*").alias("n"),
                                       F.count(F.when((F.col("_rest") > 0) & (F.coalesce(F.col("block") <= F.col("_b1"), F.lit(True))), 1)).alias("part")))
-    quota = sorted(counted.collect(), key=lambda r: (r["source"] is None, r["source"] or ""))
-    tree = split_quotas(np.array([r["passes"] * r["n"] + r["part"] for r in quota], np.int64).reshape(-1), shards, seed)
-    schema = T.StructType([T.StructField("source", rows.schema["source"].dataType), T.StructField("ends", T.ArrayType(T.LongType()))])
-    ends = spark.createDataFrame([(r["source"], np.cumsum(t).tolist()) for r, t in zip(quota, tree)], schema)
+    ends = stage(shard_ends(counted, shards, seed, MAX_SOURCES), "op8-ends")
     rank = F.row_number().over(Window.partitionBy("source").orderBy("block")) - 1
     ranked = blocks.withColumn("_rank", rank).withColumn("_n", F.count("*").over(Window.partitionBy("source")))
 
