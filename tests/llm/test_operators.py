@@ -75,6 +75,53 @@ def test_periodic_text_is_repeated_within_one_document(spark):
 
 # --- 2 ----------------------------------------------------------------------
 
+def _lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = row
+        row = [0]
+        for j, y in enumerate(b):
+            row.append(last[j] + 1 if x == y else max(row[-1], last[j + 1]))
+    return row[-1]
+
+
+def test_license_places_beside_each_other_by_brute_force():
+    """Edited copies in a row, or some words apart: as many places as disjoint windows that hold the template, each on its copy."""
+    r = random.Random(5)
+    for trial in range(60):
+        template = [r.randrange(40) for _ in range(r.choice((12, 30, 57)))]
+        text, copies = [], []
+        for _ in range(r.randrange(1, 5)):
+            text += [r.choice((-1, r.randrange(40))) for _ in range(r.choice((0, 0, 3, 20)))]
+            copy = list(template)
+            edits = r.randrange(len(template) // 10 + 1)
+            for i in [*range(edits)] if r.random() < 0.5 else r.sample(range(len(copy)), edits):
+                copy[i] = -1
+            copies.append((len(text), len(text) + len(copy)))
+            text += copy
+        need = -(-len(template) * 8 // 10)
+        # Windows of the template's length, greedily from the left: every one that holds enough is a copy.
+        ends, at = [], 0
+        while at + len(template) <= len(text):
+            hit = _lcs(text[at:at + len(template)], template) >= need
+            ends += [at] * hit
+            at += len(template) if hit else 1
+        found = license_scan.scan_words(text, template, 0.8)
+        assert len(found) >= max(len(ends), len(copies)), (trial, found, copies)
+        assert all(a[1] <= b[0] for a, b in zip(found, found[1:]))
+        for a, b in copies:
+            assert any(min(b, e) - max(a, s) >= 0.7 * (b - a) for s, e, _ in found), (trial, found, copies)
+        for s, e, n in found:
+            assert n >= need and _lcs(text[s:e], template) >= n
+
+
+def test_license_first_of_two_copies():
+    template = [*range(60)]
+    for first, second in ((3, 0), (0, 3), (3, 3), (6, 6)):
+        text = [-1] * first + template[first:] + [-1] * second + template[second:]
+        assert license_scan.scan_words(text, template, 0.8) == [(first, 60, 60 - first), (60 + second, 120, 60 - second)]
+
+
 def test_license_scan(spark, docs, clashing, empty):
     apache = dict(license_scan.TEMPLATES)["Apache-2.0"]
     edited = apache.replace("applicable law", "any law at all").replace("governing", "about")
@@ -344,6 +391,17 @@ def test_mix(request, name):
     assert key((r.doc_id, r["size"], str(r.draws)) for r in again) == key((r.doc_id, r["size"], str(r.draws)) for r in out)
 
 
+def test_mix_of_more_sources_than_a_tree_takes(spark, corpus, monkeypatch):
+    more = corpus.withColumn("source", F.when(F.col("doc_id") % 9 > 0, F.concat("source", (F.col("doc_id") % 13).cast("string"))))
+    plain = {r.doc_id: r for r in mixing.mix(more, shards=4).collect()}
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 20)
+    many = {r.doc_id: r for r in mixing.mix(more, shards=4).collect()}
+    assert len({r.source for r in plain.values()}) > 40
+    assert {k: (r.size, r.source_size, r.target, len(r.draws)) for k, r in plain.items()} == {k: (r.size, r.source_size, r.target, len(r.draws)) for k, r in many.items()}
+    shards = Counter(d.shard for r in many.values() for d in r.draws)
+    assert sorted(shards) == [0, 1, 2, 3] and max(shards.values()) < 1.3 * min(shards.values())
+
+
 def test_mix_edges(docs, clashing, empty):
     assert mixing.mix(empty).count() == 0 == mixing.mixed_rows(empty).count()
     assert mixing.mix(docs.filter("text is null")).count() == 2
