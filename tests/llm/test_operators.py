@@ -470,6 +470,25 @@ def test_passages_behind_strangers(spark):
     assert {(min(r.doc_id, r.rep_doc_id), max(r.doc_id, r.rep_doc_id)) for r in got} == {(1000 * p, 1000 * p + 1) for p in range(20)}
 
 
+def test_outline_bounds_what_passages_share():
+    """The filter before the verification: its least count holds for every window, and it loses no pair that has a passage."""
+    from cohortkit.llm.compact_windows import outline, verify
+    rng, least, kept = np.random.default_rng(5), 46, 0
+    for k in range(300):
+        a = rng.integers(0, (8, 60, 1 << 60)[k % 3], int(rng.integers(least, 150))).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        b = a.copy()
+        b[rng.integers(0, len(b), k % 40)] = rng.integers(0, 1 << 60, k % 40).astype(np.uint64)
+        (n, few, half), (m, less, other) = outline(a, least), outline(b, least)
+        assert few <= min(len(np.unique(a[i:i + least])) for i in range(len(a) - least + 1))
+        common = len(np.intersect1d(half, other)) + min(n - len(half), m - len(other))
+        assert common >= len(np.intersect1d(a, b))
+        if verify(a, b, least, 80):
+            kept += 1
+            assert 100 * common >= 80 * max(few, less)
+    assert kept > 50
+    assert outline(np.zeros(60, np.uint64), least)[:2] == (1, 1)
+
+
 def test_verify_follows_every_shift():
     """A passage whose parts stand earlier in the other text, beside four larger ones."""
     rnd = np.random.default_rng(3)
