@@ -27,13 +27,28 @@ HASH_PREFIX = 3
 CARRY_BITS = (18, 40)
 
 
-def join_small(df: DataFrame, small: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Inner join on ``on`` in which NULL equals NULL; ``on`` is kept once."""
-    other = small.select(*[F.col(c).alias(f"_on_{c}") if c in on else F.col(c) for c in small.columns])
+def _null_safe(df: DataFrame, other: DataFrame, on: Sequence[str], how: str) -> DataFrame:
+    """Join on ``on`` in which NULL equals NULL; ``on`` is kept once, from ``df``."""
+    other = other.select(*[F.col(c).alias(f"_on_{c}") if c in on else F.col(c) for c in other.columns])
     cond = F.lit(True)
     for c in on:
         cond = cond & F.col(c).eqNullSafe(F.col(f"_on_{c}"))
-    return df.join(other, cond).drop(*[f"_on_{c}" for c in on])
+    return df.join(other, cond, how).drop(*[f"_on_{c}" for c in on])
+
+
+def join_small(df: DataFrame, small: DataFrame, on: Sequence[str]) -> DataFrame:
+    """``df`` with the columns of ``small``, a table made from it that holds each of its keys once; NULL equals NULL.
+
+    The join is an outer one, though every row has its match, because Spark
+    then never broadcasts ``df``: it takes a stored table for as small as its
+    compressed file, and an exploded one for no larger.
+    """
+    return _null_safe(df, small, on, "left")
+
+
+def join_rows(df: DataFrame, other: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Inner join of two tables that both grow with the input: both are shuffled, whatever their files' sizes; NULL equals NULL."""
+    return _null_safe(df.hint("merge"), other, on, "inner")
 
 
 def hash_key(seed: int | str, key: str | Column) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortkit.operators.ranking import (bucket_counts, bucket_offsets, group_sizes, hash_rank, hash_uint60,
-                                         join_small, rank_rows, scaled)
+                                         join_rows, join_small, rank_rows, scaled)
 
 # Classes up to which the class table may be broadcast (its rows are counted, not its input's).
 MAX_CLASSES = 10_000
@@ -111,7 +111,7 @@ def balanced_draws(df: DataFrame, key: str, label: str, seed: int = 42, batch_si
     pick = F.get("_classes", scaled(hc, F.size("_classes")).cast("int"))
     d = d.withColumn("_pick", pick)
     d = d.select(*by, "draw_id", F.col("_pick.label").alias(label), (scaled(hr, F.col("_pick.n")) + 1).alias("_rk"))
-    out = join_small(ranked.drop("_start", "_classes"), d, [*by, label, "_rk"])
+    out = join_rows(ranked.drop("_start", "_classes"), d, [*by, label, "_rk"])
     return out.withColumn("batch_id", F.floor(F.col("draw_id") / batch_size).cast("long")).drop("_rk")
 
 

@@ -50,7 +50,7 @@ def weighted_draws(df: DataFrame, key: str, weight: str, seed: int = 42, resolut
              .select("_hb", "_b", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"),
                      F.coalesce(F.sum("_b").over(before), F.lit(0)).cast("decimal(19,0)").alias("_from"), F.sum("_b").over(every).cast("decimal(19,0)").alias("_all")))
     order = Window.partitionBy("_hb").orderBy("_h", key)
-    rows = join_small(x, index.drop("_b"), ["_hb"]).where("_all > 0")
+    rows = join_small(x, F.broadcast(index.drop("_b")), ["_hb"]).where("_all > 0")
     rows = rows.withColumn("_rk", F.row_number().over(order) + F.col("_off"))
     rows = rows.withColumn("_to", (F.col("_from") + F.sum("_u").over(order.rowsBetween(Window.unboundedPreceding, 0))).cast("decimal(19,0)"))
     cut = lambda p: _div(p * F.lit(slices).cast("decimal(10,0)"), F.col("_all"))

@@ -120,3 +120,16 @@ def test_draws_per_fold_are_balanced(spark):
     own = {(r.key, r.fold) for r in train.collect()}
     assert not any((r.key, r.fold) in own for r in d.collect())
     assert {r.fold for r in SM.pos_weight(train, "label", "fold", 4).collect()} == {1, 2, 3, 4}
+
+
+def test_draws_broadcast_no_rows(spark, tmp_path):
+    """A stored table counts as small as its file; the rows that are ranked and drawn are shuffled all the same."""
+    df = _frame(spark, 5000, 500).withColumn("fold", F.col("key") % 4 + 1)
+    df.write.parquet(str(tmp_path / "train"))
+    train = spark.read.parquet(str(tmp_path / "train"))
+    draws = SM.balanced_draws(SM.training_parts(train, "fold", 4), "key", "label", 7, 32, by=["fold"])
+    plan = draws._jdf.queryExecution().sparkPlan().toString()
+    assert "BuildLeft" not in plan and plan.count("SortMergeJoin") >= 1
+    assert draws.count() == 15000
+    ranked = RK.hash_rank(train, "key", 5, by=["label"])._jdf.queryExecution().sparkPlan().toString()
+    assert "BuildLeft" not in ranked
