@@ -19,6 +19,7 @@ from cohortkit.operators import history as HS
 from cohortkit.operators import loop as LP
 from cohortkit.operators import metrics as MT
 from cohortkit.operators import networks as NW
+from cohortkit.operators import perceptron as PC
 from cohortkit.operators import sampling as SM
 from cohortkit.operators import splits as SP
 from cohortkit.operators import sweep as SW
@@ -183,8 +184,8 @@ def q_ranker_scores(spark, sf):
 
 def network_scores(spark: SparkSession, sf: str, max_iter: int = 25) -> DataFrame:
     """A 4 x 100 network per fold; all of them score the test rows in one scan."""
-    train, test = PT._train_test(spark, sf)
-    models = TR.fit_folds(train, TR.classifier_pipeline(TR.mlp(len(FEATS), max_iter=max_iter)), FOLDS, parallelism=PT.PARALLEL_FITS)
+    train, test = PT._train_test(spark, sf, weighted=False)
+    models = PC.fit_networks(train, TR.mlp(len(FEATS), max_iter=max_iter), FEATS, FOLDS)
     return NW.score_networks(test, models, FEATS, "prob", PT.ROW)
 
 
