@@ -103,3 +103,37 @@ def test_ranker_gradients_stream_across_chunks(spark):
     got = sorted((round(r.loss, 9), round(r.g0, 9), round(r.g1, 9)) for r in out)
     want = sorted((round(l, 9), round(g[0], 9), round(g[1], 9)) for l, g in exp.values())
     assert got == want
+
+
+def test_cross_validation_works_out_its_rows_once(spark):
+    """Grid x folds give the sub-models and metrics of ``CrossValidator``, on rows that are stored first."""
+    import numpy as np
+    import pytest
+    from pyspark.ml.tuning import CrossValidator
+    from pyspark.sql import functions as F
+    from cohortkit.operators import training as TR
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(240, 2))
+    rows = [(*map(float, r), int(r[0] + n > 0), i % 3 + 1) for i, (r, n) in enumerate(zip(x, rng.normal(size=240)))]
+    df = TR.with_pos_weight(spark.createDataFrame(rows, "a double, b double, label int, fold long"))
+    lr = TR.weighted_logistic()
+    pipe, grid = TR.classifier_pipeline(lr, ["a", "b"]), TR.logistic_grid(lr, (0.0, 0.1))
+    ev = TR.BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="rawPrediction", numBins=0)
+    own = CrossValidator(estimator=pipe, estimatorParamMaps=grid, evaluator=ev, numFolds=3, foldCol="_f", collectSubModels=True).fit(
+        df.withColumn("_f", (F.col("fold") - 1).cast("int")))
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(label):
+        seen.add(1)
+        return label
+
+    counted = df.withColumn("label", F.udf(count, "int")("label"))
+    got = TR.cross_validate(counted, pipe, grid, k=3)
+    assert seen.value == 240
+    assert np.allclose(got.avgMetrics, own.avgMetrics, atol=1e-9)
+    for a, b in zip(got.subModels, own.subModels):
+        for m, n in zip(a, b):
+            assert np.allclose(m.stages[-1].coefficients.toArray(), n.stages[-1].coefficients.toArray(), atol=1e-6)
+    with pytest.raises(ValueError):
+        TR.cross_validate(df, pipe, grid, k=2)
