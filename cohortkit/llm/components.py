@@ -26,6 +26,7 @@ def components(links: DataFrame) -> DataFrame:
     Rows of one node are never gathered: each step is an aggregate and a join,
     whose large partitions Spark splits.  Steps repeat until the links are a
     star around each component's least node, which doubles the reach each time.
+    The result reads a table of :func:`~cohortkit.llm.common.stage`.
     """
     edges = stage(links.filter(F.col("u") != F.col("v")).distinct(), "components")
     while True:
@@ -38,5 +39,7 @@ def components(links: DataFrame) -> DataFrame:
         open_ = once.join(roots, "u", "left").filter((F.col("k") > 1) | F.col("root").isNotNull())
         if open_.isEmpty():
             break
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
+    out = edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         edges.select("v", "v").distinct())
+    out._staged_at = edges._staged_at
+    return out

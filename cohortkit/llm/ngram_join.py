@@ -17,13 +17,15 @@ an odd number of shingles fell on it.  The bits in which two bitmaps differ are
 at most the shingles that only one of the sets has, and a link allows
 (n + m) (100 - 80) / (100 + 80) of those.  The test is part of the join
 condition of candidates and pivots, so that near misses around a shared passage
-never become rows, and it loses no link.  Sets of more than 256 shingles have a
+never become rows, and it loses no link.  Sets of more than 64 shingles have a
 wider bitmap besides.
 
 Components need no pair within them: first every posting list links its nodes
 to one pivot, the verified stars are contracted, and what is left are pairs
 between different components, which all go through the filter.  While those
-are too many, more pivots are tried first.  So a large group of near copies
+are too many, more pivots are tried first: every posting list is then dealt at
+random into parts with a pivot each, so that a node meets as many of a large
+component's members as it has prefix shingles.  So a large group of near copies
 costs its size, not its square, and no link that joins different components
 is lost.
 
@@ -38,6 +40,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -51,8 +54,8 @@ from cohortkit.llm.registry import query
 
 #: Documents from which a shingle counts as frequent, and the longest multiple match that is tried.
 FREQUENT, MAX_MATCH = 3, 6
-#: Bits of the bitmap that every set has, and of the second one of sets with more shingles than the first has bits.
-BITS, WIDE_BITS = 256, 1024
+#: Bits of the bitmap that every set has, and of the second one of sets with more shingles than ``WIDE_FROM``.
+BITS, WIDE_BITS, WIDE_FROM = 256, 1024, 64
 PARITY = [f"s{i}" for i in range(BITS // 64)] + ["wide"]
 #: Nodes up to which the list of wanted sets is sent to the tasks (8 bytes each).
 SEND_NODES = 4_000_000
@@ -61,6 +64,8 @@ SEND_TOKENS = 4_000_000
 #: More pivots are tried while the pairs left are this many times the posting rows and the last ones linked this share
 #: of the pairs they were tried on, but not without end.
 MANY_PAIRS, FRUITFUL, MAX_PIVOT_ROUNDS = 32, 0.2, 5
+#: After the first round, a posting list has a pivot for so many of its nodes.
+PER_PIVOT = 32
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -102,6 +107,7 @@ def _frequent(scan: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     while counts.filter(F.col("df") >= least).count() > SEND_TOKENS:
         least *= 2
     found = counts.filter(F.col("df") >= least).toArrow()
+    unstage(counts)
     token, df = (found.column(i).to_numpy().astype(np.int64) for i in range(2))
     order = np.argsort(token)
     return token[order], df[order]
@@ -167,7 +173,7 @@ def _prefixes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], percent:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(_nodes([_digest(s) for s in sets])), pa.array([len(s) for s in sets], pa.int32()),
                  pa.array([p[2] for p in plans], pa.int32()), pa.array(last), *(pa.array(c) for c in np.array([parity(s, BITS) for s in sets]).T.copy()),
-                 pa.array([parity(s, WIDE_BITS) if len(s) > BITS else None for s in sets], pa.list_(pa.int64())),
+                 pa.array([parity(s, WIDE_BITS) if len(s) > WIDE_FROM else None for s in sets], pa.list_(pa.int64())),
                  pa.array([p[0].view(np.int64) for p in plans], pa.list_(pa.int64()))],
                 names=["node", "n", "heat", "last", *PARITY, "prefix"])
 
@@ -246,8 +252,9 @@ def _between(posts: DataFrame, done: DataFrame) -> tuple[DataFrame, int, int]:
     # Two digests with one 64-bit node would share a label: such nodes stay unlabelled and are compared again.
     labels = labels.groupBy("_n").agg(F.count("*").alias("k"), F.first("comp").alias("comp")).filter("k = 1").drop("k")
     named = posts.join(labels, F.col("node") == F.col("_n"), "left").drop("_n").withColumn("comp", F.coalesce("comp", "node"))
-    mixed = named.groupBy(F.col("token").alias("t")).agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("t")
-    live = stage(named.join(mixed, F.col("token") == F.col("t"), "left_semi"), "op10-live")
+    mixed = (named.groupBy(F.col("token").alias("t")).agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("held"))
+             .filter("c0 <> c1").select("t", "held"))
+    live = stage(named.join(mixed, F.col("token") == F.col("t")).drop("t"), "op10-live")
     sizes = live.groupBy("token", "comp").agg(F.count("*").cast("double").alias("m")).groupBy("token").agg(
         ((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))) / 2).alias("p"), F.sum("m").alias("m"))
     left = sizes.agg(F.coalesce(F.sum("p"), F.lit(0.0)).alias("p"), F.coalesce(F.sum("m"), F.lit(0.0)).alias("m")).first()
@@ -295,6 +302,14 @@ def _long_enough(x: Column, y: Column, percent: int) -> Column:
     return 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
 
+def _contracted(found: list[DataFrame], before: DataFrame | None) -> DataFrame:
+    """The components of all links found; those ``before`` are removed."""
+    done = components(reduce(DataFrame.union, found))
+    if before is not None:
+        unstage(before)
+    return done
+
+
 def _labelled(docs: DataFrame, percent: int) -> DataFrame:
     """(doc_id, t, n, component) of every row of ``docs``; the component is named by a set's digest."""
     scan = stage(_scan(docs, percent), "op10-scan")
@@ -302,24 +317,30 @@ def _labelled(docs: DataFrame, percent: int) -> DataFrame:
     frequent = _frequent(scan)
     unstage(scan)
     posts = _posts(stage(_prefixes(docs, frequent, percent), "op10-plans"))
-    links, done = None, None
+    found, done = [], None
     for turn in range(MAX_PIVOT_ROUNDS + 1):
         live = posts.withColumn("comp", F.col("node"))
         if done is not None:
             live, pairs_left, rows_left = _between(posts, done)
             if pairs_left == 0:
+                unstage(live)
                 break
             if pairs_left <= MANY_PAIRS * rows_left or turn == MAX_PIVOT_ROUNDS or new.count() < FRUITFUL * n_tried:
-                last = _verified(docs, stage(_candidates(live, percent), "op10-pairs"), percent)
-                if not last.isEmpty():
-                    links = links.union(last)
-                    done = components(links)
+                pairs = stage(_candidates(live, percent), "op10-pairs")
+                unstage(live)
+                found.append(_verified(docs, pairs, percent))
+                if not found[-1].isEmpty():
+                    done = _contracted(found, done)
                 break
-        # The hottest node of a posting list first (the least edited copy of a large group), then others at random.
+        # The hottest node of a posting list first (the least edited copy of a large group), then a random one of each of its parts.
         rank = F.struct("heat", "node") if turn == 0 else F.struct(F.xxhash64(F.lit(turn), "comp", "node").alias("h"), F.col("node"))
-        pivot = live.groupBy(F.col("token").alias("t")).agg(F.max(F.struct(rank.alias("r"), F.col("n"), F.col("comp").alias("pc"), *PARITY)).alias("q"))
-        x, y = live.alias("x"), pivot.select("t", "q.*").alias("y")
-        star = (x.join(y, (F.col("x.token") == F.col("y.t")) & (F.col("x.comp") != F.col("y.pc")) & _long_enough(F.col("x.n"), F.col("y.n"), percent)
+        part = F.lit(0) if turn == 0 else F.pmod(F.xxhash64(F.lit(turn), "token", "node"), F.ceil(F.col("held") / PER_PIVOT))
+        dealt = live.withColumn("part", part.cast("long"))
+        pivot = (dealt.groupBy(F.col("token").alias("t"), F.col("part").alias("tp"))
+                 .agg(F.max(F.struct(rank.alias("r"), F.col("n"), F.col("comp").alias("pc"), *PARITY)).alias("q")))
+        x, y = dealt.alias("x"), pivot.select("t", "tp", "q.*").alias("y")
+        star = (x.join(y, (F.col("x.token") == F.col("y.t")) & (F.col("x.part") == F.col("y.tp")) & (F.col("x.comp") != F.col("y.pc"))
+                       & _long_enough(F.col("x.n"), F.col("y.n"), percent)
                        & _may_link("x.", "y.", percent))
                 .select(F.col("x.node").alias("a"), F.col("y.r.node").alias("b")).distinct())
         tried = stage(_counted(star, posts, percent), "op10-pairs")
@@ -327,10 +348,12 @@ def _labelled(docs: DataFrame, percent: int) -> DataFrame:
             unstage(live)
         n_tried = tried.count()
         new = _verified(docs, tried, percent)
-        links = new if links is None else links.union(new)
-        done = components(links)
+        found.append(new)
+        done = _contracted(found, done)
     named = members.join(done.select(F.col("node").alias("digest"), "component"), "digest", "left")
-    return named.select("doc_id", "t", "n", F.coalesce("component", "digest").alias("component"))
+    named = stage(named.select("doc_id", "t", "n", F.coalesce("component", "digest").alias("component")), "op10-named")
+    unstage(members, posts, done, *found)
+    return named
 
 
 def similar_components(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -347,7 +370,7 @@ def keep_one_per_group(docs: DataFrame, percent: int = 80) -> DataFrame:
     Documents without words stay.  Among rows with that id, or if all ids are
     null, the one with the least hash of its text stays; of equal rows one.
     """
-    named = stage(_labelled(docs, percent).filter("n > 0"), "op10-named")
+    named = _labelled(docs, percent).filter("n > 0")
     one = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("t"))
     kept = named.groupBy(F.col("component").alias("c")).agg(F.min(one).alias("kept"))
     gone = (named.join(kept, F.col("component") == F.col("c")).filter(~one.eqNullSafe(F.col("kept")))

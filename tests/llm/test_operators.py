@@ -1,7 +1,10 @@
 """Every operator against brute force on a fixture with nulls, ties, copies and long texts, and on sf0.001."""
+import glob
 import hashlib
 import random
 import re
+import sys
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -10,7 +13,7 @@ import pytest
 from helpers import words
 from pyspark.sql import functions as F
 
-from cohortkit.llm import chat_format, compact_windows, decontamination, license_scan, line_dedup, mixing, ngram_join, quality_rules
+from cohortkit.llm import chat_format, common, compact_windows, decontamination, license_scan, line_dedup, mixing, ngram_join, quality_rules
 from cohortkit.llm import ragged, substring_index, token_counts
 from cohortkit.llm.components import components
 
@@ -599,6 +602,48 @@ def test_ngram_join_without_lists_sent(spark, corpus, monkeypatch):
     assert key(map(tuple, ngram_join.similar_components(corpus).collect())) == want
 
 
+def test_near_misses_make_no_rows(spark):
+    """Texts of 148 shingles that share three quarters of them: next to no pair passes the bitmaps."""
+    rows = [(i, f"{words(130)} {words(22, 10**6 + 1000 * i)}") for i in range(60)]
+    p = ngram_join._prefixes(spark.createDataFrame(rows, "doc_id long, text string"), (np.zeros(0, np.int64),) * 2, 80)
+    p = p.select("node", "n", *ngram_join.PARITY).cache()
+    x, y = p.alias("x"), p.alias("y")
+    assert x.join(y, (F.col("x.node") < F.col("y.node")) & ngram_join._may_link("x.", "y.", 80)).count() <= 18  # of 1770
+    p.unpersist()
+
+
+def test_ngram_join_by_pivots_of_parts(spark, monkeypatch):
+    """Rounds of pivots until none is left: the same components as brute force, and no staged table left but the result's."""
+    rnd = random.Random(11)
+    rows = [(i, " ".join(w if rnd.random() > 0.03 else f"e{rnd.randrange(10**6)}" for w in words(150).split())) for i in range(120)]
+    monkeypatch.setattr(ngram_join, "MANY_PAIRS", 0)
+    monkeypatch.setattr(ngram_join, "FRUITFUL", 0)
+    monkeypatch.setattr(ngram_join, "PER_PIVOT", 8)
+    made, gone = [], []
+    for module in (ngram_join, sys.modules[components.__module__]):
+        monkeypatch.setattr(module, "stage", lambda df, tag: made.append(common.stage(df, tag)) or made[-1])
+        monkeypatch.setattr(module, "unstage", lambda *tables: gone.extend(t._staged_at for t in tables) or common.unstage(*tables))
+    got = key(map(tuple, ngram_join.similar_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == key(link_components(rows))
+    assert [m._staged_at for m in made if m._staged_at not in gone and "op10-scan" not in m._staged_at] == [made[-1]._staged_at]
+
+
+def test_stage_removes_shuffles(spark):
+    before = set(shuffle_files(spark))
+    df = spark.range(10_000).withColumn("k", F.col("id") % 100).groupBy("k").count()
+    df = common.stage(df.join(spark.range(100).repartition(3), F.col("k") == F.col("id")), "test-shuffles")
+    for _ in range(50):  # removed by a message to the block manager
+        if not set(shuffle_files(spark)) - before:
+            break
+        time.sleep(0.1)
+    assert not set(shuffle_files(spark)) - before and df.count() == 100
+
+
+def shuffle_files(spark):
+    folder = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return [p for d in folder for p in glob.glob(f"{d}/*/shuffle_*.data")]
+
+
 def test_components(spark):
     rnd = random.Random(9)
     links = [(rnd.randint(0, 300), rnd.randint(0, 300)) for _ in range(200)] + [(i, i + 1) for i in range(500, 560)] + [(7, 7)]
