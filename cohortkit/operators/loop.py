@@ -147,7 +147,7 @@ def fold_frames(train: DataFrame, features: Sequence[str], folds: Sequence[int],
 def logistic_scan(train: DataFrame, features: Sequence[str], folds: Sequence[int], frames: FoldFrames, label: str = "label",
                   weight: str | None = "weight", fold: str = "fold") -> Callable[[np.ndarray], Scan]:
     """Weighted logistic loss (T3): mean over the training part, and over the held-out rows."""
-    rows = cut_lineage(SW.usable_rows(train, features, label, weight, fold), "epochs")
+    rows = cut_lineage(SW.blocks(SW.usable_rows(train, features, label, weight, fold)), "epochs")
     d = len(list(features))
     plain, held = SW.Frame(np.zeros(d), np.ones(d)), np.array(list(folds))
 

@@ -47,6 +47,10 @@ class Sweep:
     columns: list[str] = field(default_factory=list)
 
 
+#: Rows of a stored block (a block is one value of a Parquet table), and rows that a pass handles at a time.
+BLOCK_ROWS, PIECE_ROWS = 64, 8192
+
+
 def usable_rows(train: DataFrame, features: Sequence[str], label: str, weight: str | None, fold: str) -> DataFrame:
     """Columns in the order the pass reads them: features, label, weight, fold (0 where null); incomplete rows left out."""
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
@@ -89,27 +93,56 @@ def _pass(frame: Frame, theta: np.ndarray, held: np.ndarray, second: bool) -> Ca
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(theta), 4 + p + (len(iu) if second else 0)))
         for b in batches:
-            z = frame.design(b)
-            y, w, fold = (b.column(p - 1 + k).to_numpy(zero_copy_only=False)[:, None] for k in range(3))
-            s = z @ theta.T
-            prob = 0.5 * (1 + np.tanh(s / 2))
-            loss = w * (np.maximum(s, 0) + np.log1p(np.exp(-np.abs(s))) - y * s)
-            out = fold == held
-            inside = np.where(out, 0.0, w)
-            total[:, 0] += loss.sum(0) - (loss * out).sum(0)
-            total[:, 1] += inside.sum(0)
-            total[:, 2] += (loss * out).sum(0)
-            total[:, 3] += w.sum() - inside.sum(0)
-            total[:, 4:4 + p] += (inside * (prob - y)).T @ z
-            if second:
-                total[:, 4 + p:] += (inside * prob * (1 - prob)).T @ (z[:, iu] * z[:, ju])
+            for z, y, w, fold in _parts(frame, b):
+                s = z @ theta.T
+                prob = 0.5 * (1 + np.tanh(s / 2))
+                loss = w * (np.maximum(s, 0) + np.log1p(np.exp(-np.abs(s))) - y * s)
+                out = fold == held
+                inside = np.where(out, 0.0, w)
+                total[:, 0] += loss.sum(0) - (loss * out).sum(0)
+                total[:, 1] += inside.sum(0)
+                total[:, 2] += (loss * out).sum(0)
+                total[:, 3] += w.sum() - inside.sum(0)
+                total[:, 4:4 + p] += (inside * (prob - y)).T @ z
+                if second:
+                    total[:, 4 + p:] += (inside * prob * (1 - prob)).T @ (z[:, iu] * z[:, ju])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(theta)), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], names=["m", "s"])
 
     return run
 
 
+def _parts(frame: Frame, b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+    """(design matrix, label, weight, fold) of a batch of :func:`usable_rows`, or piece by piece of one of :func:`blocks`."""
+    p = len(frame.mean) + 1
+    if b.schema.names != ["block"]:
+        yield frame.design(b), *(b.column(p - 1 + k).to_numpy(zero_copy_only=False)[:, None] for k in range(3))
+        return
+    column = b.column(0)
+    if not len(column):
+        return
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1]
+    rows = np.frombuffer(column.buffers()[2], np.uint8)[ends[0]:ends[-1]].view(np.float64).reshape(-1, p + 2)
+    for a in range(0, len(rows), PIECE_ROWS):
+        x = rows[a:a + PIECE_ROWS]
+        z = np.column_stack([np.ones(len(x)), (x[:, :p - 1] - frame.mean) / frame.std])
+        yield z, x[:, p - 1:p], x[:, p:p + 1], x[:, p + 1:]
+
+
+def blocks(rows: DataFrame) -> DataFrame:
+    """The rows of :func:`usable_rows` as ``block``s of doubles, ``BLOCK_ROWS`` rows in each, in even partitions.
+
+    For tables that many passes read: a pass then neither decodes nor converts single values.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.float64) for c in b.columns])
+            yield pa.RecordBatch.from_arrays([pa.array([x[a:a + BLOCK_ROWS].tobytes() for a in range(0, len(x), BLOCK_ROWS)], pa.binary())], names=["block"])
+
+    return rows.repartition(3 * rows.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, "block binary")
+
+
 def model_sums(rows: DataFrame, frame: Frame, theta: np.ndarray, held: np.ndarray, second: bool = True) -> DataFrame:
-    """(m, pos, s): the sums of every model over all rows; one scan and one aggregate."""
+    """(m, pos, s): the sums of every model over all rows, or blocks of them; one scan and one aggregate."""
     each = rows.mapInArrow(_pass(frame, theta.copy(), held, second), "m int, s array<double>")
     return each.select("m", F.posexplode("s").alias("pos", "s")).groupBy("m", "pos").agg(F.sum("s").alias("s"))
 

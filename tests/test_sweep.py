@@ -191,3 +191,20 @@ def test_networks_equal_transform_in_one_scan(rows):
         for r in TR.probability_of_one(m.transform(rows)).select("Code", "prob").collect():
             assert abs(got[f, r.Code] - r.prob) < 1e-9
     assert len(got) == 3 * 900 and scored._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+
+
+def test_blocks_give_the_sums_of_their_rows(spark):
+    """The loop's table has one binary value for up to 64 rows; a pass over it adds up what one over the rows does."""
+    from cohortkit.operators import sweep
+    rng = np.random.default_rng(3)
+    data = [(*map(float, rng.normal(size=3)), float(rng.integers(0, 2)), float(rng.random()), int(rng.integers(0, 5))) for _ in range(1000)]
+    rows = spark.createDataFrame(data, "x0 double, x1 double, x2 double, y double, w double, fold int").repartition(3)
+    frame = sweep.Frame(np.array([0.1, 0.2, 0.3]), np.array([1.0, 2.0, 0.5]))
+    theta, held = rng.normal(size=(5, 4)), np.arange(5)
+    packed = sweep.blocks(rows)
+    assert packed.columns == ["block"] and packed.count() < 1000 / 64 + 3 * spark.sparkContext.defaultParallelism
+    a, b = (sweep.collect_sums(sweep.model_sums(x, frame, theta, held), 5, 4) for x in (rows, packed))
+    for name in ("loss", "held_loss", "grad", "gram"):
+        np.testing.assert_allclose(getattr(a, name), getattr(b, name), rtol=1e-12, atol=1e-12)
+    none = sweep.collect_sums(sweep.model_sums(sweep.blocks(rows.limit(0)), frame, theta, held), 5, 4)
+    assert not none.loss.any() and np.isnan(none.held_loss).all()
