@@ -17,7 +17,7 @@ def _star(pairs: DataFrame, large: bool) -> DataFrame:
     out = (out.filter(F.col("v") > F.col("u")) if large else out).select(F.col("v").alias("u"), F.col("m").alias("v"))
     if not large:
         out = out.union(least.select(F.col("c").alias("u"), F.col("m").alias("v")))
-    return out.filter(F.col("u") != F.col("v")).distinct()
+    return out.filter(F.col("u") != F.col("v"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -26,12 +26,14 @@ def components(links: DataFrame) -> DataFrame:
     Rows of one node are never gathered: each step is an aggregate and a join,
     whose large partitions Spark splits.  Steps repeat until the links are a
     star around each component's least node, which doubles the reach each time.
-    The result reads a table of :func:`~cohortkit.llm.common.stage`.
+    The first step reads ``links`` several times; the result reads a table of :func:`~cohortkit.llm.common.stage`.
     """
-    edges = stage(links.filter(F.col("u") != F.col("v")).distinct(), "components")
+    before, edges = None, links.filter(F.col("u") != F.col("v"))
     while True:
-        before, edges = edges, stage(_star(_star(edges, True), False), "components")
-        unstage(before)
+        edges = stage(_star(_star(edges, True), False).distinct(), "components")
+        if before is not None:
+            unstage(before)
+        before = edges
         # Small-star leaves each node with one lesser neighbour unless it still joins several; done when none of
         # those neighbours has a lesser one itself and no node has two.
         once = edges.groupBy("u").agg(F.count("*").alias("k"))

@@ -23,7 +23,7 @@ wider bitmap besides.
 Components need no pair within them: first every posting list links its nodes
 to one pivot, the verified stars are contracted, and what is left are pairs
 between different components, which all go through the filter.  While those
-are too many, more pivots are tried first: every posting list is then dealt at
+are too many and pivots still remove a good part of them, more are tried first: every posting list is then dealt at
 random into parts with a pivot each, so that a node meets as many of a large
 component's members as it has prefix shingles.  So a large group of near copies
 costs its size, not its square, and no link that joins different components
@@ -61,9 +61,10 @@ PARITY = [f"s{i}" for i in range(BITS // 64)] + ["wide"]
 SEND_NODES = 4_000_000
 #: The same for prefix shingles that several nodes hold, and for frequent ones with their counts.
 SEND_TOKENS = 4_000_000
-#: More pivots are tried while the pairs left are this many times the posting rows and the last ones linked this share
-#: of the pairs they were tried on, but not without end.
-MANY_PAIRS, FRUITFUL, MAX_PIVOT_ROUNDS = 32, 0.2, 5
+#: More pivots are tried while the pairs left are this many times the posting rows (to test that many on their bitmaps costs
+#: about what a round costs), the last ones linked this share of the pairs they were tried on and removed this share of the
+#: pairs left before them, but not without end.
+MANY_PAIRS, FRUITFUL, REMOVED, MAX_PIVOT_ROUNDS = 256, 0.2, 0.1, 5
 #: After the first round, a posting list has a pivot for so many of its nodes.
 PER_PIVOT = 32
 
@@ -207,30 +208,38 @@ def _posts(plans: DataFrame) -> DataFrame:
     return out
 
 
-def _wanted_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, digest, set, half) of the wanted nodes, one row per digest; ``half`` has the shingles' upper halves."""
-    sent = ids_to_send(nodes, SEND_NODES)
+def _wanted_sets(docs: DataFrame, members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, digest, set, half) of the wanted nodes, one row per digest; ``half`` has the shingles' upper halves.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, sets in _sets(batches):
-            sets = [s for s in sets if len(s)]
-            digests = [_digest(s) for s in sets]
-            node = _nodes(digests)
-            keep = np.flatnonzero(is_sent(sent, node)).tolist()
-            half = [np.unique((sets[i] >> np.uint64(32)).astype(np.uint32)).view(np.int32) for i in keep]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(node[keep]), pa.array([digests[i] for i in keep], pa.binary()),
-                 pa.array([sets[i].view(np.int64) for i in keep], pa.list_(pa.int64())), pa.array(half, pa.list_(pa.int32()))],
-                names=["node", "digest", "set", "half"])
+    Only the texts of wanted sets become shingles again; all others stay out before that.
+    """
+    asked = stage(members.filter("n > 0").join(nodes, _node_of(F.col("digest")) == F.col("a"), "left_semi").select("t").distinct(), "op10-wanted")
+    sent = ids_to_send(asked, SEND_NODES)
+    unstage(asked)
 
-    out = docs.select("text").mapInArrow(run, "node long, digest binary, set array<long>, half array<int>").dropDuplicates(["digest"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            held = whole.filter(pa.array(is_sent(sent, whole.column(0).to_numpy())))
+            if not held.num_rows:
+                continue
+            for _, sets in _sets([held]):
+                sets = [s for s in sets if len(s)]
+                digests = [_digest(s) for s in sets]
+                half = [np.unique((s >> np.uint64(32)).astype(np.uint32)).view(np.int32) for s in sets]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(_nodes(digests)), pa.array(digests, pa.binary()),
+                     pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array(half, pa.list_(pa.int32()))],
+                    names=["node", "digest", "set", "half"])
+
+    out = docs.select(F.xxhash64("text").alias("t"), "text").mapInArrow(
+        run, "node long, digest binary, set array<long>, half array<int>").dropDuplicates(["digest"])
     return out if sent is not None else out.join(nodes.withColumnRenamed("a", "node"), "node", "left_semi")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+def _verified(docs: DataFrame, members: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Links (u, v) between digests of the staged candidate pairs (a, b) of nodes; these are removed."""
-    nodes = pairs.select("a").union(pairs.select("b")).distinct()
-    sets = stage(_wanted_sets(docs, nodes), "op10-sets")
+    nodes = pairs.select("a").union(pairs.select("b"))
+    sets = stage(_wanted_sets(docs, members, nodes), "op10-sets")
     # First on half hashes: what they have in common, and those that fell together, bound the overlap from above.
     n = F.size("set").alias("n")
     one = sets.select(F.col("node").alias("a"), F.col("digest").alias("u"), F.col("half").alias("ha"), n).withColumnRenamed("n", "na")
@@ -317,7 +326,7 @@ def _labelled(docs: DataFrame, percent: int) -> DataFrame:
     frequent = _frequent(scan)
     unstage(scan)
     posts = _posts(stage(_prefixes(docs, frequent, percent), "op10-plans"))
-    found, done = [], None
+    found, done, pairs_before = [], None, float("inf")
     for turn in range(MAX_PIVOT_ROUNDS + 1):
         live = posts.withColumn("comp", F.col("node"))
         if done is not None:
@@ -325,10 +334,12 @@ def _labelled(docs: DataFrame, percent: int) -> DataFrame:
             if pairs_left == 0:
                 unstage(live)
                 break
-            if pairs_left <= MANY_PAIRS * rows_left or turn == MAX_PIVOT_ROUNDS or new.count() < FRUITFUL * n_tried:
+            few = pairs_left <= MANY_PAIRS * rows_left or pairs_left > (1 - REMOVED) * pairs_before
+            pairs_before = pairs_left
+            if few or turn == MAX_PIVOT_ROUNDS or new.count() < FRUITFUL * n_tried:
                 pairs = stage(_candidates(live, percent), "op10-pairs")
                 unstage(live)
-                found.append(_verified(docs, pairs, percent))
+                found.append(_verified(docs, members, pairs, percent))
                 if not found[-1].isEmpty():
                     done = _contracted(found, done)
                 break
@@ -347,7 +358,7 @@ def _labelled(docs: DataFrame, percent: int) -> DataFrame:
         if done is not None:
             unstage(live)
         n_tried = tried.count()
-        new = _verified(docs, tried, percent)
+        new = _verified(docs, members, tried, percent)
         found.append(new)
         done = _contracted(found, done)
     named = members.join(done.select(F.col("node").alias("digest"), "component"), "digest", "left")

@@ -628,6 +628,40 @@ def test_ngram_join_by_pivots_of_parts(spark, monkeypatch):
     assert [m._staged_at for m in made if m._staged_at not in gone and "op10-scan" not in m._staged_at] == [made[-1]._staged_at]
 
 
+def test_ngram_join_sets_of_wanted_texts(spark):
+    """Only the texts of wanted sets become shingles again; a copy in other letters has the same set."""
+    rows = [(i, words(40, 1000 * i)) for i in range(20)] + [(20, words(40, 3000).upper()), (21, None), (22, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    members = ngram_join._scan(docs, 80).select("doc_id", "t", "n", "digest")
+    node = {r.doc_id: r.node for r in members.select("doc_id", ngram_join._node_of(F.col("digest")).alias("node")).collect()}
+    nodes = spark.createDataFrame([(node[3],), (node[5],), (node[5],)], "a long")
+    got = ngram_join._wanted_sets(docs, members, nodes).collect()
+    assert sorted(r.node for r in got) == sorted([node[3], node[5]]) and node[3] == node[20]
+    assert {len(r.set) for r in got} == {36} and {len(r.half) for r in got} == {36}
+
+
+def test_ngram_join_stops_pivots_that_remove_little(spark, monkeypatch):
+    """Rounds that no longer remove a tenth of the pairs are the last ones: fewer rounds, the same components."""
+    rnd = random.Random(12)
+    rows = [(i, " ".join(w if rnd.random() > 0.06 else f"e{rnd.randrange(10**6)}" for w in words(120).split())) for i in range(80)]
+    monkeypatch.setattr(ngram_join, "MANY_PAIRS", 0)
+    monkeypatch.setattr(ngram_join, "FRUITFUL", 0)
+    tags = []
+    monkeypatch.setattr(ngram_join, "stage", lambda df, tag: tags.append(tag) or common.stage(df, tag))
+    monkeypatch.setattr(ngram_join, "_between", lambda posts, done: (common.stage(posts.withColumn("comp", F.col("node")).withColumn("held", F.lit(80)), "live"), 1000, 1))
+    got = key(map(tuple, ngram_join.similar_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == key(link_components(rows))
+    assert tags.count("op10-pairs") == 3  # two rounds, then the pairs that are left
+
+
+def test_components_of_a_star_take_one_step(spark, monkeypatch):
+    made, module = [], sys.modules[components.__module__]
+    monkeypatch.setattr(module, "stage", lambda df, tag: made.append(common.stage(df, tag)) or made[-1])
+    links = spark.createDataFrame([(i, 0) for i in range(1, 30)] + [(5, 0), (3, 3)], "u long, v long")
+    assert {r.node: r.component for r in components(links).collect()} == {i: 0 for i in range(30)}
+    assert len(made) == 1
+
+
 def test_stage_removes_shuffles(spark):
     before = set(shuffle_files(spark))
     df = spark.range(10_000).withColumn("k", F.col("id") % 100).groupBy("k").count()
