@@ -11,6 +11,7 @@ depend on the optimiser are.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
@@ -39,6 +40,7 @@ K = 10
 FOLDS = range(1, K + 1)
 GRID = (0.0, 0.01)
 PARALLEL_FITS = 8  # fits submitted side by side (driver threads; the work runs on executors)
+FIT_ROWS = 1 << 17  # rows of a task in fits that pass over their rows a hundred times and run side by side
 FEATS = FT.FEATURES
 ONE = ["Hypertension"]  # a 0/1 feature: the fit is saturated
 ROW = ("Code", "label", "dateAssess")
@@ -274,10 +276,19 @@ def regression_rows(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]
     return SP.train_rows(s), SP.test_rows(s)
 
 
+def in_full_tasks(rows: DataFrame) -> DataFrame:
+    """The rows in at most one task per ``FIT_ROWS`` of them; the number of tasks still grows with the rows.
+
+    A tree's level is a pass of its own, so that small tasks cost more than
+    their rows; the folds' fits side by side keep all cores busy.
+    """
+    return rows.coalesce(max(1, -(-rows.count() // FIT_ROWS)))
+
+
 def regressors(train: DataFrame, kind: str, features: Sequence[str] = FEATS) -> dict[int, PipelineModel]:
     pipe = Pipeline(stages=[TR.PopStdScaler(inputCols=list(features)),
                             VectorAssembler(inputCols=list(features), outputCol="features"), TR.time_regressor(kind)])
-    return TR.fit_folds(train, pipe, FOLDS, parallelism=PARALLEL_FITS)
+    return TR.fit_folds(in_full_tasks(train), pipe, FOLDS, parallelism=K)
 
 
 def regression_predictions(models: dict[int, PipelineModel], rows: DataFrame, kind: str) -> DataFrame:
@@ -293,9 +304,12 @@ def regression_predictions(models: dict[int, PipelineModel], rows: DataFrame, ki
 
 def regression_errors(spark: SparkSession, sf: str) -> DataFrame:
     train, test = regression_rows(spark, sf)
+    test = in_full_tasks(test)
+    with ThreadPoolExecutor(2) as pool:
+        fits = dict(zip(("linear", "gbt"), pool.map(lambda kind: regressors(train, kind), ("linear", "gbt"))))
     out = None
-    for kind in ("linear", "gbt"):
-        e = MT.regression_errors(regression_predictions(regressors(train, kind), test, kind), "target", "pred", ["fold"])
+    for kind, models in fits.items():
+        e = MT.regression_errors(regression_predictions(models, test, kind), "target", "pred", ["fold"])
         out = e.withColumn("kind", F.lit(kind)) if out is None else out.unionByName(e.withColumn("kind", F.lit(kind)))
     return out
 

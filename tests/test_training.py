@@ -23,6 +23,29 @@ def test_time_regressor_rows(spark, sf):
     assert all(r.mae >= 0 for r in rows) and len({r.n for r in rows}) == 1
 
 
+def test_regressors_fit_in_full_tasks(spark, sf, monkeypatch):
+    """Few rows in many partitions are fitted in few tasks, all of them, with the same models."""
+    from cohortkit.operators import training as TR
+    from cohortkit.plans import training as PT
+    train = PT.regression_rows(spark, sf)[0].repartition(16)
+    n, seen, fit_folds = train.count(), [], TR.fit_folds
+
+    def spy(rows, *args, **kwargs):
+        seen.append((rows.rdd.getNumPartitions(), rows.count()))
+        return fit_folds(rows, *args, **kwargs)
+
+    monkeypatch.setattr(TR, "fit_folds", spy)
+    models = PT.regressors(train, "linear", ["Age"])
+    assert seen == [(1, n)]
+    monkeypatch.setattr(PT, "FIT_ROWS", -(-n // 4))
+    PT.regressors(train, "linear", ["Age"])
+    assert seen[1] == (4, n)
+    for f in (1, 7):
+        own = models[f].stages[-1]
+        whole = TR.linear_parts(TR.fit_folds(train, PT.Pipeline(stages=models[f].stages[:2] + [TR.time_regressor("linear")]), [f])[f])
+        assert own.coefficients.size == 1 and abs(TR.linear_parts(models[f])[1][0] - whole[1][0]) < 1e-9
+
+
 def test_every_fold_scores_the_test_set(spark, sf):
     rows = E.queries()["eval_all_folds"](spark, sf).collect()
     assert sorted((r.fold, r.years) for r in rows) == [(f, y) for f in range(1, 11) for y in (0, 5, 10)]
