@@ -506,6 +506,55 @@ def test_verify_follows_every_shift():
     assert len(compact_windows.sweep(hits, 2, 46)) == 2
 
 
+def test_passages_in_runs(spark, monkeypatch):
+    """Joins made in several runs give the rows of one run, and no run holds all hits."""
+    rnd = random.Random(6)
+    text = lambda n: " ".join(f"t{rnd.randrange(10**9)}" for _ in range(n))
+    rows = []
+    for p in range(8):
+        x = text(70)
+        rows += [(100 * p + c, f"{text(60)} {x} {text(60)}") for c in range(3)]
+        rows += [(100 * p + 10 + i, f"{text(60)} {x[:x.index(x.split()[40])]} {text(60)}") for i in range(9)]
+    df, tables, real = spark.createDataFrame(rows, "doc_id long, text string"), [], compact_windows.stage
+
+    def staged(table, tag):
+        tables.append((tag, real(table, tag)))
+        return tables[-1][1]
+
+    once = key(map(tuple, compact_windows.near_duplicate_passages(df).collect()))
+    monkeypatch.setattr(compact_windows, "stage", staged)
+    monkeypatch.setattr(compact_windows, "_slices", lambda size, share: 3)
+    assert key(map(tuple, compact_windows.near_duplicate_passages(df).collect())) == once and len(once) >= 16
+    # Two rounds of stars and the last one; the runs of a join are tables of their own.
+    assert [sum(t == tag for t, _ in tables) for tag in ("op9-pairs", "op9-near", "op9-verified")] == [5, 9, 9]
+
+
+def test_runs_follow_the_rows():
+    assert [compact_windows._slices(*x) for x in ((0, 0), (None, None), (10, 10), (11, 10), (95, 10), (7, 0))] == [1, 1, 1, 2, 10, 7]
+
+
+def test_candidates_across_batches():
+    """Sorted hits cut into batches anywhere give the candidates of every pair on its own."""
+    import pyarrow as pa
+    rng, rows = np.random.default_rng(4), []
+    for r in range(12):
+        for rep in range(int(rng.integers(1, 5))):
+            for _ in range(int(rng.integers(1, 9))):
+                lo, at = rng.integers(0, 40, 4), []
+                at = [(int(v) << 32) + int(v) + int(rng.integers(46, 90)) for v in lo]
+                rows += [(r, rep, int(rng.integers(0, 2)) | 2 << 8, *at)] * int(rng.integers(1, 3))
+    want = []
+    for pair in dict.fromkeys(x[:2] for x in rows):
+        hits = sorted({h for x in rows if x[:2] == pair for i in (0, 1)
+                       for h in [(x[2] >> 8 * i & 255, x[3 + 2 * i] >> 32, x[3 + 2 * i] & 0xFFFFFFFF, x[4 + 2 * i] >> 32, x[4 + 2 * i] & 0xFFFFFFFF)]},
+                      key=lambda h: (h[1], h[2], h[0], h[3], h[4]))
+        want += [(*pair, *c) for c in compact_windows.sweep(np.array(hits), 2, 46)]
+    whole = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=list("abcdefg"))
+    for n in (1, 2, 7, len(rows)):
+        got = [tuple(x.values()) for b in compact_windows._candidates(2, 46)(whole.slice(i, n) for i in range(0, len(rows), n)) for x in b.to_pylist()]
+        assert sorted(got) == sorted(want) and want
+
+
 # --- 10 ---------------------------------------------------------------------
 
 def link_components(rows):
